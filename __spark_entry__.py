@@ -507,7 +507,7 @@ def _matches(kept: str) -> str:
 kept AS ({kept}),
 sizes AS (SELECT qid, count(*) AS n_terms FROM kept GROUP BY qid),
 hit AS (
-  SELECT kept.qid, pos, qtf, df, cf, row_key, doc_id, CAST(dl AS DOUBLE) AS dl,
+  SELECT kept.qid, pos, kept.term, qtf, df, cf, row_key, doc_id, CAST(dl AS DOUBLE) AS dl,
          CAST(tf AS DOUBLE) AS tf, CAST(n_docs AS DOUBLE) AS n, CAST(coll_len AS BIGINT) AS c,
          n_terms
   FROM kept JOIN tf ON kept.term = tf.term JOIN sizes ON sizes.qid = kept.qid CROSS JOIN coll)"""
@@ -528,7 +528,7 @@ def _lms(weight: float) -> str:
   SELECT qid, 'LMs{weight:.1f}' AS model, doc_id, s + ln(dl) AS score FROM (
     SELECT qid, row_key, doc_id, any_value(dl) AS dl,
            sum(qtf * ln(1 + (tf * CAST(c AS DOUBLE) * CAST({weight!r} AS DOUBLE))
-             / (CAST(cf AS DOUBLE) * dl * CAST({1 - weight!r} AS DOUBLE))) ORDER BY pos) AS s
+             / (CAST(cf AS DOUBLE) * dl * CAST({1 - weight!r} AS DOUBLE))) ORDER BY term) AS s
     FROM hit GROUP BY qid, row_key, doc_id) WHERE s > 0"""
 
 
@@ -548,7 +548,7 @@ _BM25 = """
            sum(qtf * ((CAST(2.2 AS DOUBLE) * tf)
                  / (CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE)
                     * (dl / (CAST(c AS DOUBLE) / n))) + tf))
-               * ln((n - df + 0.5) / (df + 0.5)) ORDER BY pos) AS s
+               * ln((n - df + 0.5) / (df + 0.5)) ORDER BY term) AS s
     FROM hit GROUP BY qid, row_key, doc_id) WHERE s <> 0"""
 
 _SWEEP = [0.1, 0.1 + 0.2, 0.1 + 0.2 + 0.2, 0.1 + 0.2 + 0.2 + 0.2, 0.1 + 0.2 + 0.2 + 0.2 + 0.2]

@@ -1,21 +1,28 @@
 """Retrieval models as Column expressions.
 
-A model folds over the term positions of a topic, in query order, so a term
-that is asked twice counts twice and sums are formed in a fixed order.
+A model weighs every term position at which document and topic meet, adds or
+multiplies the weights, and turns the total into a score. Its parts are plain
+Columns, so all models of a run share one aggregation.
 """
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
-class Document:
-    """Document-side columns a model may use."""
+class Match:
+    """What a model may use at one matched term position."""
 
+    tf: Column
     dl: Column
+    qtf: Column
+    df: Column
+    cf: Column
     n_docs: Column
     coll_len: Column
 
@@ -25,96 +32,130 @@ class Document:
 
 
 @dataclass(frozen=True)
-class Model:
-    """A way to score one document for one topic.
-
-    ``step(score, t, doc)`` takes the score so far and one term position ``t``
-    with the fields ``qtf``, ``df``, ``cf`` and ``tf`` (null when the document
-    lacks the term). ``finish(score, doc)`` gives the final score; documents
-    with score 0 or null are not retrieved. A document that holds no term of
-    the topic must come out with 0 or null; ``conjunctive`` promises the same
-    for documents that lack any of them.
+class Pair:
+    """What a model may use to finish: ``n_terms`` and ``query_weight`` (the sum
+    of qtf) are over all positions of the topic, matched or not."""
+
+    dl: Column
+    n_terms: Column
+    query_weight: Column
+    n_docs: Column
+    coll_len: Column
+
+
+@dataclass(frozen=True)
+class Total:
+    """How the weights of a pair come together.
+
+    ``aggregates(weight, pos, longest)`` gives the aggregates, ``result`` puts
+    them together. ``longest`` is the largest number of positions of any topic.
     """
 
-    name: str
-    start: float
-    step: Callable[[Column, Column, Document], Column]
-    finish: Callable[[Column, Document], Column]
-    conjunctive: bool = False
+    aggregates: Callable[[Column, Column, int], list[Column]]
+    result: Callable[[list[Column]], Column]
+
+
+# Positions for which a product keeps one aggregate each.
+ORDERED_POSITIONS = 48
 
-    def score(self, terms: Column, doc: Document) -> Column:
-        total = F.aggregate(
-            terms, F.lit(float(self.start)), lambda score, t: self.step(score, t, doc)
-        )
-        return self.finish(total, doc)
 
+def _factors(weight: Column, pos: Column, longest: int) -> list[Column]:
+    if longest > ORDERED_POSITIONS:
+        return [F.product(weight)]
+    return [F.max(F.when(pos == n, weight)) for n in range(longest)]
 
-def _if_matched(score: Column, t: Column, weight: Column) -> Column:
-    return F.when(t["tf"].isNotNull(), score + weight).otherwise(score)
 
+SUM = Total(lambda weight, pos, longest: [F.sum(weight)], lambda parts: parts[0])
 
-def _if_positive(score: Column, value: Column) -> Column:
-    return F.when(score > 0, value).otherwise(F.lit(0.0))
+# Rounding depends on the order of the factors, and documents of equal score
+# would change places: the product runs in query order. For very long topics
+# it runs in the order of the words.
+PRODUCT = Total(
+    _factors, lambda parts: reduce(mul, [F.coalesce(p, F.lit(1.0)) for p in parts])
+)
+
+
+@dataclass(frozen=True)
+class Model:
+    """A way to score documents for topics.
+
+    A score of 0 or null means that the document is not retrieved. Documents
+    without any term of the topic are never looked at, so a model must be one
+    that would not retrieve them. A ``conjunctive`` model retrieves documents
+    only that hold the term of every position.
+    """
+
+    name: str
+    weight: Callable[[Match], Column]
+    finish: Callable[[Column, Pair], Column]
+    conjunctive: bool = False
+    total: Total = SUM
+
+
+def _if_positive(total: Column, score: Column) -> Column:
+    return F.when(total > 0, score)
 
 
 def unsmoothed_lm(name: str = "LMno") -> Model:
     """Product of relative term frequencies, times document length.
 
-    A plain product: it becomes null at the first missing term and may
-    underflow to 0.
+    A plain product, which may underflow to 0.
     """
 
-    def step(score, t, doc):
-        p = t["tf"].cast("double") / doc.dl.cast("double")
-        repeated = F.aggregate(F.array_repeat(p, t["qtf"]), score, lambda s, x: s * x)
-        return (
-            F.when(t["tf"].isNull(), F.lit(None))
-            .when(t["qtf"] == 1, score * p)
-            .otherwise(repeated)
-        )
+    def weight(m: Match) -> Column:
+        p = m.tf.cast("double") / m.dl.cast("double")
+        repeated = F.aggregate(F.array_repeat(p, m.qtf), F.lit(1.0), lambda acc, x: acc * x)
+        return F.when(m.qtf == 1, p).otherwise(repeated)
 
-    return Model(name, 1.0, step, lambda score, doc: score * doc.dl, conjunctive=True)
+    return Model(name, weight, lambda total, pair: total * pair.dl, True, PRODUCT)
 
 
 def interpolated_lm(weight: float, name: str | None = None) -> Model:
     """Linear interpolation of document and collection model, length prior."""
 
-    def step(score, t, doc):
-        foreground = t["tf"].cast("double") * doc.coll_len.cast("double") * weight
-        background = t["cf"].cast("double") * doc.dl.cast("double") * (1 - weight)
-        return _if_matched(score, t, t["qtf"] * F.ln(1 + foreground / background))
+    def weigh(m: Match) -> Column:
+        foreground = m.tf.cast("double") * m.coll_len.cast("double") * weight
+        background = m.cf.cast("double") * m.dl.cast("double") * (1 - weight)
+        return m.qtf * F.ln(1 + foreground / background)
 
-    def finish(score, doc):
-        return _if_positive(score, score + F.ln(doc.dl.cast("double")))
+    def finish(total: Column, pair: Pair) -> Column:
+        return _if_positive(total, total + F.ln(pair.dl.cast("double")))
 
-    return Model(name or f"LMs{weight:.1f}", 0.0, step, finish)
+    return Model(name or f"LMs{weight:.1f}", weigh, finish)
 
 
 def dirichlet_lm(mu: float = 2500.0, name: str = "LMdi") -> Model:
     """Dirichlet smoothing. The collection part is a whole-number quotient.
 
-    Terms that the document lacks lower its score, so all positions count.
+    A position without a match adds ``qtf * (ln(mu) - ln(dl + mu))``. That much
+    is added for every position at the end, and matches weigh what they have
+    beyond it. Without any match the score would be negative.
     """
 
-    def step(score, t, doc):
-        tf = F.coalesce(t["tf"].cast("long"), F.lit(0).cast("long"))
-        per_hit = F.call_function("div", doc.coll_len, t["cf"])
-        return score + t["qtf"] * (F.ln(tf * per_hit + mu) - F.ln(doc.dl + mu))
+    def weigh(m: Match) -> Column:
+        per_hit = F.call_function("div", m.coll_len, m.cf)
+        return m.qtf * (F.ln(m.tf * per_hit + mu) - F.ln(F.lit(mu)))
+
+    def finish(total: Column, pair: Pair) -> Column:
+        score = total + pair.query_weight * (F.ln(F.lit(mu)) - F.ln(pair.dl + mu))
+        return _if_positive(score, score)
 
-    return Model(name, 0.0, step, lambda score, doc: _if_positive(score, score))
+    return Model(name, weigh, finish)
 
 
 def bm25(k1: float = 1.2, b: float = 0.75, name: str = "BM25") -> Model:
     """Okapi weighting. A term in over half of the documents weighs negative."""
 
-    def step(score, t, doc):
-        k = k1 * ((1 - b) + b * (doc.dl.cast("double") / doc.avg_dl))
-        saturation = (k1 + 1) * t["tf"] / (k + t["tf"])
-        # ln gives null for statistics with df > n_docs: nothing is retrieved
-        idf = F.ln((doc.n_docs - t["df"] + 0.5) / (t["df"] + 0.5))
-        return _if_matched(score, t, t["qtf"] * saturation * idf)
+    def weigh(m: Match) -> Column:
+        k = k1 * ((1 - b) + b * (m.dl.cast("double") / m.avg_dl))
+        saturation = (k1 + 1) * m.tf / (k + m.tf)
+        idf_of = (m.n_docs - m.df + 0.5) / (m.df + 0.5)
+        # no logarithm when df exceeds n_docs, as statistics of another
+        # collection may have it: such a document is not retrieved
+        idf = F.when(idf_of > 0, F.ln(idf_of)).otherwise(F.lit(float("nan")))
+        return m.qtf * saturation * idf
 
-    return Model(name, 0.0, step, lambda score, doc: score)
+    return Model(name, weigh, lambda total, pair: total)
 
 
 def lambda_sweep(start: float = 0.1, step: float = 0.2, stop: float = 1.0) -> list[Model]:

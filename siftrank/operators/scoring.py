@@ -1,73 +1,80 @@
-"""Documents against topics, without a cross join and without a shuffle."""
+"""Documents against topics, and the best of them per topic."""
 
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.operators.models import Document, Model
+from siftrank.operators.models import Match, Model, Pair
 
 
-def topic_index(weighted: DataFrame, conjunctive: bool = False) -> DataFrame:
-    """Topics by term: ``(term, earlier, qid, terms, n_docs, coll_len)``.
-
-    One row per topic and distinct term of it. ``earlier`` lists the terms that
-    precede it, which lets a document meet a topic once only: at the first term
-    it holds. When all terms are required the first one alone is enough.
-    """
-    distinct = F.array_distinct("terms.term")
-    index = weighted.select(
-        F.posexplode(distinct).alias("nth", "term"),
-        distinct.alias("distinct"),
-        "qid",
-        "terms",
-        "n_docs",
-        "coll_len",
-    ).select(
-        "term",
-        F.slice("distinct", F.lit(1), F.col("nth")).alias("earlier"),
+def topic_positions(weighted: DataFrame) -> DataFrame:
+    """One row per topic and term position, with the figures of its topic."""
+    query_weight = F.aggregate(
+        "terms", F.lit(0).cast("long"), lambda total, t: total + t["qtf"]
+    )
+    return weighted.select(
         "qid",
-        "terms",
+        F.size("terms").alias("n_terms"),
+        query_weight.alias("query_weight"),
         "n_docs",
         "coll_len",
-    )
-    return index.filter(F.size("earlier") == 0) if conjunctive else index
+        F.posexplode("terms").alias("pos", "t"),
+    ).select("qid", "pos", "n_terms", "query_weight", "n_docs", "coll_len", "t.*")
 
 
-def score_documents(hits: DataFrame, weighted: DataFrame, models: list[Model]) -> DataFrame:
+def score_documents(
+    hits: DataFrame, weighted: DataFrame, models: list[Model], longest: int
+) -> DataFrame:
     """``(qid, model, doc_id, score)`` for all pairs with a score other than 0.
 
-    ``weighted`` must be a checked slice of the topics: it is broadcast. Every
-    candidate is scored within its row, where the document's counts and the
-    topic's terms meet, so nothing moves between tasks.
+    ``weighted`` must be a checked slice of the topics: it is broadcast, and
+    no topic of it has more than ``longest`` terms. The join is on terms, so only pairs that share one come into being; the models
+    are such that no other pair could score.
+
+    Hits are shuffled once, before they multiply: a row per document, with its
+    counts of query terms but without its text. The documents' matches with
+    all topics are then made and added up in the same task. Rows are told
+    apart by their place in the input, and sent off by id and input split:
+    a task that has to run again sends the same rows to the same places, and
+    rows that share an id are still spread.
     """
-    conjunctive = all(m.conjunctive for m in models)
-    index = topic_index(weighted, conjunctive)
-    found = hits.select("doc_id", "dl", "tf", F.explode_outer("tf").alias("term", "_")).drop("_")
-    first_meeting = ~F.arrays_overlap(F.col("earlier"), F.map_keys("tf"))
-    pairs = found.join(
-        F.broadcast(index), (found["term"] == index["term"]) & first_meeting
-    ).select(
-        "qid",
-        "doc_id",
-        "dl",
-        "n_docs",
-        "coll_len",
-        F.transform(
-            "terms",
-            lambda t: F.struct(
-                t["qtf"].alias("qtf"),
-                t["df"].alias("df"),
-                t["cf"].alias("cf"),
-                F.try_element_at("tf", t["term"]).alias("tf"),
-            ),
-        ).alias("terms"),
+    placed = (
+        hits.select(
+            "doc_id",
+            "dl",
+            "tf",
+            F.spark_partition_id().alias("split"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        .repartition("doc_id", "split")
+        .select("doc_id", "split", "row", "dl", F.explode_outer("tf").alias("term", "tf"))
+        .filter(F.col("term").isNotNull())
+    )
+    matches = placed.join(F.broadcast(topic_positions(weighted)), "term")
+    match = Match(*[F.col(c) for c in ("tf", "dl", "qtf", "df", "cf", "n_docs", "coll_len")])
+    totals = [m.total.aggregates(m.weight(match), F.col("pos"), longest) for m in models]
+    named = [[f"total_{n}_{i}" for i in range(len(parts))] for n, parts in enumerate(totals)]
+    topic = ["n_terms", "query_weight", "n_docs", "coll_len"]
+    pairs = matches.groupBy("doc_id", "split", "row", "dl", "qid").agg(
+        F.count("*").alias("n_matched"),
+        *[F.max(c).alias(c) for c in topic],
+        *[
+            part.alias(name)
+            for parts, names in zip(totals, named, strict=True)
+            for part, name in zip(parts, names, strict=True)
+        ],
     )
-    doc = Document(F.col("dl"), F.col("n_docs"), F.col("coll_len"))
-    scores = [
-        F.struct(F.lit(m.name).alias("model"), m.score(F.col("terms"), doc).alias("score"))
-        for m in models
-    ]
+    whole = F.col("n_matched") == F.col("n_terms")
+    if all(m.conjunctive for m in models):
+        pairs = pairs.filter(whole)
+    pair = Pair(*[F.col(c) for c in ("dl", *topic)])
+    scores = []
+    for model, names in zip(models, named, strict=True):
+        score = model.finish(model.total.result([F.col(n) for n in names]), pair)
+        if model.conjunctive:
+            score = F.when(whole, score)
+        scores.append(F.struct(F.lit(model.name).alias("model"), score.alias("score")))
     return (
         pairs.select("qid", "doc_id", F.explode(F.array(*scores)).alias("s"))
         .select("qid", "s.model", "doc_id", "s.score")

@@ -17,11 +17,12 @@ MAX_POSITIONS = 20_000
 
 @dataclass(frozen=True)
 class TopicSlice:
-    """Topics of checked size, held as a local table, and their vocabulary."""
+    """Topics of checked size as a local table, and what plans need to know of them."""
 
     topics: DataFrame
     vocabulary: list[str]
     without_terms: list[str]
+    longest: int
 
 
 def _slice(spark: SparkSession, rows: pa.Table) -> TopicSlice:
@@ -29,11 +30,12 @@ def _slice(spark: SparkSession, rows: pa.Table) -> TopicSlice:
     words = terms.flatten()
     if pa.types.is_struct(words.type):
         words = words.field("term")
-    empty = pc.equal(pc.list_value_length(terms), 0)
+    lengths = pc.list_value_length(terms)
     return TopicSlice(
         spark.createDataFrame(rows),
         sorted(words.unique().to_pylist()),
-        sorted(rows["qid"].filter(empty).to_pylist()),
+        sorted(rows["qid"].filter(pc.equal(lengths, 0)).to_pylist()),
+        pc.max(lengths).as_py() or 1,
     )
 
 

@@ -46,7 +46,7 @@ def simple_run(docs: DataFrame, topics: DataFrame, k: int = TOP) -> DataFrame:
     runs = []
     for part in topic_slices(topics):
         hits = document_hits(docs, part.vocabulary)
-        runs.append(_rank(score_documents(hits, as_weighted(part.topics), [model]), k))
+        runs.append(_rank(score_documents(hits, as_weighted(part.topics), [model], part.longest), k))
         if part.without_terms:
             runs.append(_longest(docs, part.without_terms, model.name, k))
     return union(runs)
@@ -98,7 +98,7 @@ def baseline_run(
     runs = []
     for part in topic_slices(_occurring(weighted)):
         hits = document_hits(docs, part.vocabulary)
-        runs.append(_rank(score_documents(hits, part.topics, list(models)), k))
+        runs.append(_rank(score_documents(hits, part.topics, list(models), part.longest), k))
     return union(runs)
 
 
@@ -118,5 +118,5 @@ def experiment(
     for part in topic_slices(topics):
         hits = written(document_hits(docs, part.vocabulary), "hits")
         weighted = _occurring(weigh_topics(part.topics, counters(hits)))
-        runs.append(_rank(score_documents(hits, weighted, list(models)), k))
+        runs.append(_rank(score_documents(hits, weighted, list(models), part.longest), k))
     return union(runs)

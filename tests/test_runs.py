@@ -216,10 +216,11 @@ def test_large_topic_sets_run_in_slices(spark, docs):
     assert sorted(parts) == whole
 
 
-def test_scoring_does_not_shuffle_the_collection(spark, docs):
+def test_only_hits_are_shuffled(spark, docs):
     weighted = topic_slices(term_statistics(docs, topics(spark, TOPICS)))[0].topics
     hits = document_hits(docs, ["a", "b"])
-    plan = score_documents(hits, weighted, [interpolated_lm(0.5)])
+    plan = score_documents(hits, weighted, BASELINES, 2)
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning" not in text and "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
+    assert text.count("Exchange hashpartitioning") == 1
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
