@@ -6,40 +6,30 @@ document is never identified by anything but its row: an id that occurs twice
 is two documents.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftrank.functions.text import document_terms
 
 
-def _only(terms: Column, vocabulary: list[str]) -> Column:
+def _only(vocabulary: list[str]) -> str:
     words = [w for w in vocabulary if w.isascii() and w.isalnum()]
     if not words:
-        return F.filter(terms, lambda t: F.lit(False))
-    # written as SQL: one parse instead of one Python-to-JVM call per word
+        return "CAST(array() AS array<string>)"
     listed = ",".join(f"'{w}'" for w in words)
-    return F.call_function("filter", terms, F.expr(f"t -> t in ({listed})"))
+    return f"sort_array(filter(terms, t -> t IN ({listed})))"
 
 
-def _run_starts(sorted_terms: Column) -> Column:
-    """Indices at which a term differs from the one before it."""
-    return F.filter(
-        F.transform(sorted_terms, lambda t, i: i),
-        lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)),
-    )
-
-
-def _run_lengths(sorted_terms: Column, starts: Column) -> Column:
-    """Term → number of occurrences: a run ends where the next one starts."""
-    return F.map_from_entries(
-        F.transform(
-            starts,
-            lambda start, n: F.struct(
-                F.get(sorted_terms, start).alias("term"),
-                (F.coalesce(F.get(starts, n + 1), F.size(sorted_terms)) - start).alias("tf"),
-            ),
-        )
-    )
+# A run of equal terms starts where a term differs from the one before it, and
+# ends where the next run starts.
+_STARTS = """
+    filter(transform(hits, (t, i) -> i), i -> i = 0 OR get(hits, i) <> get(hits, i - 1))
+"""
+_RUN_LENGTHS = """
+    map_from_entries(transform(starts, (start, n) -> struct(
+        get(hits, start) AS term,
+        coalesce(get(starts, n + 1), size(hits)) - start AS tf)))
+"""
 
 
 def document_hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -53,13 +43,9 @@ def document_hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     # next one are then computed once
     return (
         docs.select("doc_id", terms.alias("terms"))
-        .select(
-            "doc_id",
-            F.size("terms").cast("long").alias("dl"),
-            F.sort_array(_only(F.col("terms"), vocabulary)).alias("hits"),
-        )
-        .select("doc_id", "dl", "hits", _run_starts(F.col("hits")).alias("starts"))
-        .select("doc_id", "dl", _run_lengths(F.col("hits"), F.col("starts")).alias("tf"))
+        .selectExpr("doc_id", "CAST(size(terms) AS bigint) AS dl", f"{_only(vocabulary)} AS hits")
+        .selectExpr("doc_id", "dl", "hits", f"{_STARTS} AS starts")
+        .selectExpr("doc_id", "dl", f"{_RUN_LENGTHS} AS tf")
     )
 
 

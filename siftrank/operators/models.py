@@ -1,99 +1,68 @@
-"""Retrieval models as Column expressions.
+"""Retrieval models, written as SQL expressions.
 
 A model weighs every term position at which document and topic meet, adds or
-multiplies the weights, and turns the total into a score. Its parts are plain
-Columns, so all models of a run share one aggregation.
+multiplies the weights, and turns the total into a score. All models of a run
+share one aggregation.
 """
 
-from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import mul
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
-class Match:
-    """What a model may use at one matched term position."""
-
-    tf: Column
-    dl: Column
-    qtf: Column
-    df: Column
-    cf: Column
-    n_docs: Column
-    coll_len: Column
-
-    @property
-    def avg_dl(self) -> Column:
-        return self.coll_len.cast("double") / self.n_docs.cast("double")
-
-
-@dataclass(frozen=True)
-class Pair:
-    """What a model may use to finish: ``n_terms`` and ``query_weight`` (the sum
-    of qtf) are over all positions of the topic, matched or not."""
-
-    dl: Column
-    n_terms: Column
-    query_weight: Column
-    n_docs: Column
-    coll_len: Column
+class Model:
+    """A way to score documents for topics.
 
+    ``weight`` is an expression over one matched term position, with the
+    columns ``tf`` and ``dl`` of the document, ``qtf``, ``df`` and ``cf`` of
+    the term, ``n_docs``, ``coll_len`` and ``avg_dl`` of the collection.
 
-@dataclass(frozen=True)
-class Total:
-    """How the weights of a pair come together.
+    ``score`` is an expression over a document and a topic, with ``{total}`` in
+    place of the total weight and the columns ``dl``, ``n_docs``, ``coll_len``, and ``n_terms`` and
+    ``query_weight`` (the sum of qtf), both over all positions of the topic,
+    matched or not. A score of 0, null or NaN means not retrieved.
 
-    ``aggregates(weight, pos, longest)`` gives the aggregates, ``result`` puts
-    them together. ``longest`` is the largest number of positions of any topic.
+    Documents without any term of the topic are never looked at, so a model
+    must be one that would not retrieve them. A ``conjunctive`` model retrieves
+    documents only that hold the term of every position.
     """
 
-    aggregates: Callable[[Column, Column, int], list[Column]]
-    result: Callable[[list[Column]], Column]
+    name: str
+    weight: str
+    score: str = "{total}"
+    conjunctive: bool = False
+    product: bool = False
 
 
 # Positions for which a product keeps one aggregate each.
 ORDERED_POSITIONS = 48
 
 
-def _factors(weight: Column, pos: Column, longest: int) -> list[Column]:
+def totals(model: Model, weight: str, longest: int) -> list[Column]:
+    """Aggregates over the column ``weight``, for topics of up to ``longest`` terms.
+
+    Rounding depends on the order of the factors, and documents of equal score
+    would change places: a product runs in query order, with one aggregate per
+    position. For very long topics it runs in the order of the words.
+    """
+    if not model.product:
+        return [F.sum(weight)]
     if longest > ORDERED_POSITIONS:
         return [F.product(weight)]
-    return [F.max(F.when(pos == n, weight)) for n in range(longest)]
-
-
-SUM = Total(lambda weight, pos, longest: [F.sum(weight)], lambda parts: parts[0])
-
-# Rounding depends on the order of the factors, and documents of equal score
-# would change places: the product runs in query order. For very long topics
-# it runs in the order of the words.
-PRODUCT = Total(
-    _factors, lambda parts: reduce(mul, [F.coalesce(p, F.lit(1.0)) for p in parts])
-)
-
+    return [F.expr(f"max(CASE WHEN pos = {n} THEN {weight} END)") for n in range(longest)]
 
-@dataclass(frozen=True)
-class Model:
-    """A way to score documents for topics.
 
-    A score of 0 or null means that the document is not retrieved. Documents
-    without any term of the topic are never looked at, so a model must be one
-    that would not retrieve them. A ``conjunctive`` model retrieves documents
-    only that hold the term of every position.
-    """
-
-    name: str
-    weight: Callable[[Match], Column]
-    finish: Callable[[Column, Pair], Column]
-    conjunctive: bool = False
-    total: Total = SUM
+def total(model: Model, columns: list[str]) -> str:
+    """What the columns of :func:`totals` come to."""
+    if not model.product:
+        return columns[0]
+    return " * ".join(f"coalesce({c}, 1D)" for c in columns)
 
 
-def _if_positive(total: Column, score: Column) -> Column:
-    return F.when(total > 0, score)
+def _number(value: float) -> str:
+    return f"CAST({value!r} AS DOUBLE)"
 
 
 def unsmoothed_lm(name: str = "LMno") -> Model:
@@ -101,27 +70,20 @@ def unsmoothed_lm(name: str = "LMno") -> Model:
 
     A plain product, which may underflow to 0.
     """
-
-    def weight(m: Match) -> Column:
-        p = m.tf.cast("double") / m.dl.cast("double")
-        repeated = F.aggregate(F.array_repeat(p, m.qtf), F.lit(1.0), lambda acc, x: acc * x)
-        return F.when(m.qtf == 1, p).otherwise(repeated)
-
-    return Model(name, weight, lambda total, pair: total * pair.dl, True, PRODUCT)
+    p = "CAST(tf AS DOUBLE) / CAST(dl AS DOUBLE)"
+    weight = f"CASE WHEN qtf = 1 THEN {p} ELSE pow({p}, qtf) END"
+    return Model(name, weight, "{total} * dl", conjunctive=True, product=True)
 
 
 def interpolated_lm(weight: float, name: str | None = None) -> Model:
     """Linear interpolation of document and collection model, length prior."""
-
-    def weigh(m: Match) -> Column:
-        foreground = m.tf.cast("double") * m.coll_len.cast("double") * weight
-        background = m.cf.cast("double") * m.dl.cast("double") * (1 - weight)
-        return m.qtf * F.ln(1 + foreground / background)
-
-    def finish(total: Column, pair: Pair) -> Column:
-        return _if_positive(total, total + F.ln(pair.dl.cast("double")))
-
-    return Model(name or f"LMs{weight:.1f}", weigh, finish)
+    foreground = f"CAST(tf AS DOUBLE) * CAST(coll_len AS DOUBLE) * {_number(weight)}"
+    background = f"CAST(cf AS DOUBLE) * CAST(dl AS DOUBLE) * {_number(1 - weight)}"
+    return Model(
+        name or f"LMs{weight:.1f}",
+        f"qtf * ln(1 + ({foreground}) / ({background}))",
+        "CASE WHEN {total} > 0 THEN {total} + ln(CAST(dl AS DOUBLE)) END",
+    )
 
 
 def dirichlet_lm(mu: float = 2500.0, name: str = "LMdi") -> Model:
@@ -131,31 +93,26 @@ def dirichlet_lm(mu: float = 2500.0, name: str = "LMdi") -> Model:
     is added for every position at the end, and matches weigh what they have
     beyond it. Without any match the score would be negative.
     """
-
-    def weigh(m: Match) -> Column:
-        per_hit = F.call_function("div", m.coll_len, m.cf)
-        return m.qtf * (F.ln(m.tf * per_hit + mu) - F.ln(F.lit(mu)))
-
-    def finish(total: Column, pair: Pair) -> Column:
-        score = total + pair.query_weight * (F.ln(F.lit(mu)) - F.ln(pair.dl + mu))
-        return _if_positive(score, score)
-
-    return Model(name, weigh, finish)
+    m = _number(mu)
+    score = f"{{total}} + query_weight * (ln({m}) - ln(dl + {m}))"
+    return Model(
+        name,
+        f"qtf * (ln(tf * (coll_len div cf) + {m}) - ln({m}))",
+        f"CASE WHEN {score} > 0 THEN {score} END",
+    )
 
 
 def bm25(k1: float = 1.2, b: float = 0.75, name: str = "BM25") -> Model:
-    """Okapi weighting. A term in over half of the documents weighs negative."""
-
-    def weigh(m: Match) -> Column:
-        k = k1 * ((1 - b) + b * (m.dl.cast("double") / m.avg_dl))
-        saturation = (k1 + 1) * m.tf / (k + m.tf)
-        idf_of = (m.n_docs - m.df + 0.5) / (m.df + 0.5)
-        # no logarithm when df exceeds n_docs, as statistics of another
-        # collection may have it: such a document is not retrieved
-        idf = F.when(idf_of > 0, F.ln(idf_of)).otherwise(F.lit(float("nan")))
-        return m.qtf * saturation * idf
-
-    return Model(name, weigh, lambda total, pair: total)
+    """Okapi weighting. A term in over half of the documents weighs negative.
+
+    There is no logarithm when df exceeds n_docs, as statistics of another
+    collection may have it: such a document is not retrieved.
+    """
+    k = f"{_number(k1)} * ({_number(1 - b)} + {_number(b)} * (CAST(dl AS DOUBLE) / avg_dl))"
+    saturation = f"({_number(k1 + 1)} * tf) / ({k} + tf)"
+    odds = "(n_docs - df + 0.5D) / (df + 0.5D)"
+    idf = f"CASE WHEN {odds} > 0 THEN ln({odds}) ELSE CAST('NaN' AS DOUBLE) END"
+    return Model(name, f"qtf * ({saturation}) * ({idf})")
 
 
 def lambda_sweep(start: float = 0.1, step: float = 0.2, stop: float = 1.0) -> list[Model]:

@@ -5,22 +5,54 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.operators.models import Match, Model, Pair
+from siftrank.operators.models import Model, total, totals
+from siftrank.session import shuffle_partitions
+
+_DOCUMENT = ["doc_id", "split", "row", "dl"]
+_TOPIC = ["n_terms", "query_weight", "n_docs", "coll_len"]
 
 
 def topic_positions(weighted: DataFrame) -> DataFrame:
     """One row per topic and term position, with the figures of its topic."""
-    query_weight = F.aggregate(
-        "terms", F.lit(0).cast("long"), lambda total, t: total + t["qtf"]
-    )
-    return weighted.select(
+    return weighted.selectExpr(
         "qid",
-        F.size("terms").alias("n_terms"),
-        query_weight.alias("query_weight"),
+        "size(terms) AS n_terms",
+        "aggregate(terms, 0L, (total, t) -> total + t.qtf) AS query_weight",
         "n_docs",
         "coll_len",
-        F.posexplode("terms").alias("pos", "t"),
-    ).select("qid", "pos", "n_terms", "query_weight", "n_docs", "coll_len", "t.*")
+        "CAST(coll_len AS DOUBLE) / CAST(n_docs AS DOUBLE) AS avg_dl",
+        "posexplode(terms) AS (pos, t)",
+    ).select("qid", "pos", *_TOPIC, "avg_dl", "t.*")
+
+
+def _pairs(
+    hits: DataFrame, weighted: DataFrame, models: list[Model], longest: int
+) -> DataFrame:
+    placed = (
+        hits.selectExpr(
+            "doc_id", "dl", "tf",
+            "spark_partition_id() AS split", "monotonically_increasing_id() AS row",
+        )
+        .repartition(shuffle_partitions(hits.sparkSession), "doc_id", "split")
+        .selectExpr(*_DOCUMENT, "explode_outer(tf) AS (term, tf)")
+        .filter("term IS NOT NULL")
+    )
+    weights = (
+        placed.join(F.broadcast(topic_positions(weighted)), "term")
+        .selectExpr(
+            *_DOCUMENT, "qid", "pos", *_TOPIC,
+            *[f"{m.weight} AS weight_{n}" for n, m in enumerate(models)],
+        )
+    )
+    aggregates = [
+        aggregate.alias(f"total_{n}_{i}")
+        for n, m in enumerate(models)
+        for i, aggregate in enumerate(totals(m, f"weight_{n}", longest))
+    ]
+    figures = [F.max(c).alias(c) for c in _TOPIC]
+    return weights.groupBy(*_DOCUMENT, "qid").agg(
+        F.count("*").alias("n_matched"), *figures, *aggregates
+    )
 
 
 def score_documents(
@@ -29,8 +61,9 @@ def score_documents(
     """``(qid, model, doc_id, score)`` for all pairs with a score other than 0.
 
     ``weighted`` must be a checked slice of the topics: it is broadcast, and
-    no topic of it has more than ``longest`` terms. The join is on terms, so only pairs that share one come into being; the models
-    are such that no other pair could score.
+    no topic of it has more than ``longest`` terms. The join is on terms, so
+    only pairs that share one come into being; the models are such that no
+    other pair could score.
 
     Hits are shuffled once, before they multiply: a row per document, with its
     counts of query terms but without its text. The documents' matches with
@@ -39,46 +72,24 @@ def score_documents(
     a task that has to run again sends the same rows to the same places, and
     rows that share an id are still spread.
     """
-    placed = (
-        hits.select(
-            "doc_id",
-            "dl",
-            "tf",
-            F.spark_partition_id().alias("split"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-        .repartition("doc_id", "split")
-        .select("doc_id", "split", "row", "dl", F.explode_outer("tf").alias("term", "tf"))
-        .filter(F.col("term").isNotNull())
-    )
-    matches = placed.join(F.broadcast(topic_positions(weighted)), "term")
-    match = Match(*[F.col(c) for c in ("tf", "dl", "qtf", "df", "cf", "n_docs", "coll_len")])
-    totals = [m.total.aggregates(m.weight(match), F.col("pos"), longest) for m in models]
-    named = [[f"total_{n}_{i}" for i in range(len(parts))] for n, parts in enumerate(totals)]
-    topic = ["n_terms", "query_weight", "n_docs", "coll_len"]
-    pairs = matches.groupBy("doc_id", "split", "row", "dl", "qid").agg(
-        F.count("*").alias("n_matched"),
-        *[F.max(c).alias(c) for c in topic],
-        *[
-            part.alias(name)
-            for parts, names in zip(totals, named, strict=True)
-            for part, name in zip(parts, names, strict=True)
-        ],
-    )
-    whole = F.col("n_matched") == F.col("n_terms")
+    pairs = _pairs(hits, weighted, models, longest)
     if all(m.conjunctive for m in models):
-        pairs = pairs.filter(whole)
-    pair = Pair(*[F.col(c) for c in ("dl", *topic)])
+        pairs = pairs.filter("n_matched = n_terms")
+    products = [
+        f"{total(m, [c for c in pairs.columns if c.startswith(f'total_{n}_')])} AS total_{n}"
+        for n, m in enumerate(models)
+    ]
     scores = []
-    for model, names in zip(models, named, strict=True):
-        score = model.finish(model.total.result([F.col(n) for n in names]), pair)
+    for n, model in enumerate(models):
+        score = model.score.format(total=f"total_{n}")
         if model.conjunctive:
-            score = F.when(whole, score)
-        scores.append(F.struct(F.lit(model.name).alias("model"), score.alias("score")))
+            score = f"CASE WHEN n_matched = n_terms THEN {score} END"
+        scores.append(f"named_struct('model', '{model.name}', 'score', CAST({score} AS DOUBLE))")
     return (
-        pairs.select("qid", "doc_id", F.explode(F.array(*scores)).alias("s"))
+        pairs.selectExpr("qid", "doc_id", "dl", "n_matched", *_TOPIC, *products)
+        .selectExpr("qid", "doc_id", f"explode(array({', '.join(scores)})) AS s")
         .select("qid", "s.model", "doc_id", "s.score")
-        .filter((F.col("score") != 0) & ~F.isnan("score"))
+        .filter("score <> 0 AND NOT isnan(score)")
     )
 
 
@@ -104,5 +115,27 @@ def best(scored: DataFrame, k: int, salts: int = 1) -> DataFrame:
     return ranked(scored, "qid", "model")
 
 
+def floors(sampled: DataFrame, k: int, salts: int = 1) -> DataFrame:
+    """``(qid, model, floor)``: the ``k``-th best score among some documents.
+
+    Wherever a sample already has ``k`` documents, no document that scores less
+    than the last of them is among the best ``k`` of all.
+    """
+    last = best(sampled, k, salts).filter(F.col("rank") == k)
+    return last.select("qid", "model", F.col("score").alias("floor"))
+
+
+def not_below(scored: DataFrame, floor: DataFrame) -> DataFrame:
+    """Leaves out scores that cannot be among the best.
+
+    ``floor`` has at most one row per topic and model and is broadcast.
+    """
+    return (
+        scored.join(F.broadcast(floor), ["qid", "model"], "left")
+        .filter("floor IS NULL OR score >= floor")
+        .drop("floor")
+    )
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -23,6 +23,7 @@ class TopicSlice:
     vocabulary: list[str]
     without_terms: list[str]
     longest: int
+    n_docs: int
 
 
 def _slice(spark: SparkSession, rows: pa.Table) -> TopicSlice:
@@ -36,6 +37,7 @@ def _slice(spark: SparkSession, rows: pa.Table) -> TopicSlice:
         sorted(words.unique().to_pylist()),
         sorted(rows["qid"].filter(pc.equal(lengths, 0)).to_pylist()),
         pc.max(lengths).as_py() or 1,
+        (pc.max(rows["n_docs"]).as_py() or 0) if "n_docs" in rows.column_names else 0,
     )
 
 
@@ -45,6 +47,16 @@ def _positions(rows: pa.Table) -> int:
     return pc.sum(lengths).as_py() or 0
 
 
+def local(rows: DataFrame) -> DataFrame:
+    """A result of at most a few rows per topic, fetched and held as a local table."""
+    return rows.sparkSession.createDataFrame(rows.toArrow())
+
+
+def fetch(topics: DataFrame) -> TopicSlice:
+    """Topics that are known to be few, such as a slice with statistics added."""
+    return _slice(topics.sparkSession, topics.toArrow())
+
+
 def topic_slices(topics: DataFrame, max_positions: int = MAX_POSITIONS) -> list[TopicSlice]:
     """The topic set in parts that are each small enough to broadcast.
 

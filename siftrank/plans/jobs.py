@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from siftrank.operators.hits import document_hits
 from siftrank.operators.links import ANCHOR_CHARS, PAGE_CHARS, gather_anchors
 from siftrank.operators.models import BASELINES, Model, unsmoothed_lm
-from siftrank.operators.scoring import best, score_documents, union
+from siftrank.operators.scoring import best, floors, not_below, score_documents, union
 from siftrank.operators.statistics import counters, weigh_topics
-from siftrank.operators.topics import as_weighted, topic_slices
+from siftrank.operators.topics import as_weighted, fetch, local, topic_slices
 from siftrank.session import salts_for, written
 
 # Fixed value: how many documents a run lists per topic and model.
 TOP = 1000
 
+# Share of the documents that is ranked first to find out which scores matter,
+# and how many times the length of a run a collection must have for that.
+SAMPLE = 1 / 64
+SAMPLE_FROM = 256
+
 
 def _rank(scored: DataFrame, k: int) -> DataFrame:
     spark = scored.sparkSession
@@ -81,6 +86,31 @@ def term_statistics(docs: DataFrame, topics: DataFrame) -> DataFrame:
     )
 
 
+def _run(hits: DataFrame, weighted: DataFrame, models: Sequence[Model], k: int) -> DataFrame:
+    """Ranked scores for a slice of weighted topics, which are fetched here."""
+    part = fetch(_occurring(weighted))
+    return _rank(score_documents(hits, part.topics, list(models), part.longest), k)
+
+
+def _run_over_table(
+    hits: DataFrame, weighted: DataFrame, models: Sequence[Model], k: int
+) -> DataFrame:
+    """The same for hits that are stored, and so cheap to read twice.
+
+    In a large collection every task would sort, and send, the best ``k`` of
+    its own documents for each topic and model. A sample of the hits is ranked
+    first, and what scores below its best ``k`` is left out before the sort.
+    """
+    part = fetch(_occurring(weighted))
+    scored = score_documents(hits, part.topics, list(models), part.longest)
+    if part.n_docs >= SAMPLE_FROM * k:
+        some = score_documents(
+            hits.sample(SAMPLE, seed=1), part.topics, list(models), part.longest
+        )
+        scored = not_below(scored, local(floors(some, k, salts_for(hits.sparkSession))))
+    return _rank(scored, k)
+
+
 def _occurring(weighted: DataFrame) -> DataFrame:
     """Without the terms that the collection lacks, and topics of only such."""
     return weighted.withColumn(
@@ -95,11 +125,12 @@ def baseline_run(
     k: int = TOP,
 ) -> DataFrame:
     """All models in one pass over the documents, from weighted topics."""
-    runs = []
-    for part in topic_slices(_occurring(weighted)):
-        hits = document_hits(docs, part.vocabulary)
-        runs.append(_rank(score_documents(hits, part.topics, list(models), part.longest), k))
-    return union(runs)
+    return union(
+        [
+            _run(document_hits(docs, part.vocabulary), part.topics, models, k)
+            for part in topic_slices(weighted)
+        ]
+    )
 
 
 def experiment(
@@ -117,6 +148,5 @@ def experiment(
     runs = []
     for part in topic_slices(topics):
         hits = written(document_hits(docs, part.vocabulary), "hits")
-        weighted = _occurring(weigh_topics(part.topics, counters(hits)))
-        runs.append(_rank(score_documents(hits, weighted, list(models), part.longest), k))
+        runs.append(_run_over_table(hits, weigh_topics(part.topics, counters(hits)), models, k))
     return union(runs)

@@ -7,14 +7,17 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def salts_for(spark: SparkSession) -> int:
     """Parts into which a hot group is split before its final ranking.
 
     Grows with the cluster: one per eight shuffle partitions, so that a group
     that holds most rows still keeps a good share of the tasks busy.
     """
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(512, partitions // 8))
+    return max(1, min(512, shuffle_partitions(spark) // 8))
 
 
 @cache

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftrank import BASELINES, baseline_run, bm25, experiment, lambda_sweep, simple_run, term_statistics
 from siftrank.operators.hits import document_hits, term_frequencies
 from siftrank.operators.models import interpolated_lm, unsmoothed_lm
-from siftrank.operators.scoring import best, score_documents
+from siftrank.operators.scoring import best, floors, not_below, score_documents
 from siftrank.operators.statistics import collection_stats
 from siftrank.operators.topics import last_wins, topic_slices
 from siftrank.sources.text import parse_topics, parse_weighted_topics, topics_from_text
@@ -192,6 +192,29 @@ def test_ties_are_ordered_by_document(spark, scored):
         assert [r["rank"] for r in top if r.qid == qid] == list(range(1, 41))
 
 
+@pytest.mark.parametrize("k", [1, 7, 50, 400])
+def test_floors_leave_the_run_as_it_is(scored, k):
+    columns = ("qid", "doc_id", "score", "rank")
+    expected = rows(best(scored, k), *columns)
+    for fraction in (0.0, 0.1, 0.7):
+        floor = floors(scored.sample(fraction, seed=3), k)
+        assert rows(best(not_below(scored, floor), k), *columns) == expected
+
+
+def test_sampled_experiment_equals_plain_run(spark):
+    """Large enough for its size to be sampled first."""
+    docs = spark.range(0, 3000, 1, 5).selectExpr(
+        "concat('d', id) AS doc_id",
+        "array_join(transform(sequence(0, id % 37), i -> concat('w', (i * id + id) % 11)), ' ') AS text",
+    )
+    asked = topics(spark, "1:w1 w2\n2:w3\n3:w4 w5 w6\n4:w10 unseen")
+    columns = ("qid", "model", "rank", "doc_id", "score")
+    sampled = experiment(docs, asked, k=10)
+    assert "floor" in sampled._jdf.queryExecution().optimizedPlan().toString()
+    plain = baseline_run(docs, term_statistics(docs, asked), k=10)
+    assert rows(sampled, *columns) == rows(plain, *columns)
+
+
 @pytest.mark.parametrize(("salts", "parts"), [(2, 3), (5, 1), (16, 9)])
 def test_salting_and_partitioning_do_not_change_the_run(scored, salts, parts):
     columns = ("qid", "doc_id", "score", "rank")
