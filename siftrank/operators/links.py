@@ -109,44 +109,48 @@ def gather_anchors(
         .select(
             F.when(is_link, F.col("target_url")).otherwise(own_key).alias("url"),
             "src",
+            is_link.alias("is_link"),
             F.when(is_link, F.col("pos")).alias("pos"),
             F.when(is_link, F.col("anchor_text")).alias("anchor"),
+            F.when(is_link, F.length("anchor_text") + 1).alias("chars"),
+            F.when(~is_link, F.col("src")).alias("page_id"),
         )
     )
     if salts > 1:
         salted = keyed.withColumn("salt", F.spark_partition_id() % salts)
-        keyed = _within_limit(salted, ["url", "salt"], max_chars).drop("salt", "page")
+        keyed = _within_limit(salted, ["url", "salt"], max_chars).drop("salt", "page", "nth")
     kept = _within_limit(keyed, ["url"], max_chars)
     return (
-        kept.filter(F.col("anchor").isNotNull() & F.col("page").isNotNull())
+        kept.filter(F.col("is_link") & F.col("page").isNotNull())
         .groupBy("url", "page")
-        .agg(F.sort_array(F.collect_list(F.struct("src", "pos", "anchor"))).alias("links"))
+        .agg(F.sort_array(F.collect_list(F.struct("nth", "anchor"))).alias("links"))
         .select(F.col("page").alias("doc_id"), "url", F.col("links.anchor").alias("anchors"))
     )
 
 
 def _within_limit(keyed: DataFrame, group: list[str], max_chars: int) -> DataFrame:
-    """First page and leading links of each group, with its ``page`` id."""
-    ordered = Window.partitionBy(*group).orderBy(
-        F.col("pos").isNotNull(), "src", "pos", "anchor"
-    )
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    is_page = F.col("pos").isNull()
+    """First page and leading links of each group, with its ``page`` and their order."""
+    # on columns, not on expressions: the three windows then share one sort
+    ordered = Window.partitionBy(*group).orderBy("is_link", "src", "pos", "anchor")
     return (
-        keyed.withColumn("nth", F.row_number().over(ordered))
-        .withColumn(
-            "used",
-            F.coalesce(F.sum(F.length("anchor") + 1).over(before), F.lit(0)),
+        keyed.withColumns(
+            {
+                "nth": F.row_number().over(ordered),
+                "used": F.sum("chars").over(
+                    ordered.rowsBetween(Window.unboundedPreceding, -1)
+                ),
+                "page": F.first("page_id").over(
+                    ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                ),
+            }
         )
-        .withColumn("page", F.first(F.when(is_page, F.col("src"))).over(
-            ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ))
         .filter(
-            F.when(is_page, F.col("nth") == 1).otherwise(
-                F.length("url") + F.col("used") < max_chars
-            )
+            F.when(
+                F.col("is_link"),
+                F.length("url") + F.coalesce("used", F.lit(0)) < max_chars,
+            ).otherwise(F.col("nth") == 1)
         )
-        .drop("nth", "used")
+        .drop("used")
     )
 
 

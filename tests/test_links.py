@@ -147,3 +147,4 @@ def test_pages_are_read_once(spark, tmp_path):
     plan = gather_anchors(spark.read.parquet(folder), salts=4)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 2
+    assert text.count("Sort [") == 2
