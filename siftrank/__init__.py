@@ -4,6 +4,7 @@ A collection is read once, every document is scored against every topic while
 it passes by, and only the best k per topic and model are shuffled.
 """
 
+from siftrank.operators.links import anchor_text_documents, extract_links
 from siftrank.operators.models import (
     BASELINES,
     Model,
@@ -28,15 +29,18 @@ from siftrank.sources.text import (
     read_topics,
     read_weighted_topics,
 )
+from siftrank.sources.warc import read_warc, warc_documents, warc_pages
 
 __all__ = [
     "BASELINES",
     "Model",
     "anchor_documents",
+    "anchor_text_documents",
     "baseline_run",
     "bm25",
     "dirichlet_lm",
     "experiment",
+    "extract_links",
     "interpolated_lm",
     "lambda_sweep",
     "read_anchors",
@@ -44,8 +48,11 @@ __all__ = [
     "read_keyval",
     "read_run",
     "read_topics",
+    "read_warc",
     "read_weighted_topics",
     "simple_run",
     "term_statistics",
     "unsmoothed_lm",
+    "warc_documents",
+    "warc_pages",
 ]

@@ -37,11 +37,6 @@ def collection_stats(hits: DataFrame) -> DataFrame:
     )
 
 
-def term_stats(counted: DataFrame) -> DataFrame:
-    """``(term, df, cf)`` of the query terms that occur in the collection."""
-    return counted.filter(F.col("term").isNotNull())
-
-
 def statistics_row(counted: DataFrame) -> DataFrame:
     """``counted`` as one row ``(n_docs, coll_len, terms)``.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftrank.functions.text import query_terms
 from siftrank.operators.topics import last_wins
+from siftrank.session import spread
 from siftrank.sources.warc import read_warc, warc_documents
 
 # Header lines of a topic file with statistics. The word after
@@ -35,7 +36,7 @@ def _require(condition: Column, value: Column, message: str) -> Column:
 def read_keyval(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, text)``: lines cut at the first tab; no tab means no text."""
     halves = F.split("value", "\t", 2)
-    return spark.read.text(path).select(
+    return spread(spark.read.text(path)).select(
         halves[0].alias("doc_id"), F.coalesce(F.get(halves, 1), F.lit("")).alias("text")
     )
 
@@ -46,7 +47,7 @@ def read_documents(spark: SparkSession, path: str, input_format: str = "WARC") -
     if kind == "KEYVAL":
         return read_keyval(spark, path)
     if kind == "WARC":
-        return warc_documents(read_warc(spark, path))
+        return warc_documents(spread(read_warc(spark, path)))
     raise ValueError(f"input format must be WARC or KEYVAL, not {input_format!r}")
 
 
