@@ -7,7 +7,9 @@ record at a time; what is held in memory is one batch of records.
 
 import gzip
 import io
+import json
 import sys
+from urllib.parse import unquote
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -109,12 +111,12 @@ class WarcFile(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, record_type: str):
-        self.path = path
+    def __init__(self, paths: list[str], record_type: str):
+        self.paths = paths
         self.record_type = record_type
 
     def partitions(self) -> list[InputPartition]:
-        return [WarcFile(path) for path in list_files(self.path)]
+        return [WarcFile(path) for path in self.paths]
 
     def read(self, partition: WarcFile):
         import pyarrow as pa
@@ -145,7 +147,10 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """``format("warc")`` with the option ``record_type`` (default ``response``)."""
+    """``format("warc")``, over one file or, in the option ``files``, a JSON list.
+
+    ``record_type`` says which records to read; the default is ``response``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -155,15 +160,22 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("record_type", "response"))
+        files = self.options.get("files")
+        paths = json.loads(files) if files else [self.options["path"]]
+        return WarcReader(paths, self.options.get("record_type", "response"))
 
 
 def _file_system(path: str):
+    """File system and path within it; a path without scheme is a local one."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    scheme, separator, rest = path.partition(":")
+    if not separator or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    # object stores go by another name there
+    return fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else path)
 
 
 def open_stream(path: str):
@@ -175,43 +187,10 @@ def open_stream(path: str):
     return io.BufferedReader(raw, 1 << 20)
 
 
-def list_files(pattern: str) -> list[str]:
-    """Files a path, folder or glob stands for, hidden ones left out.
-
-    Sorted by size, largest first, so that long tasks do not start last.
-    """
-    import fnmatch
-    import re
-
-    from pyarrow import fs
-
-    magic = re.search(r"[*?\[]", pattern)
-    root = pattern[: magic.start()].rpartition("/")[0] if magic else pattern
-    file_system, inner = _file_system(root or ".")
-    prefix = root[: len(root) - len(inner)] if root.endswith(inner) else ""
-    info = file_system.get_file_info(inner)
-    if info.type == fs.FileType.NotFound:
-        raise FileNotFoundError(pattern)
-    if info.type == fs.FileType.File:
-        return [pattern]
-    wanted = pattern[len(root) :].strip("/").split("/") if magic else []
-    found = []
-    pending = [(inner, wanted)]
-    while pending:
-        folder, parts = pending.pop()
-        for entry in file_system.get_file_info(fs.FileSelector(folder)):
-            if entry.base_name.startswith(("_", ".")):
-                continue
-            if parts and not fnmatch.fnmatchcase(entry.base_name, parts[0]):
-                continue
-            if entry.type == fs.FileType.Directory:
-                # below the pattern's last part everything counts
-                pending.append((entry.path, parts[1:]))
-            elif len(parts) <= 1:
-                found.append((-(entry.size or 0), prefix + entry.path))
-    if not found:
-        raise FileNotFoundError(pattern)
-    return [path for _, path in sorted(found)]
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Files that a path, folder or glob stands for, as Spark's own sources see it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return sorted(unquote(f) for f in files.inputFiles())
 
 
 def read_warc(spark: SparkSession, path: str, record_type: str = "response") -> DataFrame:
@@ -219,7 +198,12 @@ def read_warc(spark: SparkSession, path: str, record_type: str = "response") ->
     # by value, so that executors need no copy of this package
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("record_type", record_type).load(path)
+    return (
+        spark.read.format("warc")
+        .option("record_type", record_type)
+        .option("files", json.dumps(list_files(spark, path)))
+        .load()
+    )
 
 
 def warc_pages(records: DataFrame, id_field: str = "WARC-TREC-ID") -> DataFrame:

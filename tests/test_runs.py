@@ -12,6 +12,7 @@ from siftrank.operators.models import interpolated_lm, unsmoothed_lm
 from siftrank.operators.scoring import best, floors, not_below, score_documents
 from siftrank.operators.statistics import collection_stats
 from siftrank.operators.topics import last_wins, topic_slices
+from siftrank.session import salts_for, shared_folder, written
 from siftrank.sources.text import parse_topics, parse_weighted_topics, topics_from_text
 
 DOCS = [("d1", "a b a"), ("d2", "b c"), ("d3", ""), ("d4", "a"), ("d4", "a")]
@@ -31,6 +32,21 @@ def rows(run, *columns):
     return sorted(tuple(r) for r in run.select(*columns).collect())
 
 
+class Settings(dict):
+    @property
+    def conf(self):
+        return self
+
+
+def test_intermediate_tables_go_to_the_shared_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == folder
+    assert written(spark.range(3), "some").inputFiles()[0].startswith(f"file://{folder}/some-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Settings({"spark.master": "spark://host:7077"}))
+    assert salts_for(Settings({"spark.sql.shuffle.partitions": "8000"})) == 512
+
+
 def test_hits(spark, docs):
     hits = document_hits(docs, ["a", "b", "zz"])
     found = sorted((r.doc_id, r.dl, r.tf) for r in hits.collect())

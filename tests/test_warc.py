@@ -89,23 +89,24 @@ def test_cut_off_record_is_dropped(spark, tmp_path):
 
 
 def test_one_partition_per_file(spark, tmp_path):
-    for folder in ("en1", "en2", "fr1"):
+    for folder in ("en 1", "en 2", "fr1"):
         (tmp_path / folder).mkdir()
         for name in ("a.warc", "b.warc", "_hidden", ".x"):
             (tmp_path / folder / name).write_bytes(record(folder + name, "x"))
     root = str(tmp_path)
-    assert len(list_files(root)) == 6
-    assert len(list_files(f"{root}/en*")) == 4
-    assert len(list_files(f"{root}/*/")) == 6
-    assert len(list_files(f"{root}/*/a.warc")) == 3
-    assert list_files(f"{root}/en1/a.warc") == [f"{root}/en1/a.warc"]
-    assert list_files(f"file://{root}/en1") == list_files(f"file://{root}/en1/*")
-    for missing in (f"{root}/nothing", f"{root}/z*"):
-        with pytest.raises(FileNotFoundError):
-            list_files(missing)
-    frame = read_warc(spark, f"file://{root}/en*/*")
+    assert len(list_files(spark, root)) == 6
+    assert len(list_files(spark, f"{root}/en *")) == 4
+    assert len(list_files(spark, f"{root}/*/")) == 6
+    assert len(list_files(spark, f"{root}/*/a.warc")) == 3
+    (file,) = list_files(spark, f"{root}/en 1/a.warc")
+    assert file.startswith("file:/") and file.endswith(f"{root}/en 1/a.warc")
+    with pytest.raises(Exception, match="(?i)not exist|not_found"):
+        list_files(spark, f"{root}/nothing")
+    frame = read_warc(spark, f"file://{root}/en */*")
     assert frame.rdd.getNumPartitions() == 4
     assert frame.count() == 4
+    one = spark.read.format("warc").load(f"{root}/fr1/b.warc")
+    assert one.count() == 1
 
 
 def test_documents(spark, tmp_path):
