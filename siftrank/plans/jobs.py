@@ -5,6 +5,7 @@ Documents are ``(doc_id, text)``, pages ``(doc_id, url, html)``, topics
 """
 
 from collections.abc import Sequence
+from math import sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,9 @@ from siftrank.session import salts_for, written
 # Fixed value: how many documents a run lists per topic and model.
 TOP = 1000
 
-# Share of the documents that is ranked first to find out which scores matter,
-# and how many times the length of a run a collection must have for that.
-SAMPLE = 1 / 64
-SAMPLE_FROM = 256
+# How many times the length of a run a collection must have for a sample of it
+# to be ranked first.
+SAMPLE_FROM = 64
 
 
 def _rank(scored: DataFrame, k: int) -> DataFrame:
@@ -51,7 +51,8 @@ def simple_run(docs: DataFrame, topics: DataFrame, k: int = TOP) -> DataFrame:
     runs = []
     for part in topic_slices(topics):
         hits = document_hits(docs, part.vocabulary)
-        runs.append(_rank(score_documents(hits, as_weighted(part.topics), [model], part.longest), k))
+        scored = score_documents(hits, as_weighted(part.topics), [model], part.longest)
+        runs.append(_rank(scored, k))
         if part.without_terms:
             runs.append(_longest(docs, part.without_terms, model.name, k))
     return union(runs)
@@ -100,13 +101,14 @@ def _run_over_table(
     In a large collection every task would sort, and send, the best ``k`` of
     its own documents for each topic and model. A sample of the hits is ranked
     first, and what scores below its best ``k`` is left out before the sort.
+    A share ``s`` of ``n`` documents leaves about ``k / s`` per topic, so that
+    both are small at ``s = sqrt(k / n)``.
     """
     part = fetch(_occurring(weighted))
     scored = score_documents(hits, part.topics, list(models), part.longest)
     if part.n_docs >= SAMPLE_FROM * k:
-        some = score_documents(
-            hits.sample(SAMPLE, seed=1), part.topics, list(models), part.longest
-        )
+        sample = hits.sample(sqrt(k / part.n_docs), seed=1)
+        some = score_documents(sample, part.topics, list(models), part.longest)
         scored = not_below(scored, local(floors(some, k, salts_for(hits.sparkSession))))
     return _rank(scored, k)
 

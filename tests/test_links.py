@@ -31,15 +31,15 @@ def test_page_to_rows(spark):
 def test_join_and_glue(spark):
     pages = spark.createDataFrame(
         [
-            ("T0", "http://x.nl", "<a href='http://u.nl/'>University of Twente</a> <a href=http://u.nl>UT</a>"),
+            ("T0", "http://x.nl", "<a href='http://u.nl/'>University of Anywhere</a> <a href=http://u.nl>UT</a>"),
             ("T1", "http://u.nl", ""),
         ],
         PAGES,
     )
     found = anchor_documents(pages).collect()
-    assert [tuple(r) for r in found] == [("T1", "http://u.nl", ["University of Twente", "UT"])]
+    assert [tuple(r) for r in found] == [("T1", "http://u.nl", ["University of Anywhere", "UT"])]
     text = anchor_text_documents(anchor_documents(pages)).first().text
-    assert text == "http://u.nl\tUniversity of Twente\tUT"
+    assert text == "http://u.nl\tUniversity of Anywhere\tUT"
 
 
 def test_whole_job(spark):
