@@ -6,12 +6,16 @@ ranks come from the unrounded ones.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank import (
+sys.path.insert(0, str(Path(__file__).parent))
+
+from siftrank import (  # noqa: E402
     BASELINES,
     anchor_documents,
     baseline_run,
