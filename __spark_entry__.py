@@ -352,7 +352,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return _baseline(BASELINES)(spark, "/root/testdata/sf0.001")
 
 
+def _added() -> tuple[dict, dict]:
+    """Queries and SQL of the text preparation operators, if their folder is there."""
+    try:
+        import siftrank.llm  # noqa: F401
+    except ModuleNotFoundError as missing:
+        if missing.name != "siftrank.llm":
+            raise
+        return {}, {}
+    from siftrank.llm.queries import ORACLE_SQL, QUERIES
+
+    return QUERIES, ORACLE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | _added()[0]
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "doc_tokens_length": doc_tokens_length,
         "html_to_text": html_to_text,
@@ -585,6 +602,10 @@ def _run_sql(
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_sql() | _added()[1]
+
+
+def _own_sql() -> dict[str, str]:
     documents = "WITH " + _topic_values(TOPICS) + _TOPIC_TERMS + _DOCS + _COUNTS
     anchor_rows = " SELECT doc_id, url, anchors FROM anchor_docs"
     file_topics = """
