@@ -4,7 +4,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.llm.decontaminate import benchmark_overlaps
+from siftrank.llm.quality import judged_documents
 from siftrank.llm.similar import similar_components
+from siftrank.llm.url_filters import judged_urls
+
+# The rules of the URL query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +32,29 @@ def op10_benchmark_overlaps(spark, sf_dir):
     )
 
 
+def op8_judged_urls(spark, sf_dir):
+    judged = judged_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_judged_documents(spark, sf_dir):
+    judged = judged_documents(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 QUERIES = {
     "op4_similar_documents": op4_similar_documents,
+    "op8_judged_urls": op8_judged_urls,
+    "op9_judged_documents": op9_judged_documents,
     "op10_benchmark_overlaps": op10_benchmark_overlaps,
 }
 
