@@ -3,9 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from siftrank.llm.byte_bpe import encoded_documents
 from siftrank.llm.decontaminate import benchmark_overlaps
 from siftrank.llm.quality import judged_documents
+from siftrank.llm.secrets import found_secrets, joined_spans
 from siftrank.llm.similar import similar_components
+from siftrank.llm.token_counts import token_counts
 from siftrank.llm.url_filters import judged_urls
 
 # The rules of the URL query.
@@ -22,6 +27,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark, sf_dir):
+    return token_counts(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op4_similar_documents(spark, sf_dir):
     return similar_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -32,6 +45,37 @@ def op10_benchmark_overlaps(spark, sf_dir):
     )
 
 
+def op5_found_secrets(spark, sf_dir):
+    found = found_secrets(_table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["kind"] != "literal")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(joined_spans(plain).cast("binary"), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_byte_bpe(spark, sf_dir):
+    rows = encoded_documents(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_judged_urls(spark, sf_dir):
     judged = judged_urls(_table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -52,7 +96,10 @@ def op9_judged_documents(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op4_similar_documents": op4_similar_documents,
+    "op5_found_secrets": op5_found_secrets,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_judged_urls": op8_judged_urls,
     "op9_judged_documents": op9_judged_documents,
     "op10_benchmark_overlaps": op10_benchmark_overlaps,
