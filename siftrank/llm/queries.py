@@ -7,10 +7,12 @@ import public_tokenizers
 
 from siftrank.llm.byte_bpe import encoded_documents
 from siftrank.llm.decontaminate import benchmark_overlaps
+from siftrank.llm.languages import identified_languages, learned_languages
 from siftrank.llm.quality import judged_documents
 from siftrank.llm.secrets import found_secrets, joined_spans
 from siftrank.llm.similar import similar_components
 from siftrank.llm.token_counts import token_counts
+from siftrank.llm.toxicity import labelled_sample, learned_lexicon, toxicity_scores
 from siftrank.llm.url_filters import judged_urls
 
 # The rules of the URL query.
@@ -27,6 +29,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LABELLED_ROWS = 20_000
+
+
+def _remainder(divisor):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    lexicon = learned_lexicon(labelled_sample(docs, labels, LABELLED_ROWS))
+    scores = toxicity_scores(docs, lexicon)
+    return scores.select(
+        "doc_id",
+        F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts(
         _table(spark, sf_dir, "documents"),
@@ -76,6 +98,14 @@ def op6_byte_bpe(spark, sf_dir):
     )
 
 
+def op7_languages(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = learned_languages(docs.where(_remainder(4) != 2).select("text", "lang"))
+    found = identified_languages(docs, model)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op8_judged_urls(spark, sf_dir):
     judged = judged_urls(_table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -96,10 +126,12 @@ def op9_judged_documents(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_similar_documents": op4_similar_documents,
     "op5_found_secrets": op5_found_secrets,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_languages": op7_languages,
     "op8_judged_urls": op8_judged_urls,
     "op9_judged_documents": op9_judged_documents,
     "op10_benchmark_overlaps": op10_benchmark_overlaps,
