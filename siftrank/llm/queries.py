@@ -8,6 +8,7 @@ import public_tokenizers
 from siftrank.llm.byte_bpe import encoded_documents
 from siftrank.llm.decontaminate import benchmark_overlaps
 from siftrank.llm.languages import identified_languages, learned_languages
+from siftrank.llm.main_text import main_texts
 from siftrank.llm.quality import judged_documents
 from siftrank.llm.secrets import found_secrets, joined_spans
 from siftrank.llm.similar import similar_components
@@ -49,6 +50,10 @@ def op1_toxicity(spark, sf_dir):
     )
 
 
+def op2_main_texts(spark, sf_dir):
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts(
         _table(spark, sf_dir, "documents"),
@@ -127,6 +132,7 @@ def op9_judged_documents(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_main_texts": op2_main_texts,
     "op3_token_counts": op3_token_counts,
     "op4_similar_documents": op4_similar_documents,
     "op5_found_secrets": op5_found_secrets,

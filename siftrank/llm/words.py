@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
