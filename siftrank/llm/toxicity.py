@@ -113,6 +113,11 @@ class Lexicon:
             found.make_automaton()
         return found
 
+    def score(self, total: float, n_words: int) -> float:
+        x = self.bias + self.of_total * math.log1p(total)
+        x += self.of_density * math.log1p(100 * total / (n_words + 20))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+
 
 def found_hits(text: str, automaton: ahocorasick.Automaton) -> dict[int, float]:
     """The heaviest entry at each word, by where the word begins in the folded text."""
@@ -290,7 +295,7 @@ def _calibrate(lexicon: Lexicon, sample: DataFrame) -> None:
 
 
 def _scanned(texts: DataFrame, lexicon: Lexicon, id_type: str) -> DataFrame:
-    """``(id, n_words, n_hits, total)`` of ``texts`` (id, text)."""
+    """``(id, n_words, n_hits, total, score)`` of ``texts`` (id, text)."""
 
     def scan(batches):
         automaton, table = lexicon.automaton(), _letters()
@@ -299,18 +304,38 @@ def _scanned(texts: DataFrame, lexicon: Lexicon, id_type: str) -> DataFrame:
             for value in batch.column(1):
                 text = folded(value.as_py() or "", table)
                 hits = found_hits(text, automaton)
-                rows.append((max(0, text.count(" ") - 1), len(hits), math.fsum(hits.values())))
+                n_words, total = max(0, text.count(" ") - 1), math.fsum(hits.values())
+                rows.append((n_words, len(hits), total, lexicon.score(total, n_words)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.float64()),
+                    pa.array([r[3] for r in rows], pa.float64()),
                 ],
-                ["id", "n_words", "n_hits", "total"],
+                ["id", "n_words", "n_hits", "total", "score"],
             )
 
-    return texts.mapInArrow(scan, f"id {id_type}, n_words long, n_hits long, total double")
+    schema = f"id {id_type}, n_words long, n_hits long, total double, score double"
+    return texts.mapInArrow(scan, schema)
+
+
+def toxicity_score(lexicon: Lexicon):
+    """A function from a text column to its score."""
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton, table = lexicon.automaton(), _letters()
+        for column in texts:
+            scores = []
+            for value in column:
+                text = folded(value.as_py() or "", table)
+                total = math.fsum(found_hits(text, automaton).values())
+                scores.append(lexicon.score(total, max(0, text.count(" ") - 1)))
+            yield pa.array(scores, pa.float64())
+
+    return score
 
 
 def toxicity_scores(
@@ -325,10 +350,4 @@ def toxicity_scores(
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = _scanned(texts, lexicon, texts.schema["id"].dataType.simpleString())
-    x = (
-        F.lit(lexicon.bias)
-        + lexicon.of_total * F.log1p("total")
-        + lexicon.of_density * F.log1p(100 * F.col("total") / (F.col("n_words") + 20))
-    )
-    score = 1 / (1 + F.exp(-x))
-    return rows.select(F.col("id").alias(id_col), score.alias("score"), "n_words", "n_hits", "total")
+    return rows.select(F.col("id").alias(id_col), "score", "n_words", "n_hits", "total")
