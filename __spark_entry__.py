@@ -353,16 +353,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _added() -> tuple[dict, dict]:
-    """Queries and SQL of the text preparation operators, if their folder is there."""
+    """Queries and SQL of the text preparation operators, if they are there."""
     try:
-        import siftrank.llm  # noqa: F401
+        import corpus_pipeline
+        from siftrank.llm.queries import ORACLE_SQL, QUERIES
     except ModuleNotFoundError as missing:
-        if missing.name != "siftrank.llm":
+        if missing.name not in ("corpus_pipeline", "siftrank.llm"):
             raise
         return {}, {}
-    from siftrank.llm.queries import ORACLE_SQL, QUERIES
-
-    return QUERIES, ORACLE_SQL
+    sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLE_SQL | sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
