@@ -92,21 +92,19 @@ def best_stretch(same: np.ndarray, share: float) -> tuple[int, int]:
     """The longest ``[start, end)`` that begins and ends with equal words and in which at
     least ``share`` of all words are equal."""
     score = np.concatenate([[0.0], np.cumsum(same - share)])
-    lows = np.minimum.accumulate(score[:-1])
-    best = (0, 0)
-    first_low = {}
-    for k, low in enumerate(lows):
-        first_low.setdefault(low, k)
-    order = sorted(first_low.items(), reverse=True)
-    start = [k for _, k in order]
-    value = np.array([v for v, _ in order])
-    for end in range(1, len(score)):
-        if not same[end - 1]:
-            continue
-        k = int(np.searchsorted(-value, -(score[end] + 1e-9)))
-        if k < len(start) and end - start[k] > best[1] - best[0]:
-            best = (start[k], end)
-    return best
+    # only a start with a lower score than all before it can begin the longest
+    begins = np.flatnonzero(same)
+    lower = np.ones(len(begins), dtype=bool)
+    lower[1:] = score[begins[1:]] < np.minimum.accumulate(score[begins])[:-1]
+    begins = begins[lower]
+    ends = np.flatnonzero(same) + 1
+    first = np.searchsorted(-score[begins], -(score[ends] + 1e-9))
+    found = first < len(begins)
+    lengths = ends[found] - begins[first[found]]
+    if not len(lengths):
+        return 0, 0
+    best = int(np.argmax(lengths))
+    return int(begins[first[found][best]]), int(ends[found][best])
 
 
 def _found(items, min_words: int, share: float, batches) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The plain patterns.
 ASSIGN = re.compile(
@@ -146,7 +147,14 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-@F.arrow_udf("array<struct<kind:string,start:bigint,`end`:bigint>>")
+@F.arrow_udf(
+    T.ArrayType(
+        T.StructType()
+        .add("kind", T.StringType())
+        .add("start", T.LongType())
+        .add("end", T.LongType())
+    )
+)
 def secret_spans(texts: pa.Array) -> pa.Array:
     rows = []
     for text in texts:
@@ -155,7 +163,7 @@ def secret_spans(texts: pa.Array) -> pa.Array:
     return pa.array(rows, type=_SPANS)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _without_secrets(texts: pa.Array) -> pa.Array:
     rows = []
     for value in texts:
