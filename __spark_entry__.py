@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from siftrank import (  # noqa: E402
     BASELINES,
     anchor_documents,
+    anchor_experiment,
     baseline_run,
     bm25,
     dirichlet_lm,
@@ -46,7 +47,7 @@ from siftrank.sinks.text import (
     write_stats_file,
 )
 from siftrank.sources.text import parse_topics, topics_from_text
-from siftrank.sources.warc import page_documents, read_warc, warc_documents
+from siftrank.sources.warc import page_documents, read_warc, warc_documents, warc_pages
 
 # The fifty topics of the TREC 2010 web track, then topics in the
 # words of the test tables: frequent and rare ones, repeated, unknown and empty
@@ -197,10 +198,86 @@ def anchor_cap(spark, sf_dir):
 
 
 def anchor_bm25(spark, sf_dir):
-    anchors = anchor_documents(_linked_pages(spark, sf_dir), page_chars=None)
+    return _shown(anchor_experiment(_linked_pages(spark, sf_dir), _topics(spark), [bm25()]))
+
+
+def anchor_text_bm25(spark, sf_dir):
+    anchors = anchor_documents(_linked_pages(spark, sf_dir))
     return _shown(experiment(anchor_text_documents(anchors), _topics(spark), [bm25()]))
 
 
+def anchor_left_out(spark, sf_dir):
+    """How many links the limit of 60 characters leaves out."""
+    anchors = anchor_documents(_linked_pages(spark, sf_dir), max_chars=60)
+    return anchors.select("doc_id", F.size("anchors").alias("n_kept"), "n_left_out")
+
+
+# What is done to the links of each fifth of the pages, so that links of
+# every form occur.
+LINK_FORMS = [
+    ('href="/', 'href="'),
+    ('href="/', 'href="http://www.example.com/up/../'),
+    ('href="/', 'href="../'),
+    ('">', '/index.html">'),
+    ("<a href", '<a rel="nofollow" href'),
+]
+
+
+def _shaped_pages(spark, sf_dir):
+    """The pages with links of all forms, and with index pages in their own URLs."""
+    html = F.col("html")
+    for n, (old, new) in enumerate(LINK_FORMS):
+        changed = F.replace(F.col("html"), F.lit(old), F.lit(new))
+        html = F.when(F.col("doc_id").cast("long") % len(LINK_FORMS) == n, changed).otherwise(html)
+    url = F.concat("url", F.lit("/Index.html"))
+    return _pages(spark, sf_dir).select("doc_id", url.alias("url"), html.alias("html"))
+
+
+def link_forms(spark, sf_dir):
+    return extract_links(_shaped_pages(spark, sf_dir))
+
+
+def linked_pages_of_all_forms(spark, sf_dir):
+    pages = _shaped_pages(spark, sf_dir)
+    targets = extract_links(pages).groupBy(F.col("target_url").alias("url"))
+    ends = targets.agg(F.min("src_doc_id").alias("first")).select(
+        F.concat(F.lit("t"), "first").alias("doc_id"), "url", F.lit("").alias("html")
+    )
+    return _joined(anchor_documents(pages.unionByName(ends)))
+
+
+def page_keys_of_all_forms(spark, sf_dir):
+    return page_keys(_shaped_pages(spark, sf_dir))
+
+
+def html_with_headers(spark, sf_dir):
+    """Protocol headers before each page, and an index page in each URL."""
+    pages = _shaped_pages(spark, sf_dir)
+    header = F.lit("HTTP/1.1 200 OK\nServer: any\n\n")
+    return page_documents(pages.withColumn("html", F.concat(header, "html")))
+
+
+def _with_empty_documents(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return docs.unionByName(
+        docs.select(F.concat(F.lit("e"), "doc_id").alias("doc_id"), F.lit(" --- ").alias("text"))
+    )
+
+
+def lm_with_empty_documents(spark, sf_dir):
+    return _shown(simple_run(_with_empty_documents(spark, sf_dir), _topics(spark)))
+
+
+def statistics_with_empty_documents(spark, sf_dir):
+    return collection_stats(document_hits(_with_empty_documents(spark, sf_dir), []))
+
+
+def trec_prefixed_lines(spark, sf_dir):
+    """Topic ids with a prefix that run lines leave out."""
+    topics = _topics(spark).withColumn("qid", F.concat(F.lit("wt09-"), "qid"))
+    run = experiment(_docs(spark, sf_dir), topics, lambda_sweep(0.7, 1.0))
+    return trec_run(_rounded(run), tag="b").select("value")
+
 def query_vocab_tf(spark, sf_dir):
     words = topic_slices(_topics(spark))[0].vocabulary
     hits = document_hits(_docs(spark, sf_dir), words)
@@ -304,11 +381,12 @@ def weighted_topics_scan(spark, sf_dir):
     ).select("qid", "n_docs", "coll_len", "pos", "t.term", "t.qtf", "t.df", "t.cf")
 
 
-def _archive(spark, sf_dir):
-    """The pages as a compressed web archive, one record per row."""
+def _archive(spark, sf_dir, pages=None, before=""):
+    """Pages as a compressed web archive, one record per row, each after ``before``."""
     folder = new_folder(spark, "warc")
-    pages = _pages(spark, sf_dir)
+    pages = _pages(spark, sf_dir) if pages is None else pages
     record = F.concat(
+        F.lit(before),
         F.lit("WARC/0.18\nWARC-Type: response\nWARC-Target-URI: "),
         "url",
         F.lit("\nWARC-TREC-ID: "),
@@ -337,6 +415,30 @@ def warc_docs(spark, sf_dir):
     return warc_documents(read_warc(spark, _archive(spark, sf_dir)))
 
 
+def warc_anchor_documents(spark, sf_dir):
+    archive = _archive(spark, sf_dir, _linked_pages(spark, sf_dir))
+    return _joined(anchor_documents(warc_pages(read_warc(spark, archive), need_id=False)))
+
+
+# An information record, a request, and a length that is none.
+OTHER_RECORDS = (
+    "WARC/0.18\nWARC-Type: warcinfo\nContent-Length: 4\n\nnone\n\n"
+    "WARC/0.18\nWARC-Type: request\nContent-Length: 3\n\nGET\n\n"
+    "WARC/0.18\nWARC-Type: response\nContent-Length: 99999999999\n"
+    "WARC-TREC-ID: none\n\nContent-Length: 5\n\nplain\n\n"
+)
+
+
+def warc_scan_mixed(spark, sf_dir):
+    """Responses between other records, with a bad length stated first in each third one."""
+    records = read_warc(spark, _archive(spark, sf_dir, before=OTHER_RECORDS))
+    return records.select(
+        F.col("headers")["WARC-TREC-ID"].alias("doc_id"),
+        "content_length",
+        F.md5("content").alias("content_md5"),
+    )
+
+
 def warc_anchors(spark, sf_dir):
     pages = read_warc(spark, _archive(spark, sf_dir)).select(
         F.col("headers")["WARC-TREC-ID"].alias("doc_id"),
@@ -391,6 +493,23 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "baselines_two_pass": baselines_two_pass,
         "zero_term_topic": zero_term_topic,
         "table_topics_bm25": table_topics_bm25,
+        "baselines_k10": lambda spark, sf_dir: _shown(
+            experiment(_docs(spark, sf_dir), _topics(spark), BASELINES, k=10)
+        ),
+        "lmno_long_topics": lambda spark, sf_dir: _shown(
+            experiment(_docs(spark, sf_dir), _table_topics(spark, sf_dir), [unsmoothed_lm()])
+        ),
+        "anchor_text_bm25": anchor_text_bm25,
+        "anchor_left_out": anchor_left_out,
+        "link_forms": link_forms,
+        "linked_pages_of_all_forms": linked_pages_of_all_forms,
+        "page_keys_of_all_forms": page_keys_of_all_forms,
+        "html_with_headers": html_with_headers,
+        "lm_with_empty_documents": lm_with_empty_documents,
+        "statistics_with_empty_documents": statistics_with_empty_documents,
+        "trec_prefixed_lines": trec_prefixed_lines,
+        "warc_anchor_documents": warc_anchor_documents,
+        "warc_scan_mixed": warc_scan_mixed,
         "trec_run_lines": trec_run_lines,
         "run_roundtrip": run_roundtrip,
         "anchor_bm25": anchor_bm25,
@@ -472,7 +591,16 @@ anchor_docs AS (
 )
 
 
-def _anchors(cap: int = 10_000_000) -> str:
+def _shaped(sql: str) -> str:
+    """``sql`` over the pages with links of all forms."""
+    html = "html"
+    for n, (old, new) in enumerate(LINK_FORMS):
+        html = f"CASE WHEN page_id % {len(LINK_FORMS)} = {n} THEN replace(html, '{old}', '{new}') ELSE {html} END"
+    pages = f"shaped AS (SELECT page_id, url || '/Index.html' AS url, {html} AS html FROM pages)"
+    return pages + "," + sql.replace("FROM pages", "FROM shaped")
+
+
+def _anchors(cap: int = 10**15) -> str:
     return _ANCHORS.replace("{cap}", str(cap))
 
 
@@ -666,6 +794,49 @@ queries AS (
                      PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank
             FROM scored QUALIFY rank <= 50""",
         "table_topics_bm25": _run_sql([_BM25], topics=_TABLE_TOPICS),
+        "baselines_k10": _run_sql([_lm("LMno"), *sweep, _LMDI, _BM25], k=10),
+        "lmno_long_topics": _run_sql([_lm("LMno")], topics=_TABLE_TOPICS),
+        "anchor_text_bm25": _run_sql(
+            [_BM25], topics=_topic_values(TOPICS), docs="," + _anchors() + _ANCHOR_DOCS
+        ),
+        "anchor_left_out": f"""WITH {_anchors(60)},
+            every AS (SELECT url, count(*) AS n_links FROM met GROUP BY url)
+            SELECT doc_id, CAST(n AS INTEGER) AS n_kept, n_links - n AS n_left_out
+            FROM anchor_docs JOIN every USING (url)""",
+        "link_forms": f"""WITH {_shaped(_LINKS)}
+            SELECT src_doc_id, pos, target_url, anchor_text FROM links""",
+        "linked_pages_of_all_forms": f"WITH {_shaped(_anchors())} {anchor_rows}",
+        "page_keys_of_all_forms": (
+            f"""WITH {_shaped("one AS (SELECT 1)")}
+            SELECT {_PAGE_URL.format('url')} AS url, CAST(page_id AS VARCHAR) AS doc_id FROM shaped"""
+        ),
+        "html_with_headers": (
+            f"""WITH {_shaped("one AS (SELECT 1)")}
+            SELECT CAST(page_id AS VARCHAR) AS doc_id, {_PAGE_TEXT} AS text FROM shaped"""
+        ),
+        "lm_with_empty_documents": _run_sql(
+            [_lm("LM")],
+            kept="SELECT * FROM weighted",
+            docs=_DOCS.replace(
+                "FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents)",
+                "FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents "
+                "UNION ALL SELECT 'e' || doc_id, ' --- ' FROM documents)",
+            ),
+        ),
+        "statistics_with_empty_documents": documents
+        + """ SELECT 2 * n_docs AS n_docs, CAST(coll_len AS BIGINT) AS coll_len,
+              CAST(coll_len AS DOUBLE) / (2 * n_docs) AS avg_dl FROM coll""",
+        "trec_prefixed_lines": _run_sql(
+            [_lms(0.7)],
+            show=""" SELECT qid || chr(9) || 'Q0' || chr(9) || doc_id || chr(9) || rank || chr(9)
+                     || round(score, 6) || chr(9) || 'b' AS value FROM run""",
+        ),
+        "warc_anchor_documents": f"WITH {_anchors()} {anchor_rows}",
+        "warc_scan_mixed": """
+            SELECT CAST(page_id AS VARCHAR) AS doc_id,
+                   CAST(octet_length(encode(html)) AS INTEGER) AS content_length,
+                   md5(html) AS content_md5 FROM pages
+            UNION ALL SELECT 'none', 5, md5('plain') FROM pages""",
         "trec_run_lines": _run_sql(
             [_lms(0.7)],
             show=""" SELECT qid || chr(9) || 'Q0' || chr(9) || doc_id || chr(9) || rank || chr(9)

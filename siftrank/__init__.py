@@ -16,6 +16,7 @@ from siftrank.operators.models import (
 )
 from siftrank.plans.jobs import (
     anchor_documents,
+    anchor_experiment,
     baseline_run,
     experiment,
     simple_run,
@@ -35,6 +36,7 @@ __all__ = [
     "BASELINES",
     "Model",
     "anchor_documents",
+    "anchor_experiment",
     "anchor_text_documents",
     "baseline_run",
     "bm25",

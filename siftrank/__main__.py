@@ -4,6 +4,7 @@
     run       DOCS OUT TOPICS         unsmoothed language model
     stats     DOCS TOPICS OUT         topic file with term statistics
     baselines DOCS OUT STATS          all baseline models, from such a file
+    experiment DOCS OUT TOPICS        the two at once, reading the documents once
     trec      RUN OUT                 run lines of one model, sorted
 """
 
@@ -16,10 +17,11 @@ from siftrank.plans.jobs import (
     TOP,
     anchor_documents,
     baseline_run,
+    experiment,
     simple_run,
     term_statistics,
 )
-from siftrank.session import spread
+from siftrank.session import intermediate_tables, spread
 from siftrank.sinks.text import (
     write_anchors,
     write_run,
@@ -38,8 +40,9 @@ from siftrank.sources.warc import read_warc, warc_pages
 
 
 def anchors(spark: SparkSession, args: argparse.Namespace) -> None:
-    pages = warc_pages(spread(read_warc(spark, args.web)))
-    write_anchors(anchor_documents(pages), args.out)
+    pages = warc_pages(spread(read_warc(spark, args.web)), need_id=False)
+    found = anchor_documents(pages, args.page_chars, args.max_chars)
+    write_anchors(found, args.out)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -59,6 +62,12 @@ def baselines(spark: SparkSession, args: argparse.Namespace) -> None:
     (write_run_by_model if args.by_model else write_run)(found, args.out)
 
 
+def whole_experiment(spark: SparkSession, args: argparse.Namespace) -> None:
+    docs = read_documents(spark, args.docs, args.format)
+    found = experiment(docs, read_topics(spark, args.topics), k=args.k)
+    (write_run_by_model if args.by_model else write_run)(found, args.out)
+
+
 def trec(spark: SparkSession, args: argparse.Namespace) -> None:
     ranked = best(read_run(spark, args.run), args.k)
     write_trec_run(
@@ -72,8 +81,8 @@ def parser() -> argparse.ArgumentParser:
     )
     jobs = top.add_subparsers(dest="job", required=True)
 
-    def job(action, *places: str) -> argparse.ArgumentParser:
-        sub = jobs.add_parser(action.__name__)
+    def job(action, *places: str, name: str = "") -> argparse.ArgumentParser:
+        sub = jobs.add_parser(name or action.__name__)
         sub.set_defaults(action=action)
         for place in places:
             sub.add_argument(place)
@@ -81,16 +90,21 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--format", default="WARC", help="WARC or KEYVAL")
         return sub
 
-    job(anchors, "web", "out")
+    sub = job(anchors, "web", "out")
+    sub.add_argument("--page-chars", type=int, help="how much of a page is searched, if not all")
+    sub.add_argument("--max-chars", type=int, help="how many characters a page gathers at most")
     job(run, "docs", "out", "topics").add_argument("-k", type=int, default=TOP)
     job(stats, "docs", "topics", "out").add_argument(
         "--program", default="RUN", help="word that starts the header lines"
     )
-    sub = job(baselines, "docs", "out", "stats")
-    sub.add_argument("-k", type=int, default=TOP)
-    sub.add_argument("--by-model", action="store_true", help="one folder per model")
+    for sub in (
+        job(baselines, "docs", "out", "stats"),
+        job(whole_experiment, "docs", "out", "topics", name="experiment"),
+    ):
+        sub.add_argument("-k", type=int, default=TOP)
+        sub.add_argument("--by-model", action="store_true", help="one folder per model")
     sub = job(trec, "run", "out")
-    sub.add_argument("-k", type=int, default=TOP)
+    sub.add_argument("-k", type=int, help="how many lines a topic gets, if not all")
     sub.add_argument("--model", help="the model to select, if the run has several")
     sub.add_argument("--tag", help="run tag in place of the model's name")
     sub.add_argument("--strip-prefix", default="^wt09-", help="pattern cut off topic ids")
@@ -100,7 +114,8 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"siftrank {args.job}").getOrCreate()
-    args.action(spark, args)
+    with intermediate_tables(spark):
+        args.action(spark, args)
 
 
 if __name__ == "__main__":

@@ -15,6 +15,7 @@ TAG = r"<[^>]+>"
 WHITESPACE = r"[ \n\r\t]+"
 TAG_OR_WHITESPACE = r"<[^>]+>|[ \n\t\r]+"
 DOCUMENT_TERM = r"[0-9a-z]+"
+NO_TERM = r"[^0-9a-z]+"
 QUERY_DELIMITER = r"[^0-9A-Za-z]+"
 
 

@@ -9,10 +9,12 @@ is two documents.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.functions.text import document_terms
+from siftrank.functions.text import NO_TERM
 
 
-def _only(vocabulary: list[str]) -> str:
+def _only(vocabulary: list[str] | None) -> str:
+    if vocabulary is None:
+        return "sort_array(filter(terms, t -> t <> ''))"
     words = [w for w in vocabulary if w.isascii() and w.isalnum()]
     if not words:
         return "CAST(array() AS array<string>)"
@@ -32,18 +34,26 @@ _RUN_LENGTHS = """
 """
 
 
-def document_hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+# What is between delimiters; empty before a leading and after a trailing one.
+_LENGTH = """
+    size(terms) - CAST(get(terms, 0) = '' AS int)
+    - CAST(size(terms) > 1 AND get(terms, size(terms) - 1) = '' AS int)
+"""
+
+
+def document_hits(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
     """``(doc_id, text)`` → ``(doc_id, dl, tf)``.
 
     ``dl`` counts every term of the text, ``tf`` maps the terms of
-    ``vocabulary`` found in it to their counts. Empty documents stay.
+    ``vocabulary`` found in it to their counts, or all for ``None``. Empty
+    documents stay.
     """
-    terms = F.coalesce(document_terms(F.col("text")), F.array().cast("array<string>"))
+    terms = F.split(F.lower(F.coalesce("text", F.lit(""))), NO_TERM)
     # each step in a projection of its own: columns used more than once by the
     # next one are then computed once
     return (
         docs.select("doc_id", terms.alias("terms"))
-        .selectExpr("doc_id", "CAST(size(terms) AS bigint) AS dl", f"{_only(vocabulary)} AS hits")
+        .selectExpr("doc_id", f"CAST({_LENGTH} AS bigint) AS dl", f"{_only(vocabulary)} AS hits")
         .selectExpr("doc_id", "dl", "hits", f"{_STARTS} AS starts")
         .selectExpr("doc_id", "dl", f"{_RUN_LENGTHS} AS tf")
     )

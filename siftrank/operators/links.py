@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from siftrank.functions.text import clean_anchor_text, strip_scripts
 from siftrank.functions.urls import absolute_url, one_scheme, page_url
+from siftrank.operators.hits import document_hits
 
-# Patterns and limits that decide which links come out.
+# Patterns that decide which links come out.
 LINK = r"""(?is)<a ([^>]*)href=["']?([^> '"]+)([^>]*)>(.*?)</a>"""
 NOFOLLOW = r"""(?i)rel=["']?nofollow"""
-PAGE_CHARS = 50_000
-ANCHOR_CHARS = 10_000_000
 
 
 def _link_elements(html: Column, page_chars: int | None) -> Column:
@@ -46,7 +45,7 @@ def _with_link(entries: DataFrame) -> DataFrame:
     )
 
 
-def extract_links(pages: DataFrame, page_chars: int | None = PAGE_CHARS) -> DataFrame:
+def extract_links(pages: DataFrame, page_chars: int | None = None) -> DataFrame:
     """``(src_doc_id, pos, target_url, anchor_text)``, ``pos`` from 0 per page.
 
     ``page_chars`` is how much of a page is searched; ``None`` means all.
@@ -73,84 +72,127 @@ def page_keys(pages: DataFrame, normalise_scheme: bool = False) -> DataFrame:
     )
 
 
+def links_to_pages(
+    pages: DataFrame, page_chars: int | None = None, normalise_scheme: bool = False
+) -> DataFrame:
+    """``(url, doc_id, src, pos, anchor)``: the links that lead to one of the pages.
+
+    Of pages with the same URL the smallest id counts; a page without an id is no
+    target, but its links are links. Most links of a crawl lead out of it: they
+    meet the pages' URLs in a hash table and go no further.
+    """
+    keys = page_keys(pages, normalise_scheme).filter("url IS NOT NULL AND doc_id IS NOT NULL")
+    keys = keys.groupBy("url").agg(F.min("doc_id").alias("doc_id"))
+    links = extract_links(pages, page_chars).select(
+        F.col("target_url").alias("url"),
+        F.col("src_doc_id").alias("src"),
+        "pos",
+        F.col("anchor_text").alias("anchor"),
+    )
+    return links.join(keys.hint("shuffle_hash"), "url")
+
+
 def gather_anchors(
     pages: DataFrame,
-    page_chars: int | None = PAGE_CHARS,
-    max_chars: int = ANCHOR_CHARS,
+    page_chars: int | None = None,
+    max_chars: int | None = None,
     salts: int = 1,
     normalise_scheme: bool = False,
 ) -> DataFrame:
-    """``(doc_id, url, anchors)`` for the pages that others link to.
+    """``(doc_id, url, anchors, n_left_out)`` for the pages that others link to.
 
-    Each page emits itself and its links, keyed by URL, in one pass over the
-    collection. What meets under a URL is put in order, the page first, then
-    its links by source and position. Of pages with the same URL the smallest
-    id counts. A link is kept while the URL and the anchors before it, with
-    one separator each, are shorter than ``max_chars``.
+    A page's links are in order of source and position. With ``max_chars`` a link
+    is kept while the URL and the anchors before it, with one separator each, are
+    shorter than that, and ``n_left_out`` tells how many more links there are.
 
     A URL may hold a large part of all links. With ``salts`` above 1 the links
     of a URL are therefore first cut in that many parts: a link beyond the
     limit within its part is beyond it in the whole. What is left for one URL
-    is at most ``salts`` times the limit.
+    is at most ``salts`` times the limit. Without a limit a row is as long as
+    its links are; :func:`anchor_hits` does without such rows.
     """
-    base = page_url(F.col("url"))
-    elements = _link_elements(F.col("html"), page_chars)
-    itself = F.array(F.lit(None).cast("string"))
-    entries = pages.select(
-        F.col("doc_id").cast("string").alias("src"),
-        base.alias("base"),
-        F.posexplode_outer(F.concat(itself, elements)).alias("pos", "element"),
-    )
-    is_link = F.col("element").isNotNull()
-    own_key = one_scheme(F.col("base")) if normalise_scheme else F.col("base")
-    keyed = (
-        _with_link(entries)
-        .filter(~is_link | F.col("follow"))
+    links = links_to_pages(pages, page_chars, normalise_scheme)
+    links = links.withColumn("n_links", F.lit(1).cast("long"))
+    if max_chars is not None:
+        if salts > 1:
+            salted = links.withColumn("salt", F.spark_partition_id() % salts)
+            links = _within_limit(salted, ["url", "salt"], max_chars).drop("salt")
+        links = _within_limit(links, ["url"], max_chars)
+    entry = F.struct("src", "pos", "anchor")
+    return (
+        links.groupBy("url", "doc_id")
+        .agg(F.sort_array(F.collect_list(entry)).alias("links"), F.sum("n_links").alias("n_links"))
         .select(
-            F.when(is_link, F.col("target_url")).otherwise(own_key).alias("url"),
-            "src",
-            is_link.alias("is_link"),
-            F.when(is_link, F.col("pos")).alias("pos"),
-            F.when(is_link, F.col("anchor_text")).alias("anchor"),
-            F.when(is_link, F.length("anchor_text") + 1).alias("chars"),
-            F.when(~is_link, F.col("src")).alias("page_id"),
+            "doc_id",
+            "url",
+            F.col("links.anchor").alias("anchors"),
+            (F.col("n_links") - F.size("links")).alias("n_left_out"),
         )
     )
-    if salts > 1:
-        salted = keyed.withColumn("salt", F.spark_partition_id() % salts)
-        keyed = _within_limit(salted, ["url", "salt"], max_chars).drop("salt", "page", "nth")
-    kept = _within_limit(keyed, ["url"], max_chars)
+
+
+def _within_limit(links: DataFrame, group: list[str], max_chars: int) -> DataFrame:
+    """The leading links of each group; the first one stands for those left out."""
+    ordered = Window.partitionBy(*group).orderBy("src", "pos", "anchor")
+    kept = links.withColumns(
+        {
+            "nth": F.row_number().over(ordered),
+            "used": F.coalesce(
+                F.sum(F.length("anchor") + 1).over(
+                    ordered.rowsBetween(Window.unboundedPreceding, -1)
+                ),
+                F.lit(0),
+            ),
+        }
+    ).withColumn("fits", F.length("url") + F.col("used") < max_chars)
+    lost = F.sum(F.when(~F.col("fits"), F.col("n_links"))).over(Window.partitionBy(*group))
+    n_links = F.col("n_links") + F.when(F.col("nth") == 1, F.coalesce("lost", F.lit(0))).otherwise(0)
     return (
-        kept.filter(F.col("is_link") & F.col("page").isNotNull())
-        .groupBy("url", "page")
-        .agg(F.sort_array(F.collect_list(F.struct("nth", "anchor"))).alias("links"))
-        .select(F.col("page").alias("doc_id"), "url", F.col("links.anchor").alias("anchors"))
+        kept.withColumn("lost", lost)
+        .filter("fits")
+        .withColumn("n_links", n_links)
+        .drop("nth", "used", "fits", "lost")
     )
 
 
-def _within_limit(keyed: DataFrame, group: list[str], max_chars: int) -> DataFrame:
-    """First page and leading links of each group, with its ``page`` and their order."""
-    # on columns, not on expressions: the three windows then share one sort
-    ordered = Window.partitionBy(*group).orderBy("is_link", "src", "pos", "anchor")
+def anchor_hits(
+    pages: DataFrame,
+    vocabulary: list[str] | None,
+    page_chars: int | None = None,
+    normalise_scheme: bool = False,
+) -> DataFrame:
+    """``(doc_id, dl, tf)``, as of the documents that anchors and URL would make.
+
+    Links are counted one by one and added up by page and term, before and after
+    the shuffle, so no row grows with the number of links.
+    """
+    links = links_to_pages(pages, page_chars, normalise_scheme)
+    pairs = links.select(F.struct("doc_id", "url").alias("doc_id"), F.col("anchor").alias("text"))
+    hits = document_hits(pairs, vocabulary)
+    entries = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").alias("n"))),
+        F.transform(
+            F.map_entries("tf"),
+            lambda e: F.struct(e["key"].alias("term"), e["value"].cast("long").alias("n")),
+        ),
+    )
+
+    def counted(found: DataFrame) -> DataFrame:
+        return found.select("doc_id", F.explode(entries).alias("c")).select("doc_id", "c.term", "c.n")
+
+    summed = counted(hits).groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+    # the URL is one more text of each page that has links
+    own = summed.filter("term IS NULL").select("doc_id", F.col("doc_id.url").alias("text"))
+    both = summed.unionByName(counted(document_hits(own, vocabulary)))
+    both = both.groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+    of_term = F.when(F.col("term").isNotNull(), F.struct("term", F.col("n").cast("int").alias("n")))
     return (
-        keyed.withColumns(
-            {
-                "nth": F.row_number().over(ordered),
-                "used": F.sum("chars").over(
-                    ordered.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                "page": F.first("page_id").over(
-                    ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                ),
-            }
-        )
-        .filter(
-            F.when(
-                F.col("is_link"),
-                F.length("url") + F.coalesce("used", F.lit(0)) < max_chars,
-            ).otherwise(F.col("nth") == 1)
+        both.groupBy("doc_id")
+        .agg(
+            F.max(F.when(F.col("term").isNull(), F.col("n"))).alias("dl"),
+            F.map_from_entries(F.collect_list(of_term)).alias("tf"),
         )
-        .drop("used")
+        .select("doc_id.doc_id", "dl", "tf")
     )
 
 

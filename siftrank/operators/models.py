@@ -36,29 +36,36 @@ class Model:
     product: bool = False
 
 
-# Positions for which a product keeps one aggregate each.
-ORDERED_POSITIONS = 48
+# Positions for which a product keeps one aggregate each; later ones share a list.
+LEADING_POSITIONS = 32
 
 
 def totals(model: Model, weight: str, longest: int) -> list[Column]:
     """Aggregates over the column ``weight``, for topics of up to ``longest`` terms.
 
     Rounding depends on the order of the factors, and documents of equal score
-    would change places: a product runs in query order, with one aggregate per
-    position. For very long topics it runs in the order of the words.
+    would change places: a product always runs in query order. The first
+    positions have an aggregate each, the factors of later ones are listed, so
+    that a long topic leaves the scores of all others as they are.
     """
     if not model.product:
         return [F.sum(weight)]
-    if longest > ORDERED_POSITIONS:
-        return [F.product(weight)]
-    return [F.expr(f"max(CASE WHEN pos = {n} THEN {weight} END)") for n in range(longest)]
+    leading = min(longest, LEADING_POSITIONS)
+    columns = [F.expr(f"max(CASE WHEN pos = {n} THEN {weight} END)") for n in range(leading)]
+    if longest > leading:
+        later = f"CASE WHEN pos >= {leading} THEN struct(pos, {weight} AS factor) END"
+        columns.append(F.expr(f"sort_array(collect_list({later}))"))
+    return columns
 
 
 def total(model: Model, columns: list[str]) -> str:
     """What the columns of :func:`totals` come to."""
     if not model.product:
         return columns[0]
-    return " * ".join(f"coalesce({c}, 1D)" for c in columns)
+    product = " * ".join(f"coalesce({c}, 1D)" for c in columns[:LEADING_POSITIONS])
+    if len(columns) == LEADING_POSITIONS + 1:
+        product = f"aggregate({columns[-1]}, {product}, (total, p) -> total * p.factor)"
+    return product
 
 
 def _number(value: float) -> str:

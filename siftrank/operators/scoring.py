@@ -93,8 +93,8 @@ def score_documents(
     )
 
 
-def best(scored: DataFrame, k: int, salts: int = 1) -> DataFrame:
-    """Adds ``rank`` and keeps the best ``k`` per topic and model.
+def best(scored: DataFrame, k: int | None, salts: int = 1) -> DataFrame:
+    """Adds ``rank`` and keeps the best ``k`` per topic and model, or all for ``None``.
 
     Equal scores are ordered by ``doc_id``. Each task keeps its own best ``k``
     before the shuffle. With ``salts`` above 1 the survivors of a topic are
@@ -105,9 +105,15 @@ def best(scored: DataFrame, k: int, salts: int = 1) -> DataFrame:
 
     def ranked(df: DataFrame, *group: str) -> DataFrame:
         window = Window.partitionBy(*group).orderBy(*best_first)
-        return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-
-    if salts > 1:
+        df = df.withColumn("rank", F.row_number().over(window))
+        return df if k is None else df.filter(F.col("rank") <= k)
+
+    if k is not None:
+        # without this Spark ranks longer runs only after their shuffle
+        conf, limit = scored.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+        if int(conf.get(limit)) < k:
+            conf.set(limit, str(k))
+    if salts > 1 and k is not None:
         # the part follows the input split: the rows of one task stay together,
         # so salting does not multiply what the task may keep
         salted = scored.withColumn("salt", F.spark_partition_id() % salts)
@@ -128,11 +134,13 @@ def floors(sampled: DataFrame, k: int, salts: int = 1) -> DataFrame:
 def not_below(scored: DataFrame, floor: DataFrame) -> DataFrame:
     """Leaves out scores that cannot be among the best.
 
-    ``floor`` has at most one row per topic and model and is broadcast.
+    ``floor`` has at most one row per topic and model and is broadcast. Sums may
+    differ in their last bits when they are made again, so it is lowered a little.
     """
+    lowest = F.col("floor") - F.abs("floor") * 1e-9
     return (
         scored.join(F.broadcast(floor), ["qid", "model"], "left")
-        .filter("floor IS NULL OR score >= floor")
+        .filter(F.col("floor").isNull() | (F.col("score") >= lowest))
         .drop("floor")
     )
 

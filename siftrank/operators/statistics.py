@@ -26,6 +26,13 @@ def counters(hits: DataFrame) -> DataFrame:
     )
 
 
+def of_words(counted: DataFrame, words: list[str]) -> DataFrame:
+    """The counters of the collection and of the ``words`` of one topic slice."""
+    listed = counted.sparkSession.createDataFrame([(w, True) for w in words], "term string, known boolean")
+    kept = counted.join(F.broadcast(listed), "term", "left").filter("known OR term IS NULL")
+    return kept.drop("known")
+
+
 def collection_stats(hits: DataFrame) -> DataFrame:
     """One row ``(n_docs, coll_len, avg_dl)``; zeros for an empty collection."""
     return hits.agg(

@@ -41,12 +41,6 @@ def _slice(spark: SparkSession, rows: pa.Table) -> TopicSlice:
     )
 
 
-def _positions(rows: pa.Table) -> int:
-    # a topic takes a place even when it has no terms
-    lengths = pc.max_element_wise(pc.list_value_length(rows["terms"]), 1)
-    return pc.sum(lengths).as_py() or 0
-
-
 def local(rows: DataFrame) -> DataFrame:
     """A result of at most a few rows per topic, fetched and held as a local table."""
     return rows.sparkSession.createDataFrame(rows.toArrow())
@@ -61,16 +55,26 @@ def topic_slices(topics: DataFrame, max_positions: int = MAX_POSITIONS) -> list[
     """The topic set in parts that are each small enough to broadcast.
 
     Nearly always one part. Topics do not influence each other, so scoring the
-    parts one after the other and taking the union gives the same runs.
+    parts one after the other and taking the union gives the same runs. Nothing
+    is fetched before Spark has added up how large it is.
     """
     spark = topics.sparkSession
-    rows = topics.limit(max_positions + 1).toArrow()
-    if len(rows) <= max_positions and _positions(rows) <= max_positions:
-        return [_slice(spark, rows)]
-    total = topics.agg(F.sum(F.greatest(F.lit(1), F.size("terms")))).first()[0]
-    parts = 2 * -(-total // max_positions)
-    # by hash of the id: every part keeps whole topics
-    part_of = F.pmod(F.xxhash64("qid"), F.lit(parts))
+    # a topic takes a place even when it has no terms
+    places = F.greatest(F.lit(1), F.size("terms")).cast("long")
+    sizes = topics.agg(F.coalesce(F.sum(places), F.lit(0)).alias("all"), F.max(places).alias("most"))
+    size = sizes.first()
+    if size["all"] <= max_positions:
+        return [_slice(spark, topics.toArrow())]
+    if size.most > max_positions:
+        raise ValueError(f"a topic has {size.most} terms; at most {max_positions} can be broadcast")
+    parts = 2 * -(-size["all"] // max_positions)
+    while True:
+        # by hash of the id: every part keeps whole topics
+        part_of = F.pmod(F.xxhash64("qid"), F.lit(parts))
+        per_part = topics.groupBy(part_of.alias("part")).agg(F.sum(places).alias("places"))
+        if per_part.agg(F.max("places")).first()[0] <= max_positions:
+            break
+        parts *= 2
     pieces = (topics.filter(part_of == part).toArrow() for part in range(parts))
     return [_slice(spark, rows) for rows in pieces if len(rows)]
 

@@ -1,8 +1,9 @@
 """What the operators read from the session."""
 
-import tempfile
 import uuid
-from functools import cache
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,33 +21,46 @@ def salts_for(spark: SparkSession) -> int:
     return max(1, min(512, shuffle_partitions(spark) // 8))
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="siftrank-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach, as named by ``spark.checkpoint.dir``."""
+    """Folder all executors reach, as named by ``spark.checkpoint.dir``.
+
+    Where that is unset, one in the warehouse, which all executors reach as well.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_folder()
-    raise ValueError(
-        "set spark.checkpoint.dir to a folder that all executors can reach; "
-        "intermediate tables are written there"
-    )
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+
+
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, in the end, the tables that were written within."""
+    folders: list[str] = []
+    token = _owned.set(folders)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in folders:
+            path = hadoop(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (owned := _owned.get()) is not None:
+        owned.append(folder)
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a costly result feeds more than one consumer. Unlike a cached
-    block the table outlives any executor, and its readers see columns only.
+    block the table outlives any executor, and its readers see columns only. It
+    stays until it is deleted, as :func:`intermediate_tables` does.
     """
     spark = df.sparkSession
     folder = new_folder(spark, name)

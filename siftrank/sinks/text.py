@@ -102,10 +102,10 @@ def trec_run(
     if model is not None:
         run = run.filter(F.col("model") == model)
     else:
-        models = run.select(F.count_distinct("model")).scalar()
-        name = F.when(models <= 1, name).otherwise(
-            F.raise_error("the run holds several models: name one")
-        )
+        # two are enough to tell, and are found without finishing the run
+        several = len(run.select("model").distinct().limit(2).collect()) > 1
+        if several:
+            raise ValueError("the run holds several models: name one")
     if tag is not None:
         name = F.when(name.isNotNull(), F.lit(tag))
     return (

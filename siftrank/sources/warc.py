@@ -5,10 +5,11 @@ format allows a reader to start in the middle. Files are read as streams, a
 record at a time; what is held in memory is one batch of records.
 """
 
-import gzip
 import io
 import json
 import sys
+import warnings
+import zlib
 from urllib.parse import unquote
 
 from pyspark import cloudpickle
@@ -34,9 +35,12 @@ COLUMN_OF_FIELD = {
     "Content-Type": "content_type",
 }
 CR, LF = 13, 10
+# Fixed value: the largest length a header can state; others are not lengths.
+LONGEST = 2**31 - 1
 
 BATCH_RECORDS = 500
 BATCH_BYTES = 16 << 20
+READ_BYTES = 4 << 20
 
 
 def _fields(stream) -> tuple[dict, int] | None:
@@ -54,7 +58,8 @@ def _fields(stream) -> tuple[dict, int] | None:
             continue
         name, _, value = (part.strip() for part in line.partition(":"))
         if name == LENGTH_FIELD:
-            length = int(value) if value.isascii() and value.isdigit() else -1
+            stated = int(value) if value.isascii() and value.isdigit() and len(value) < 20 else -1
+            length = stated if stated <= LONGEST else -1
         else:
             fields[name] = value
     return None
@@ -76,12 +81,19 @@ def _payload(stream, length: int) -> bytes | None:
     lead = stream.read(2)
     while len(lead) == 2 and (lead[0] == CR or lead[1] == LF):
         lead = stream.read(2)
-    content = lead + stream.read(length - 2) if len(lead) == 2 else lead
-    return content if len(content) == length else None
+    pieces, missing = [lead], length - len(lead)
+    # in pieces: a wrong length must not claim more memory than the file has bytes
+    while missing and (piece := stream.read(min(missing, READ_BYTES))):
+        pieces.append(piece)
+        missing -= len(piece)
+    return None if missing else b"".join(pieces)
 
 
 def records(stream, record_type: str):
-    """Records of one type, numbered from 1; every type if it is empty."""
+    """Records of one type, numbered from 1; every type if it is empty.
+
+    A file that is cut off ends with its last whole record.
+    """
     number = 0
     for line in stream:
         if not line.startswith(RECORD_MARK):
@@ -115,6 +127,10 @@ class WarcReader(DataSourceReader):
         self.paths = paths
         self.record_type = record_type
 
+    def __getstate__(self) -> dict:
+        """What tasks get: each has its own path in its partition."""
+        return {"paths": [], "record_type": self.record_type}
+
     def partitions(self) -> list[InputPartition]:
         return [WarcFile(path) for path in self.paths]
 
@@ -178,12 +194,47 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else path)
 
 
+class Unzipped(io.RawIOBase):
+    """A gzip file of one or more members; what is cut off or broken ends it."""
+
+    def __init__(self, raw):
+        self.raw = raw
+        self.member = zlib.decompressobj(wbits=31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while True:
+            if self.member.eof:
+                # members may be padded with zeros
+                packed = self.member.unused_data.lstrip(b"\0")
+                while not packed and (piece := self.raw.read(1 << 16)):
+                    packed = piece.lstrip(b"\0")
+                if not packed:
+                    return 0
+                self.member = zlib.decompressobj(wbits=31)
+            else:
+                packed = self.member.unconsumed_tail or self.raw.read(1 << 16)
+                if not packed:
+                    warnings.warn("a compressed archive is cut off", stacklevel=2)
+                    return 0
+            try:
+                data = self.member.decompress(packed, len(buffer))
+            except zlib.error as broken:
+                warnings.warn(f"a compressed archive is broken: {broken}", stacklevel=2)
+                return 0
+            if data:
+                buffer[: len(data)] = data
+                return len(data)
+
+
 def open_stream(path: str):
     """Buffered stream of a file on any file system, unpacked if it is gzip."""
     file_system, inner = _file_system(path)
     raw = file_system.open_input_stream(inner, compression=None, buffer_size=1 << 20)
     if path.endswith("gz"):
-        return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20)
+        return io.BufferedReader(Unzipped(raw), 1 << 20)
     return io.BufferedReader(raw, 1 << 20)
 
 
@@ -206,13 +257,19 @@ def read_warc(spark: SparkSession, path: str, record_type: str = "response") ->
     )
 
 
-def warc_pages(records: DataFrame, id_field: str = "WARC-TREC-ID") -> DataFrame:
-    """``(doc_id, url, html)`` of the records that have both an id and a URL."""
-    return records.select(
+def warc_pages(
+    records: DataFrame, id_field: str = "WARC-TREC-ID", need_id: bool = True
+) -> DataFrame:
+    """``(doc_id, url, html)`` of the records that have a URL and, if asked for, an id.
+
+    Links on pages without an id count like others.
+    """
+    pages = records.select(
         F.col("headers")[id_field].alias("doc_id"),
         F.col("headers")["WARC-Target-URI"].alias("url"),
         decode_utf8(F.col("content")).alias("html"),
-    ).filter("doc_id is not null and url is not null")
+    ).filter("url is not null")
+    return pages.filter("doc_id is not null") if need_id else pages
 
 
 def warc_documents(

@@ -67,7 +67,21 @@ def test_runs(spark, place, source, kind, first, n_docs):
     assert {f[1] for f in fields} == {"Q0"} and {f[5] for f in fields} == {"mine"}
     assert [f[3] for f in fields if f[0] == "2"] == [str(i + 1) for i in range(len([f for f in fields if f[0] == "2"]))]
 
+    main(["experiment", "--format", kind, docs, f"{place}/{kind}-whole", f"{place}/topics", "-k", "5"])
+    assert sorted(lines(place / f"{kind}-whole")) == sorted(lines(place / f"{kind}-baselines"))
+
     with pytest.raises(Exception, match="several models"):
         main(["trec", out["baselines"], out["one"]])
     with pytest.raises(Exception, match="(?i)exists"):
         main(["run", "--format", kind, docs, out["run"], f"{place}/topics"])
+
+
+def test_every_line_of_a_run_is_formatted(spark, place):
+    run = "\n".join(f"9\tdoc{k:05d}\t{(k * 7) % 400 + 0.5}" for k in range(1500))
+    (place / "long").write_text(run)
+    main(["trec", f"{place}/long", f"{place}/long-trec", "--tag", "t"])
+    fields = [line.split("\t") for line in lines(place / "long-trec")]
+    assert [int(f[3]) for f in fields] == list(range(1, 1501))
+    assert [(-float(f[4]), f[2]) for f in fields] == sorted((-float(f[4]), f[2]) for f in fields)
+    main(["trec", f"{place}/long", f"{place}/cut-trec", "--tag", "t", "-k", "10"])
+    assert lines(place / "cut-trec") == lines(place / "long-trec")[:10]

@@ -4,13 +4,15 @@ import random
 
 import pytest
 
-from siftrank import anchor_documents
+from siftrank import anchor_documents, anchor_experiment, experiment
 from siftrank.operators.links import (
     anchor_text_documents,
     extract_links,
     gather_anchors,
     page_keys,
 )
+from siftrank.operators.topics import last_wins
+from siftrank.sources.text import parse_topics, topics_from_text
 
 PAGES = "doc_id string, url string, html string"
 
@@ -21,37 +23,48 @@ def links(spark, html, url="http://a.nl/p", **options):
     return [(r.target_url, r.anchor_text) for r in found]
 
 
-def test_page_to_rows(spark):
-    html = "<html><a href='http://b.sf.net'>X <!-- test -->rocks</a>!</html>"
-    page = spark.createDataFrame([("T1", "http://u.nl", html)], PAGES)
-    assert [tuple(r) for r in page_keys(page).collect()] == [("http://u.nl", "T1")]
-    assert links(spark, html, "http://u.nl") == [("http://b.sf.net", "X  rocks")]
-
-
-def test_join_and_glue(spark):
-    pages = spark.createDataFrame(
-        [
-            ("T0", "http://x.nl", "<a href='http://u.nl/'>University of Anywhere</a> <a href=http://u.nl>UT</a>"),
-            ("T1", "http://u.nl", ""),
-        ],
-        PAGES,
-    )
-    found = anchor_documents(pages).collect()
-    assert [tuple(r) for r in found] == [("T1", "http://u.nl", ["University of Anywhere", "UT"])]
-    text = anchor_text_documents(anchor_documents(pages)).first().text
-    assert text == "http://u.nl\tUniversity of Anywhere\tUT"
-
-
-def test_whole_job(spark):
-    pages = spark.createDataFrame(
-        [
-            ("T1", "http://u.nl", "<a href='http://b.sf.net'>X <!-- test -->rocks</a>"),
-            ("T2", "http://b.sf.net", "<a href='http://some.random.link.nl'>out</a>"),
-        ],
-        PAGES,
-    )
-    found = anchor_documents(pages).collect()
-    assert [tuple(r) for r in found] == [("T2", "http://b.sf.net", ["X  rocks"])]
+def test_comments_inside_an_anchor_leave_their_spaces(spark):
+    note = "<ul><li><a class=ref href=/guide/>read <!-- v2 --> the<i>guide</i></a><li>end</ul>"
+    assert links(spark, note, "http://docs.example/start") == [
+        ("http://docs.example/guide", "read   the guide ")
+    ]
+    page = spark.createDataFrame([("k7", "http://docs.example/start/index.htm", note)], PAGES)
+    assert page_keys(page).collect() == [("http://docs.example/start", "k7")]
+
+
+def test_anchors_come_by_source_and_place(spark):
+    """Three pages speak of a fourth, one of them twice and of others in between."""
+    rows = [("m", "http://wiki.example/tea", None)]
+    for name, words in (("c", ["leaf"]), ("a", ["hot drink", "tea"]), ("b", ["green\ttea"])):
+        body = " / ".join(f"<a href=tea>{w}</a> <a href=cup>cup</a>" for w in words)
+        rows.append((name, f"http://wiki.example/{name}", body))
+    pages = spark.createDataFrame(rows, PAGES).repartition(2)
+    (found,) = anchor_documents(pages).collect()
+    assert found.anchors == ["hot drink", "tea", "green tea", "leaf"]
+    assert (found.doc_id, found.url, found.n_left_out) == ("m", "http://wiki.example/tea", 0)
+    (text,) = anchor_text_documents(anchor_documents(pages), with_url=False).collect()
+    assert text.text.split("\t") == found.anchors
+
+
+def test_only_pages_that_others_link_to_come_out(spark):
+    """A ring of pages with one broken link, and links out of the collection."""
+    ring = [
+        (f"r{k}", f"http://ring.example/{k}", f"<a href={(k + 1) % 5}>to {k}</a><a href=//off/{k}>off</a>")
+        for k in range(5)
+        if k != 3
+    ]
+    found = anchor_documents(spark.createDataFrame(ring, PAGES)).collect()
+    assert sorted((r.doc_id, r.anchors) for r in found) == [
+        ("r0", ["to 4"]),
+        ("r1", ["to 0"]),
+        ("r2", ["to 1"]),
+    ]
+
+
+def test_links_of_pages_without_an_id_count(spark):
+    rows = [(None, "http://p.example/x", "<a href=y>from nowhere</a>"), ("y", "http://p.example/y", "<a href=x>back</a>")]
+    found = anchor_documents(spark.createDataFrame(rows, PAGES)).collect()
+    assert [(r.doc_id, r.anchors) for r in found] == [("y", ["from nowhere"])]
 
 
 @pytest.mark.parametrize(
@@ -81,10 +94,10 @@ def test_elements_are_taken_apart_as_found(spark):
     assert links(spark, html) == [("http://a.nl/x", "two  three "), ("http://a.nl/y", " ")]
 
 
-def test_pages_are_searched_up_to_a_limit(spark):
+def test_pages_are_searched_whole_or_up_to_a_limit(spark):
     html = " " * 50_000 + "<a href=x>t</a>"
-    assert links(spark, html) == []
-    assert links(spark, html, page_chars=None) == [("http://a.nl/x", "t")]
+    assert links(spark, html) == [("http://a.nl/x", "t")]
+    assert links(spark, html, page_chars=50_000) == []
     assert links(spark, html[5:], page_chars=50_009) == []
     assert links(spark, html[5:], page_chars=50_010) == [("http://a.nl/x", "t")]
 
@@ -95,7 +108,7 @@ def test_pages_keep_their_scheme(spark):
     )
     assert anchor_documents(pages).collect() == []
     found = anchor_documents(pages, normalise_scheme=True).collect()
-    assert [tuple(r) for r in found] == [("p", "http://b.nl", ["t"])]
+    assert [tuple(r) for r in found] == [("p", "http://b.nl", ["t"], 0)]
 
 
 def gathered(pages, **options):
@@ -139,12 +152,36 @@ def test_anchor_limit_against_brute_force(spark, max_chars, salts):
     found = [tuple(r) for r in extract_links(frame).collect()]
     expected = expected_anchors(pages, found, max_chars)
     assert gathered(frame, max_chars=max_chars, salts=salts) == expected
+    whole = {r.url: len(r.anchors) for r in gather_anchors(frame).collect()}
+    for r in gather_anchors(frame, max_chars=max_chars, salts=salts).collect():
+        assert r.n_left_out == whole[r.url] - len(r.anchors)
 
 
-def test_pages_are_read_once(spark, tmp_path):
+def test_links_meet_pages_before_they_are_sorted(spark, tmp_path):
     folder = str(tmp_path / "pages")
     spark.createDataFrame([("p", "http://a", "")], PAGES).write.parquet(folder)
-    plan = gather_anchors(spark.read.parquet(folder), salts=4)
+    plan = gather_anchors(spark.read.parquet(folder), max_chars=100, salts=4)
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 2
-    assert text.count("Sort [") == 2
+    lines = text.split("\n")
+    join = next(k for k, line in enumerate(lines) if "ShuffledHashJoin" in line)
+    # the pages' text is read once, their ids and URLs once more
+    scans = [k for k, line in enumerate(lines) if "FileScan" in line]
+    texts = [k for k in scans if "html" in lines[k].split("Batched")[0]]
+    assert len(scans) == 2 and len(texts) == 1
+    assert not any("Sort [" in line for line in lines[join : texts[0]])
+
+
+def test_anchors_scored_without_gluing(spark):
+    rng = random.Random(6)
+    pages = [
+        (f"p{i}", f"http://s/{i}", "".join(f"<a href={rng.randrange(12)}>w{rng.randrange(5)} w{rng.randrange(5)}</a>" for _ in range(6)))
+        for i in range(10)
+    ]
+    frame = spark.createDataFrame(pages, PAGES).repartition(3)
+    asked = last_wins(parse_topics(topics_from_text(spark, "1:w1 w2\n2:w3 s\n3:http 4 unseen")))
+    glued = experiment(anchor_text_documents(anchor_documents(frame)), asked)
+    columns = ("qid", "model", "rank", "doc_id")
+    summed = anchor_experiment(frame, asked)
+    assert sorted(map(tuple, summed.select(*columns).collect())) == sorted(
+        map(tuple, glued.select(*columns).collect())
+    )

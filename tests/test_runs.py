@@ -1,18 +1,20 @@
 """Statistics, models, candidate generation and ranking."""
 
 import random
+from pathlib import Path
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 from siftrank import BASELINES, baseline_run, bm25, experiment, lambda_sweep, simple_run, term_statistics
+from siftrank.plans import jobs
 from siftrank.operators.hits import document_hits, term_frequencies
 from siftrank.operators.models import interpolated_lm, unsmoothed_lm
 from siftrank.operators.scoring import best, floors, not_below, score_documents
 from siftrank.operators.statistics import collection_stats
 from siftrank.operators.topics import last_wins, topic_slices
-from siftrank.session import salts_for, shared_folder, written
+from siftrank.session import intermediate_tables, salts_for, shared_folder, written
 from siftrank.sources.text import parse_topics, parse_weighted_topics, topics_from_text
 
 DOCS = [("d1", "a b a"), ("d2", "b c"), ("d3", ""), ("d4", "a"), ("d4", "a")]
@@ -42,8 +44,13 @@ def test_intermediate_tables_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder
     assert written(spark.range(3), "some").inputFiles()[0].startswith(f"file://{folder}/some-")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(Settings({"spark.master": "spark://host:7077"}))
+    unset = Settings({"spark.sql.warehouse.dir": "hdfs://host/house/"})
+    assert shared_folder(unset) == "hdfs://host/house/_intermediate"
+    with intermediate_tables(spark):
+        table = written(spark.range(3), "short_lived")
+        path = Path(table.inputFiles()[0].removeprefix("file://"))
+        assert path.exists()
+    assert not path.parent.exists()
     assert salts_for(Settings({"spark.sql.shuffle.partitions": "8000"})) == 512
 
 
@@ -217,18 +224,41 @@ def test_floors_leave_the_run_as_it_is(scored, k):
         assert rows(best(not_below(scored, floor), k), *columns) == expected
 
 
-def test_sampled_experiment_equals_plain_run(spark):
-    """Large enough for its size to be sampled first."""
-    docs = spark.range(0, 3000, 1, 5).selectExpr(
+@pytest.fixture(scope="module")
+def many(spark):
+    return spark.range(0, 3000, 1, 5).selectExpr(
         "concat('d', id) AS doc_id",
         "array_join(transform(sequence(0, id % 37), i -> concat('w', (i * id + id) % 11)), ' ') AS text",
     )
+
+
+@pytest.mark.parametrize("k", [1, 10, 2999])
+def test_runs_are_the_same_with_and_without_floors(spark, many, k):
     asked = topics(spark, "1:w1 w2\n2:w3\n3:w4 w5 w6\n4:w10 unseen")
     columns = ("qid", "model", "rank", "doc_id", "score")
-    sampled = experiment(docs, asked, k=10)
-    assert "floor" in sampled._jdf.queryExecution().optimizedPlan().toString()
-    plain = baseline_run(docs, term_statistics(docs, asked), k=10)
-    assert rows(sampled, *columns) == rows(plain, *columns)
+    sampled = experiment(many, asked, k=k)
+    assert k > 10 or "floor" in sampled._jdf.queryExecution().optimizedPlan().toString()
+    part = topic_slices(term_statistics(many, asked))[0]
+    kept = part.topics.select("qid", F.filter("terms", lambda t: t["cf"] > 0).alias("terms"), "n_docs", "coll_len")
+    scored = score_documents(document_hits(many, part.vocabulary), kept, BASELINES, part.longest)
+    assert rows(sampled, *columns) == rows(best(scored, k), *columns)
+    two_jobs = baseline_run(many, term_statistics(many, asked), k=k)
+    assert rows(two_jobs, *columns) == rows(sampled, *columns)
+
+
+def test_long_topics_leave_others_as_they_are(spark, many):
+    short = "1:w1 w2\n2:w3 w4 w5 w6 w7"
+    columns = ("qid", "doc_id", "score", "rank")
+    alone = rows(simple_run(many, topics(spark, short)), *columns)
+    asked = short + "\n3:" + " ".join(["w0 w1 w2 w3 w4 w5"] * 10)
+    both = simple_run(many, topics(spark, asked))
+    assert rows(both.where("qid <> '3'"), *columns) == alone
+    texts = {r.doc_id: r.text for r in many.collect()}
+    for r in both.where("qid = '3'").collect():
+        found, product = brute.tokens(texts[r.doc_id]), 1.0
+        for term in ["w0", "w1", "w2", "w3", "w4", "w5"] * 10:
+            product *= found.count(term) / len(found)
+        assert r.score == product * len(found)
 
 
 @pytest.mark.parametrize(("salts", "parts"), [(2, 3), (5, 1), (16, 9)])
@@ -241,6 +271,9 @@ def test_salting_and_partitioning_do_not_change_the_run(scored, salts, parts):
 def test_rank_is_pushed_below_the_shuffle(scored):
     plan = best(scored, 1000, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Partial") >= 2 and "WindowGroupLimit" in plan
+    longer = best(scored, 2000, 4)._jdf.queryExecution().executedPlan().toString()
+    assert longer.count("Partial") >= 2 and "WindowGroupLimit" in longer
+    assert rows(best(scored, None), "rank")[-1] == (1334,)
 
 
 def test_large_topic_sets_run_in_slices(spark, docs):
@@ -253,6 +286,30 @@ def test_large_topic_sets_run_in_slices(spark, docs):
     for piece in slices:
         parts += rows(simple_run(docs, piece.topics), "qid", "doc_id", "score", "rank")
     assert sorted(parts) == whole
+    with pytest.raises(ValueError, match="a topic has 2 terms"):
+        topic_slices(asked, max_positions=1)
+
+
+def test_text_is_read_once_however_many_slices(spark, docs, tmp_path, monkeypatch):
+    asked = topics(spark, TOPICS + "\n6:c b\n7:c\n8:a")
+    columns = ("qid", "doc_id", "score", "rank")
+    weights = ("qid", "n_docs", "coll_len", "terms")
+    whole = rows(simple_run(docs, asked), *columns), rows(term_statistics(docs, asked), *weights)
+    whole += (rows(experiment(docs, asked), "model", *columns),)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    counted = docs.select("doc_id", seen("text").alias("text"))
+    monkeypatch.setattr(jobs, "MAX_POSITIONS", 2)
+    monkeypatch.setattr(jobs, "topic_slices", lambda t: topic_slices(t, 3))
+    parts = rows(simple_run(counted, asked), *columns), rows(term_statistics(counted, asked), *weights)
+    parts += (rows(experiment(counted, asked), "model", *columns),)
+    assert parts == whole
+    assert read.value == 3 * len(DOCS)
 
 
 def test_only_hits_are_shuffled(spark, docs):

@@ -3,6 +3,7 @@
 import gzip
 
 import pytest
+from pyspark import cloudpickle
 
 from siftrank import anchor_documents, read_documents
 from siftrank.sources.warc import list_files, read_warc, warc_documents, warc_pages
@@ -131,4 +132,31 @@ def test_anchors_from_an_archive(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record("T1", link) + record("T2", "<p>"))
     pages = warc_pages(read_warc(spark, str(tmp_path / "a.warc")))
     found = anchor_documents(pages).collect()
-    assert [tuple(r) for r in found] == [("T2", "http://x.nl/T2", ["to two"])]
+    assert [tuple(r) for r in found] == [("T2", "http://x.nl/T2", ["to two"], 0)]
+
+
+def test_lengths_beyond_32_bits_are_no_lengths(spark, tmp_path):
+    bad = "WARC/1.0\nWARC-Type: response\nWARC-TREC-ID: x\nContent-Length: {}\n\n"
+    good = "WARC/1.0\nWARC-Type: response\nWARC-TREC-ID: y\nContent-Length: 4\n\ngood\n"
+    for n, length in enumerate(("3000000000", "9" * 20, "-1", "4x")):
+        file = tmp_path / f"{n}.warc"
+        file.write_text(bad.format(length) + "rest: of it\nContent-Length: 4\n\nmore\n" + good)
+        found = read_warc(spark, str(file)).collect()
+        assert [bytes(r.content) for r in found] == [b"more", b"good"], length
+
+
+def test_a_cut_off_gzip_file_keeps_its_whole_records(spark, tmp_path):
+    record = "WARC/1.0\nWARC-Type: response\nContent-Length: 3000\n\n{}\n"
+    whole = [gzip.compress(record.format(str(k) * 3000).encode()) for k in range(3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(whole)[:-15])
+    (tmp_path / "b.warc.gz").write_bytes(whole[0] + b"\x00 no gzip")
+    found = read_warc(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.content[:1]) for r in found) == [b"0", b"0", b"1"]
+
+
+def test_tasks_do_not_carry_all_paths():
+    from siftrank.sources.warc import WarcReader
+
+    reader = WarcReader(["x" * 1000] * 1000, "response")
+    assert len(cloudpickle.dumps(reader)) < 100_000
+    assert len(reader.partitions()) == 1000
