@@ -9,7 +9,7 @@ from siftrank.llm.byte_bpe import encoded_documents
 from siftrank.llm.decontaminate import benchmark_overlaps
 from siftrank.llm.languages import identified_languages, learned_languages
 from siftrank.llm.main_text import main_texts
-from siftrank.llm.quality import judged_documents
+from siftrank.llm.quality import BOILERPLATE, SEPARATOR, SYMBOL, judged_documents
 from siftrank.llm.secrets import found_secrets, joined_spans
 from siftrank.llm.similar import similar_components
 from siftrank.llm.token_counts import token_counts
@@ -143,4 +143,69 @@ QUERIES = {
     "op10_benchmark_overlaps": op10_benchmark_overlaps,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+_SIMILAR = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.format(_LOWER)} AS words
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS s
+  FROM w, unnest(range(1, greatest(len(words) - 2, 2))) AS r(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+  WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+JOIN (SELECT x, min(y) AS least_id FROM reach GROUP BY x) ON x = w.doc_id"""
+
+
+def _count(pattern: str) -> str:
+    return f"(length(x) - length(regexp_replace(x, '{pattern}', '', 'g')))"
+
+
+_N_WORDS = f"len({_WORDS.format('x')})"
+_FAILS = f"""
+  10 * {_count(SYMBOL)} > length(x)
+  OR ({_count(SEPARATOR)} >= 3 AND 4 * {_count(SEPARATOR)} >= {_N_WORDS})
+  OR ({_N_WORDS} <= 15 AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}'))
+  OR ({_N_WORDS} <= 2 AND NOT regexp_matches(x, '[.!?…:;,)"''”»]\\s*$'))"""
+
+_JUDGED = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, text, {_WORDS.format("text")} AS words,
+         list_filter(string_split(text, chr(10)),
+                     lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM t),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS win
+  FROM w, unnest(range(1, len(words) - 6)) AS r(i) WHERE len(words) >= 8),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(0, 8)) AS r(k) GROUP BY doc_id),
+counts AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '{SYMBOL}', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(list_sum(list_transform(list_filter(lines, lambda x: {_FAILS}),
+                                          lambda x: {_N_WORDS})), 0) AS failed_words
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 2 * failed_words <= n_words AS kept
+FROM based"""
+
+# The others learn, encode, or lex, which SQL cannot express.
+ORACLE_SQL = {"op4_similar_documents": _SIMILAR, "op9_judged_documents": _JUDGED}
