@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import TEXTS
+from samples import TEXTS
 
 from siftrank.llm.languages import identified_languages, learned_languages
 from siftrank.llm.toxicity import (

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from conftest import collected
+from samples import collected
 
 from siftrank.llm.decontaminate import benchmark_overlaps, best_stretch
 

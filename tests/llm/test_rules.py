@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
-from conftest import TEXTS
+from samples import TEXTS
 from pyspark.sql import functions as F
 
 from siftrank.llm.quality import judged_documents

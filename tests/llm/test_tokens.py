@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
-from conftest import TEXTS
+from samples import TEXTS
 from tokenizers import Tokenizer
 
 from siftrank.llm import byte_bpe
