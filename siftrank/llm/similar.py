@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.words import hashed_words, row_shingles
@@ -27,7 +27,11 @@ from siftrank.session import written
 # The order decides how much work there is, never the result.
 FREQUENT_SHARE = 0.0005
 FREQUENT_MOST = 100_000
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 2_000_000
+# Lists of at most so many sets are looked through pair by pair.
+SHORT_LIST = 16
+# Leaders that a set is compared with at once.
+LEADERS = 8
 
 
 def _frequent(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +201,50 @@ def _renamed(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return renamed.drop("_to")
 
 
+def _needed(percent: int):
+    """Shingles that two similar sets of ``n`` and ``m`` share at least."""
+    return F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent)
+
+
+def _sizes_fit(percent: int):
+    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+
+
 def _fits(percent: int):
-    """The two entries of a list can belong to similar sets."""
-    needed = F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent)
+    """A pair that meets here first, in the order of shingles, can be similar."""
+    return _sizes_fit(percent) & (F.least("rest", "other_rest") >= _needed(percent))
+
+
+def _enough(percent: int, in_prefixes):
+    """Sets that share ``in_prefixes`` shingles of their prefixes can be similar.
+
+    What else they share comes after the end of the shorter reaching prefix, where
+    one of them has no more than its size without its prefix.
+    """
+    after = F.ceil(F.lit(percent) * F.greatest("n", "m") / 100) - 1
+    return in_prefixes >= _needed(percent) - after
+
+
+def _shared_lists(*more):
+    """Of a pair in several lists: how many, its sizes, what is left from the first one on."""
     return (
-        (F.col("root") != F.col("other_root"))
-        & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        & (F.least("rest", "other_rest") >= needed)
+        F.count("*").alias("lists"),
+        F.max(F.least("rest", "other_rest")).alias("left"),
+        F.first("n").alias("n"),
+        F.first("m").alias("m"),
+        *more,
+    )
+
+
+def _other(lists: DataFrame, *more: str) -> DataFrame:
+    """The lists' entries under the names for the other one of two sets."""
+    return lists.select(
+        "t",
+        "block",
+        F.col("set").alias("other"),
+        F.col("n").alias("m"),
+        F.col("rest").alias("other_rest"),
+        *(F.col(c).alias(f"other_{c}") for c in more),
     )
 
 
@@ -211,28 +252,51 @@ def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the short lists that share enough of them to be similar.
+
+    ``long`` is how many long lists a set is in, so how many a pair shares at most.
+    """
+    near = _other(short, "long").withColumn(
+        "block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))
+    )
+    met = short.join(near, ["t", "block"])
+    met = met.where((F.col("set") < F.col("other")) & _sizes_fit(percent))
+    long = F.first(F.least("long", "other_long")).alias("long")
+    shared = met.groupBy("set", "other").agg(*_shared_lists(long))
+    # unless they may have met before, in a long list, enough must be left here
+    left = (F.col("long") > 0) | (F.col("left") >= _needed(percent))
+    shared = shared.where(left & _enough(percent, F.col("lists") + F.col("long")))
+    return shared.select(F.col("set").alias("a"), F.col("other").alias("b"))
+
+
 def _leader_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each set with the leader of most of its lists; other leaders every turn.
+    """Each set with the leaders of most of its lists; other leaders every turn.
 
-    A list's block for sets of one size has the leader that comes first by hash.
+    At first with one of them, which settles most, then with several. A list's block for sets of one size has the leader that comes first by hash.
     A set looks at the blocks of its own size and of the next smaller one.
     """
     at = F.xxhash64("set", F.lit(turn))
     first = F.min(F.struct(at.alias("h"), "set", "root", "n", "rest"))
     leaders = lists.groupBy("t", "block").agg(first.alias("l"))
-    leaders = leaders.select(
-        "t",
-        "block",
-        F.col("l.set").alias("other"),
-        F.col("l.root").alias("other_root"),
-        F.col("l.n").alias("m"),
-        F.col("l.rest").alias("other_rest"),
-    )
+    leaders = _other(leaders.select("t", "block", "l.set", "l.root", "l.n", "l.rest"), "root")
     looking = lists.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
-    met = looking.join(leaders, ["t", "block"]).where(_fits(percent))
+    met = looking.join(leaders, ["t", "block"])
+    met = met.where((F.col("root") != F.col("other_root")) & _fits(percent))
     shared = met.groupBy("set", "other").agg(F.count("*").alias("lists"))
-    best = shared.groupBy("set").agg(F.max(F.struct("lists", "other")).alias("best"))
-    return best.select(*_ordered("set", "best.other")).distinct()
+    best = Window.partitionBy("set").orderBy(F.desc("lists"), "other")
+    chosen = shared.withColumn("k", F.row_number().over(best))
+    chosen = chosen.where(F.col("k") <= (LEADERS if turn else 1))
+    return chosen.select(*_ordered("set", "other")).distinct()
+
+
+def _sized(lists: DataFrame) -> DataFrame:
+    """Entries with whether their list ``is_long`` and with their set's number of such lists."""
+    long = lists.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") > SHORT_LIST)
+    marked = lists.join(long.select("t", F.lit(True).alias("is_long")), "t", "left")
+    marked = written(marked.withColumn("is_long", F.coalesce("is_long", F.lit(False))), "lists")
+    number = marked.where("is_long").groupBy("set").agg(F.count("*").cast("int").alias("long"))
+    return marked.join(number, "set", "left").withColumn("long", F.coalesce("long", F.lit(0)))
 
 
 def _open_lists(lists: DataFrame) -> DataFrame:
@@ -243,22 +307,27 @@ def _open_lists(lists: DataFrame) -> DataFrame:
         F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("list_size")
     )
     most = most.where("most.k < list_size")
-    return lists.join(most, "t").withColumn("minor", F.col("root") != F.col("most.root"))
+    marked = lists.join(most, "t").withColumn("minor", F.col("root") != F.col("most.root"))
+    return marked.drop("most", "list_size")
 
 
 def _other_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components in the lists, between neighbouring blocks."""
-    entry = open_lists.select("t", "block", "set", "root", "n", "rest")
-    looking = open_lists.where("minor").select(
-        "t",
-        F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"),
-        F.col("set").alias("other"),
-        F.col("root").alias("other_root"),
-        F.col("n").alias("m"),
-        F.col("rest").alias("other_rest"),
+    """Pairs across components that share enough lists, between neighbouring blocks.
+
+    Lists in which they might meet besides these are short ones, and what meets
+    there is settled already.
+    """
+    looking = _other(open_lists.where("minor"), "root").withColumn(
+        "block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))
     )
-    met = entry.join(looking, ["t", "block"]).where(_fits(percent))
-    return met.select(*_ordered("set", "other")).distinct()
+    met = open_lists.join(looking, ["t", "block"])
+    met = met.where((F.col("root") != F.col("other_root")) & _sizes_fit(percent))
+    # of two minor sets each meets the other
+    met = met.where(~F.col("minor") | (F.col("set") < F.col("other")))
+    a, b = _ordered("set", "other")
+    shared = met.groupBy(a, b).agg(*_shared_lists())
+    left = F.col("left") >= _needed(percent)
+    return shared.where(left & _enough(percent, F.col("lists"))).select("a", "b")
 
 
 def similar_components(
@@ -309,36 +378,30 @@ def similar_components(
     # sizes of similar sets differ by less than one step, rounding included
     step = F.log(F.lit(100 / percent)) * (1 + 1e-9)
     block = F.floor(F.log(F.col("n").cast("double")) / step)
-    lists = written(lists.withColumn("block", block.cast("int")), "lists")
+    lists = written(_sized(lists.withColumn("block", block.cast("int"))), "lists")
     packed = rows.where("packed IS NOT NULL").select("set", "packed")
     packed = packed.join(lists.select("set").distinct(), "set", "left_semi")
     packed = written(packed.dropDuplicates(["set"]), "packed")
 
-    size = lists.count()
-    labelled = lists.withColumn("root", F.col("set"))
-    roots, left, turn = None, None, 0
-    tried = None
+    tried = written(_short_pairs(lists.where("NOT is_long"), percent), "pairs")
+    roots = _joined(None, written(checked_links(tried, packed, n, percent), "links"))
+
+    # long lists: leaders first, as long as that settles much, then what is left
+    whole = lists.where("is_long").select("t", "block", "set", "n", "rest")
+    size, before, turn = whole.count(), None, 0
     while size:
-        pairs = _leader_pairs(labelled, percent, turn)
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = written(checked_links(pairs, packed, n, percent), "links")
-        roots = _joined(roots, links)
-        if roots is not None:
-            labelled = _renamed(labelled.withColumn("root", F.col("set")), roots, "root")
-            labelled = written(labelled, "lists")
-        kept = _open_lists(labelled).select("t", "block", "set", "root", "n", "rest", "minor")
-        labelled = written(kept, "lists")
-        before, left = left, _work(labelled)
-        turn += 1
-        if left <= 4 * size + 100_000 or (before is not None and left > 0.8 * before):
+        labelled = whole.withColumn("root", F.col("set"))
+        labelled = _open_lists(labelled if roots is None else _renamed(labelled, roots, "root"))
+        labelled = written(labelled, "lists")
+        left = _work(labelled)
+        last = left <= size // 4 or (before is not None and left > 0.8 * before)
+        make = _other_pairs(labelled, percent) if last else _leader_pairs(labelled, percent, turn)
+        pairs = written(make.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        roots = _joined(roots, written(checked_links(pairs, packed, n, percent), "links"))
+        if last:
             break
-        labelled = labelled.drop("minor")
-    if size and left:
-        pairs = _other_pairs(labelled, percent).join(tried, ["a", "b"], "left_anti")
-        links = written(checked_links(written(pairs, "pairs"), packed, n, percent), "links")
-        roots = _joined(roots, links)
+        before, turn = left, turn + 1
     labels = rows.select("id", "n", F.col("set").alias("root"))
     if roots is not None:
         labels = _renamed(labels, roots, "root")
