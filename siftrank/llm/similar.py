@@ -29,7 +29,11 @@ FREQUENT_SHARE = 0.0005
 FREQUENT_MOST = 100_000
 COUNTED_AT_ONCE = 2_000_000
 # Lists of at most so many sets are looked through pair by pair.
-SHORT_LIST = 16
+SHORT_LIST = 32
+# Entries of a longer list that are looked through, or skipped, together.
+BLOCK_ENTRIES = 128
+# Rows of one or two numbers that are sent to all tasks at most.
+BROADCAST_ROWS = 1_000_000
 # Leaders that a set is compared with at once.
 LEADERS = 8
 
@@ -161,8 +165,13 @@ def _checked(n: int, percent: int, batches) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(links, type=pa.bool_()))
 
 
+def _sent_if_small(stored: DataFrame) -> DataFrame:
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def checked_links(pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose whole texts are similar enough."""
+    """Those of the stored ``pairs`` (a, b) whose whole texts are similar enough."""
+    pairs = _sent_if_small(pairs)
     x = packed.select(F.col("set").alias("a"), F.col("packed").alias("x"))
     y = packed.select(F.col("set").alias("b"), F.col("packed").alias("y"))
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
@@ -225,17 +234,6 @@ def _enough(percent: int, in_prefixes):
     return in_prefixes >= _needed(percent) - after
 
 
-def _shared_lists(*more):
-    """Of a pair in several lists: how many, its sizes, what is left from the first one on."""
-    return (
-        F.count("*").alias("lists"),
-        F.max(F.least("rest", "other_rest")).alias("left"),
-        F.first("n").alias("n"),
-        F.first("m").alias("m"),
-        *more,
-    )
-
-
 def _other(lists: DataFrame, *more: str) -> DataFrame:
     """The lists' entries under the names for the other one of two sets."""
     return lists.select(
@@ -262,8 +260,13 @@ def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
     )
     met = short.join(near, ["t", "block"])
     met = met.where((F.col("set") < F.col("other")) & _sizes_fit(percent))
-    long = F.first(F.least("long", "other_long")).alias("long")
-    shared = met.groupBy("set", "other").agg(*_shared_lists(long))
+    shared = met.groupBy("set", "other").agg(
+        F.count("*").alias("lists"),
+        F.max(F.least("rest", "other_rest")).alias("left"),
+        F.first("n").alias("n"),
+        F.first("m").alias("m"),
+        F.first(F.least("long", "other_long")).alias("long"),
+    )
     # unless they may have met before, in a long list, enough must be left here
     left = (F.col("long") > 0) | (F.col("left") >= _needed(percent))
     shared = shared.where(left & _enough(percent, F.col("lists") + F.col("long")))
@@ -308,26 +311,74 @@ def _open_lists(lists: DataFrame) -> DataFrame:
     )
     most = most.where("most.k < list_size")
     marked = lists.join(most, "t").withColumn("minor", F.col("root") != F.col("most.root"))
-    return marked.drop("most", "list_size")
+    return marked.drop("most")
 
 
 def _other_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that share enough lists, between neighbouring blocks.
 
     Lists in which they might meet besides these are short ones, and what meets
-    there is settled already.
+    there is settled already. Entries are kept in blocks: a set gets whole blocks,
+    and those of its lists together.
     """
+    parts = F.ceil(F.col("list_size") / BLOCK_ENTRIES)
+    entry = F.struct("set", "root", "n", "rest", "minor")
+    blocks = (
+        open_lists.withColumn("part", F.pmod(F.xxhash64("set"), parts))
+        .groupBy("t", "block", "part")
+        .agg(F.collect_list(entry).alias("entries"))
+    )
     looking = _other(open_lists.where("minor"), "root").withColumn(
         "block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))
     )
-    met = open_lists.join(looking, ["t", "block"])
-    met = met.where((F.col("root") != F.col("other_root")) & _sizes_fit(percent))
+    met = looking.join(blocks, ["t", "block"])
+    return (
+        met.select("other", "other_root", "m", "other_rest", "entries")
+        .repartition("other")
+        .sortWithinPartitions("other")
+        .mapInArrow(lambda it: _met(percent, it), "a long, b long")
+    )
+
+
+def _met(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sets with the blocks of their lists, sorted by set: the pairs to check."""
+    waiting = None
+    for batch in batches:
+        if waiting is not None:
+            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+        sets = batch.column(0).to_numpy()
+        whole = int(np.searchsorted(sets, sets[-1]))
+        waiting = batch.slice(whole)
+        if whole:
+            yield _met_pairs(percent, batch.slice(0, whole))
+    if waiting is not None:
+        yield _met_pairs(percent, waiting)
+
+
+def _met_pairs(percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = batch.column(4)
+    entries = lists.flatten()
+    each = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+    other, other_root, m, other_rest = (batch.column(k).to_numpy()[each] for k in range(4))
+    own, root, n, rest = (entries.field(k).to_numpy() for k in range(4))
+    minor = entries.field(4).to_numpy(zero_copy_only=False)
+    fits = (root != other_root) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     # of two minor sets each meets the other
-    met = met.where(~F.col("minor") | (F.col("set") < F.col("other")))
-    a, b = _ordered("set", "other")
-    shared = met.groupBy(a, b).agg(*_shared_lists())
-    left = F.col("left") >= _needed(percent)
-    return shared.where(left & _enough(percent, F.col("lists"))).select("a", "b")
+    fits &= ~minor | (own < other)
+    order = np.flatnonzero(fits)
+    order = order[np.lexsort((own[order], other[order]))]
+    other, own, n, m = (x[order].astype(np.int64) for x in (other, own, n, m))
+    left = np.minimum(rest, other_rest)[order]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (other[1:] != other[:-1]) | (own[1:] != own[:-1])
+    at = np.flatnonzero(first)
+    if len(at):
+        shared = np.diff(np.append(at, len(order)))
+        needed = percent * (n[at] + m[at]) / (100 + percent)
+        after = -(-percent * np.maximum(n[at], m[at]) // 100) - 1
+        at = at[(np.maximum.reduceat(left, at) >= needed) & (shared >= needed - after)]
+    a, b = np.minimum(own[at], other[at]), np.maximum(own[at], other[at])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def similar_components(
