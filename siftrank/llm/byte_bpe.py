@@ -1,14 +1,14 @@
-"""Byte-level BPE encoding and decoding over a table of all distinct words.
+"""Byte-level BPE encoding and decoding over all distinct words.
 
 Documents become blocks: their pre-tokens as positions in the block's own list of
-distinct ones. These lists are exploded and shuffled by word, each distinct word of
-all documents is encoded once, its ids are decoded by a join with the table of
-token bytes, and both are joined back and put in place by position, block by block.
-Positions stay in their block, so what is shuffled are words, not occurrences.
+distinct ones. These lists are exploded and shuffled by word, so that each distinct
+word of all documents is encoded once; its ids are joined back to where the word
+stands in the blocks, and put in place by position, block by block. Decoding joins
+ids with the table of token bytes. Positions stay in their block, so what is shuffled
+are words, not occurrences.
 """
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.bpe import PIECES, merged, read_ranks
-from siftrank.session import written
+from siftrank.llm.bpe import distinct_pieces, gathered, merged, read_ranks
+from siftrank.llm.tables import written_buckets
 
-BLOCK_CHARS = 12_000_000
+BLOCK_PIECES = 3_000_000
+# Words of a task that wait to be sent back to their blocks together.
+HELD_WORDS = 400_000
+# Tokens whose bytes are put together at once.
+DECODED_AT_ONCE = 500_000
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers, compressed with bytes of one rank side by side."""
+    parts = [np.array([len(a) for a in arrays], dtype="<u4").tobytes()]
+    for values in arrays:
+        parts.append(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpacked(packed: bytes, n: int) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
+    lengths, at, arrays = data[: 4 * n].view("<u4"), 4 * n, []
+    for length in lengths.tolist():
+        planes = data[at : at + 4 * length].reshape(4, -1)
+        arrays.append(np.ascontiguousarray(planes.T).view("<u4").reshape(-1))
+        at += 4 * length
+    return arrays
 
 
 class _Block:
@@ -30,7 +52,7 @@ class _Block:
         self.ids, self.lengths, self.sequence = [], [], []
         self.words: dict[str, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chars = 0
+        self.size = 0
 
     def places(self, piece: str) -> tuple[int, ...]:
         words = self.words
@@ -38,24 +60,31 @@ class _Block:
         self.pieces[piece] = own
         return own
 
-    def add(self, key, text: str) -> None:
-        found, places = self.pieces.get, self.places
-        lists = [found(p) or places(p) for p in PIECES.findall(text)]
-        row = np.fromiter(chain.from_iterable(lists), dtype=np.int32)
-        self.ids.append(key)
-        self.lengths.append(len(row))
-        self.sequence.append(row)
-        self.chars += len(text)
+    def add(self, ids: list, pieces: list[str], which: np.ndarray, rows: np.ndarray) -> None:
+        found = self.pieces.get
+        lists = [found(p) or self.places(p) for p in pieces]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        values = np.array([k for x in lists for k in x], dtype=np.uint32)
+        sequence, ends = gathered(values, offsets, which)
+        self.ids += ids
+        self.lengths.append(np.diff(np.concatenate([[0], ends])[rows]))
+        self.sequence.append(sequence)
 
     def batch(self, number: int, id_type: pa.DataType) -> pa.RecordBatch:
-        packed = zstandard.ZstdCompressor(level=1).compress(np.concatenate(self.sequence).tobytes())
+        """Frequent words get small places, and bytes of one rank stand together."""
+        sequence = np.concatenate(self.sequence)
+        by_count = np.argsort(-np.bincount(sequence, minlength=len(self.words)), kind="stable")
+        place = np.empty(len(by_count), dtype="<u4")
+        place[by_count] = np.arange(len(by_count))
+        words = list(self.words)
+        packed = _packed(place[sequence])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.array([self.ids], pa.list_(id_type)),
-                pa.array([self.lengths], pa.list_(pa.int64())),
+                pa.array([np.concatenate(self.lengths)], pa.list_(pa.int64())),
                 pa.array([packed], pa.binary()),
-                pa.array([list(self.words)], pa.list_(pa.string())),
+                pa.array([[words[k] for k in by_count]], pa.list_(pa.string())),
             ],
             ["block", "ids", "lengths", "sequence", "words"],
         )
@@ -67,9 +96,11 @@ def _blocks(pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     id_type = None
     for batch in batches:
         id_type = batch.column(0).type
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            block.add(key.as_py(), text.as_py() or "")
-            if block.chars >= BLOCK_CHARS:
+        ids = batch.column(0).to_pylist()
+        for first, pieces, which, rows in distinct_pieces(batch.column(1)):
+            block.add(ids[first : first + len(rows) - 1], pieces, which, rows)
+            block.size += len(which)
+            if block.size >= BLOCK_PIECES:
                 yield block.batch(number, id_type)
                 number, block = number + 1, _Block(compiled)
     if block.ids:
@@ -77,64 +108,88 @@ def _blocks(pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _encoded(ranks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (word, block, place) sorted by word: each block's places with their ids.
+
+    A word's rows follow each other, so it is encoded once.
+    """
     table = ranks.value
+    held: dict[int, tuple[list[int], list[list[int]]]] = {}
+    n_held = 0
 
     def rank(left: bytes, right: bytes) -> int | None:
         return table.get(left + right)
 
+    def emitted() -> pa.RecordBatch:
+        packed = []
+        for places, codes in held.values():
+            lengths = np.array([len(c) for c in codes])
+            packed.append(_packed(np.array(places), lengths, np.array([c for x in codes for c in x])))
+        numbers = pa.array(list(held), pa.int64())
+        return pa.RecordBatch.from_arrays([numbers, pa.array(packed, pa.binary())], ["block", "codes"])
+
+    last, codes = None, []
     for batch in batches:
-        codes = []
-        for word in batch.column(0):
-            word = word.as_py().encode()
-            whole = table.get(word) if len(word) == 1 else None
-            codes.append([whole] if whole is not None else [table[s] for s in merged(word, rank)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(codes, pa.list_(pa.int32()))], ["word", "codes"]
-        )
+        words, numbers, places = (batch.column(k).to_pylist() for k in range(3))
+        for word, number, place in zip(words, numbers, places, strict=True):
+            if word != last:
+                last, codes = word, [table[s] for s in merged(word.encode(), rank)]
+            own = held.get(number)
+            if own is None:
+                own = held[number] = ([], [])
+            own[0].append(place)
+            own[1].append(codes)
+        n_held += len(words)
+        if n_held >= HELD_WORDS:
+            yield emitted()
+            held.clear()
+            n_held = 0
+    if held:
+        yield emitted()
 
 
-def _gathered(values: np.ndarray, offsets: np.ndarray, order: np.ndarray) -> tuple:
-    """The lists ``order`` names one after the other, and where each ends."""
-    lengths = (offsets[1:] - offsets[:-1])[order]
-    ends = np.cumsum(lengths)
-    index = np.arange(ends[-1] if len(ends) else 0)
-    index += np.repeat(offsets[:-1][order] - (ends - lengths), lengths)
-    return values[index], ends
+def _column(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values that begin at ``at``, which has one entry more than there are."""
+    buffers = [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]
+    values = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, buffers)
+    return values.cast(pa.binary())
 
 
-def _column(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> pa.Array:
-    """Binary values, one per document, of the bytes up to its last word's end."""
-    at = np.concatenate([[0], ends])[rows] * values.dtype.itemsize
-    buffers = [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]
-    return pa.Array.from_buffers(pa.large_binary(), len(rows) - 1, buffers).cast(pa.binary())
+def _token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens in order of their ids, and where each begins."""
+    known = {code: token for token, code in ranks.items()}
+    tokens = [known.get(code, b"") for code in range(max(known, default=-1) + 1)]
+    starts = np.cumsum([0, *map(len, tokens)]).astype(np.int64)
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), starts
 
 
-def _put_in_place(blocks: pa.Table, words: pa.Table) -> pa.Table:
-    words = words.combine_chunks().sort_by("place").combine_chunks()
-    codes = words.column("codes").combine_chunks()
-    codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
-    decoded = words.column("decoded").cast(pa.large_binary()).combine_chunks()
-    decoded = decoded.chunk(0) if isinstance(decoded, pa.ChunkedArray) else decoded
+def _put_in_place(tokens, blocks: pa.Table, words: pa.Table) -> pa.Table:
     blocks = blocks.combine_chunks()
     row = {name: blocks.column(name)[0] for name in ("ids", "lengths", "sequence")}
-    order = zstandard.ZstdDecompressor().decompress(row["sequence"].as_py())
-    order = np.frombuffer(order, dtype=np.int32)
     rows = np.concatenate([[0], np.cumsum(row["lengths"].values.to_numpy())]).astype(np.int64)
-    offsets = codes.offsets.to_numpy().astype(np.int64)
-    values = codes.values.to_numpy().astype("<u4")
-    ids, ends = _gathered(values, offsets, order)
-    n_tokens = np.diff(np.concatenate([[0], ends])[rows])
-    text_offsets = np.frombuffer(decoded.buffers()[1], dtype=np.int64)
-    text_offsets = text_offsets[decoded.offset : decoded.offset + len(decoded) + 1]
-    data = decoded.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
-    texts, text_ends = _gathered(data, text_offsets, order)
+    (order,) = _unpacked(row["sequence"].as_py(), 1)
+    parts = [_unpacked(packed.as_py(), 3) for packed in words.column("codes")]
+    nothing = [np.empty(0, dtype="<u4")]
+    places, lengths, codes = (np.concatenate([*x] or nothing) for x in zip(*parts or [nothing * 3]))
+    # lists of ids in order of their words' places
+    by_place = np.argsort(places, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    codes, ends = gathered(codes, offsets, by_place)
+    ids, ends = gathered(codes, np.concatenate([[0], ends]).astype(np.int64), order)
+    ids_at = np.concatenate([[0], ends]).astype(np.int64)[rows]
+    # the join with the table of token bytes, by number
+    data, starts = tokens.value
+    texts = [
+        gathered(data, starts, ids[k : k + DECODED_AT_ONCE])[0]
+        for k in range(0, len(ids), DECODED_AT_ONCE)
+    ]
+    texts = np.concatenate([*texts, np.empty(0, dtype=np.uint8)])
+    texts_at = np.concatenate([[0], np.cumsum(np.diff(starts)[ids])])[ids_at]
     return pa.table(
         [
             row["ids"].values,
-            pa.array(n_tokens, pa.int64()),
-            _column(ids, ends, rows),
-            _column(texts, text_ends, rows),
+            pa.array(np.diff(ids_at), pa.int64()),
+            _column(ids.view(np.uint8), 4 * ids_at),
+            _column(texts, texts_at),
         ],
         names=["id", "n_tokens", "token_ids", "decoded"],
     )
@@ -160,38 +215,34 @@ def encoded_documents(
     spark = docs.sparkSession
     ranks = read_ranks(vocabulary)
     sent = spark.sparkContext.broadcast(ranks)
-    # as many rows as the vocabulary has tokens
-    tokens = spark.createDataFrame(
-        pa.table({"code": list(ranks.values()), "bytes": list(ranks)}).cast(
-            pa.schema([("code", pa.int32()), ("bytes", pa.binary())])
-        )
-    )
+    # as large as the vocabulary
+    tokens = spark.sparkContext.broadcast(_token_table(ranks))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    blocks = written(
+    # bucketed, so that positions need not be shuffled to meet their words again
+    blocks = written_buckets(
         texts.mapInArrow(
             lambda it: _blocks(pattern, it),
             f"block long, ids array<{id_type}>, lengths array<long>, sequence binary, "
             "words array<string>",
         ),
         "blocks",
+        "block",
     )
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
     coded = (
-        words.select("word")
-        .distinct()
-        .mapInArrow(lambda it: _encoded(sent, it), "word string, codes array<int>")
+        words.select("word", "block", "place")
+        .repartition("word")
+        .sortWithinPartitions("word")
+        .mapInArrow(lambda it: _encoded(sent, it), "block long, codes binary")
     )
-    coded = written(coded, "codes")
-    decoded = decoded_ids(coded.withColumnRenamed("word", "id"), tokens)
-    coded = coded.join(decoded.withColumnRenamed("id", "word"), "word")
-    placed = words.join(coded, "word").select("block", "place", "codes", "decoded")
     rows = (
         blocks.select(F.col("block").alias("own"), "ids", "lengths", "sequence")
         .groupBy("own")
-        .cogroup(placed.groupBy("block"))
+        .cogroup(coded.groupBy("block"))
         .applyInArrow(
-            _put_in_place, f"id {id_type}, n_tokens long, token_ids binary, decoded binary"
+            lambda left, right: _put_in_place(tokens, left, right),
+            f"id {id_type}, n_tokens long, token_ids binary, decoded binary",
         )
     )
     return rows.withColumnRenamed("id", id_col)

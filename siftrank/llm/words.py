@@ -31,11 +31,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each slice: its first row, the words' numbers, and where each row's begin.
+def row_slices(
+    column: pa.Array, size: int = SLICE_BYTES
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of a text column: the first row, the bytes, and where each row's begin.
 
-    The last array has one entry more than the slice has rows. A null is a text
-    without words.
+    The last array has one entry more than the slice has rows. A null is an empty text.
     """
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)
@@ -44,13 +45,28 @@ def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
     data = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
     first = 0
     while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), len(column))
         text = data[offsets[first] : offsets[last]]
-        yield first, *_slice_words(text, offsets[first : last + 1] - offsets[first])
+        yield first, text, offsets[first : last + 1] - offsets[first]
         first = last
 
 
+def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each slice: its first row, the words' numbers, and where each row's begin."""
+    for first, text, rows in row_slices(column):
+        yield first, *_slice_words(text, rows)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each run of ``values`` that begins at one of ``starts``."""
+    lengths = np.diff(np.append(starts, len(values)))
+    power = np.cumprod(np.full(lengths.max(), _BASE, dtype=np.uint64))
+    return mixed(
+        np.add.reduceat(values * power[np.arange(len(values)) - np.repeat(starts, lengths)], starts)
+    )
+
+
 def _slice_words(text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = _WORD_BYTE[text]
     begins = inside.copy()
@@ -62,11 +78,7 @@ def _slice_words(text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     starts = np.flatnonzero(begins[inside])
     if not len(starts):
         return np.empty(0, dtype=np.uint64), at
-    letters = _FOLD[text[inside]]
-    lengths = np.diff(np.append(starts, len(letters)))
-    power = np.cumprod(np.full(lengths.max(), _BASE, dtype=np.uint64))
-    letters *= power[np.arange(len(letters)) - np.repeat(starts, lengths)]
-    return mixed(np.add.reduceat(letters, starts)), at
+    return run_hashes(_FOLD[text[inside]], starts), at
 
 
 def row_shingles(words: np.ndarray, n: int) -> np.ndarray:
