@@ -1,11 +1,13 @@
 """Token counts by heap-and-linked-list merging; no token id is ever made."""
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.bpe import PIECES, merged, read_merges, read_special_tokens
+from siftrank.llm.bpe import PIECES, distinct_pieces, merged, read_merges, read_special_tokens
 
 # Pieces whose counts a task remembers; beyond that it starts over.
 REMEMBERED = 400_000
@@ -57,18 +59,21 @@ def token_counts(
         counts = _Counts(merges, regex.compile(pattern))
         special_tokens = regex.compile(cut) if cut else None
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                n_bytes.append(len(text.encode()))
-                parts = special_tokens.split(text) if special_tokens else [text]
-                n = len(parts) - 1
-                for part in parts:
-                    n += sum(map(counts.__getitem__, PIECES.findall(part)))
-                n_tokens.append(n)
+            texts = batch.column(1).fill_null("")
+            n_tokens = np.zeros(len(texts), dtype=np.int64)
+            for first, pieces, which, rows in distinct_pieces(texts):
+                of_piece = np.array([counts[p] for p in pieces], dtype=np.int64)
+                total = np.concatenate([[0], np.cumsum(of_piece[which])])[rows]
+                n_tokens[first : first + len(rows) - 1] = np.diff(total)
+            if special_tokens:
+                for row in np.flatnonzero(pc.match_substring_regex(texts, cut)):
+                    parts = special_tokens.split(texts[row].as_py())
+                    n_tokens[row] = len(parts) - 1 + sum(
+                        counts[piece] for part in parts for piece in PIECES.findall(part)
+                    )
+            n_bytes = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
-                ["id", "n_bytes", "n_tokens"],
+                [batch.column(0), n_bytes, pa.array(n_tokens)], ["id", "n_bytes", "n_tokens"]
             )
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
