@@ -431,7 +431,8 @@ def similar_components(
     block = F.floor(F.log(F.col("n").cast("double")) / step)
     lists = written(_sized(lists.withColumn("block", block.cast("int"))), "lists")
     packed = rows.where("packed IS NOT NULL").select("set", "packed")
-    packed = packed.join(lists.select("set").distinct(), "set", "left_semi")
+    listed = _sent_if_small(written(lists.select("set").distinct(), "listed"))
+    packed = packed.join(listed, "set", "left_semi")
     packed = written(packed.dropDuplicates(["set"]), "packed")
 
     tried = written(_short_pairs(lists.where("NOT is_long"), percent), "pairs")
