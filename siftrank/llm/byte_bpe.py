@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftrank.llm.bpe import distinct_pieces, gathered, merged, read_ranks
 from siftrank.llm.tables import written_buckets
 
-BLOCK_PIECES = 3_000_000
+BLOCK_PIECES = 4_500_000
 # Words of a task that wait to be sent back to their blocks together.
 HELD_WORDS = 400_000
 # Tokens whose bytes are put together at once.
