@@ -9,6 +9,7 @@ are words, not occurrences.
 """
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,12 @@ from siftrank.llm.bpe import distinct_pieces, gathered, merged, read_ranks
 from siftrank.llm.tables import written_buckets
 
 BLOCK_PIECES = 4_500_000
+# Distinct pieces that end a block before it is full.
+BLOCK_WORDS = 1_000_000
 # Words of a task that wait to be sent back to their blocks together.
 HELD_WORDS = 400_000
-# Tokens whose bytes are put together at once.
+# Pieces, in whole rows, that are put in place at once; tokens that are decoded at once.
+PLACED_AT_ONCE = 500_000
 DECODED_AT_ONCE = 500_000
 
 
@@ -55,8 +59,10 @@ class _Block:
         self.size = 0
 
     def places(self, piece: str) -> tuple[int, ...]:
-        words = self.words
-        own = tuple(words.setdefault(w, len(words)) for w in self.pattern.findall(piece))
+        words, found = self.words, self.pattern.findall(piece)
+        # a piece that is one word is held as one string
+        found = [piece] if found == [piece] else found
+        own = tuple(words.setdefault(w, len(words)) for w in found)
         self.pieces[piece] = own
         return own
 
@@ -90,7 +96,9 @@ class _Block:
         )
 
 
-def _blocks(pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(
+    pattern: str, size: int, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
     compiled = regex.compile(pattern)
     number, block = TaskContext.get().partitionId() << 32, _Block(compiled)
     id_type = None
@@ -100,9 +108,10 @@ def _blocks(pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for first, pieces, which, rows in distinct_pieces(batch.column(1)):
             block.add(ids[first : first + len(rows) - 1], pieces, which, rows)
             block.size += len(which)
-            if block.size >= BLOCK_PIECES:
-                yield block.batch(number, id_type)
-                number, block = number + 1, _Block(compiled)
+            if block.size >= size or len(block.pieces) >= BLOCK_WORDS:
+                full, block = block.batch(number, id_type), _Block(compiled)
+                number += 1
+                yield full
     if block.ids:
         yield block.batch(number, id_type)
 
@@ -162,7 +171,7 @@ def _token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), dtype=np.uint8), starts
 
 
-def _put_in_place(tokens, blocks: pa.Table, words: pa.Table) -> pa.Table:
+def _put_in_place(tokens, at_once: int, blocks: pa.Table, words: pa.Table) -> pa.Table:
     blocks = blocks.combine_chunks()
     row = {name: blocks.column(name)[0] for name in ("ids", "lengths", "sequence")}
     rows = np.concatenate([[0], np.cumsum(row["lengths"].values.to_numpy())]).astype(np.int64)
@@ -174,24 +183,37 @@ def _put_in_place(tokens, blocks: pa.Table, words: pa.Table) -> pa.Table:
     by_place = np.argsort(places, kind="stable")
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     codes, ends = gathered(codes, offsets, by_place)
-    ids, ends = gathered(codes, np.concatenate([[0], ends]).astype(np.int64), order)
-    ids_at = np.concatenate([[0], ends]).astype(np.int64)[rows]
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(rows[:-1] // at_once)) + 1
+    stretches = pairwise([0, *cuts.tolist(), len(rows) - 1])
+    return pa.Table.from_batches(
+        [
+            _placed(tokens.value, codes, offsets, order, row["ids"].values.slice(a, b - a), rows[a : b + 1])
+            for a, b in stretches
+        ]
+    )
+
+
+def _placed(tokens, codes, offsets, order, row_ids: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+    """A stretch of rows: its words' ids one after the other, and their bytes."""
+    ids, ends = gathered(codes, offsets, order[rows[0] : rows[-1]])
+    ids_at = np.concatenate([[0], ends]).astype(np.int64)[rows - rows[0]]
     # the join with the table of token bytes, by number
-    data, starts = tokens.value
+    data, starts = tokens
     texts = [
         gathered(data, starts, ids[k : k + DECODED_AT_ONCE])[0]
         for k in range(0, len(ids), DECODED_AT_ONCE)
     ]
     texts = np.concatenate([*texts, np.empty(0, dtype=np.uint8)])
     texts_at = np.concatenate([[0], np.cumsum(np.diff(starts)[ids])])[ids_at]
-    return pa.table(
+    return pa.RecordBatch.from_arrays(
         [
-            row["ids"].values,
+            row_ids,
             pa.array(np.diff(ids_at), pa.int64()),
             _column(ids.view(np.uint8), 4 * ids_at),
             _column(texts, texts_at),
         ],
-        names=["id", "n_tokens", "token_ids", "decoded"],
+        ["id", "n_tokens", "token_ids", "decoded"],
     )
 
 
@@ -201,18 +223,20 @@ def encoded_documents(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    block_pieces: int = BLOCK_PIECES,
 ) -> DataFrame:
     """``(id_col, n_tokens, token_ids, decoded)``, a row per row of ``docs``.
 
     ``token_ids`` are little-endian unsigned 32-bit numbers by the ranks of a .tiktoken
     file, which the driver reads, each match of ``pattern`` by itself and without
-    special tokens; ``decoded`` are the bytes that these ids stand for.
+    special tokens; ``decoded`` are the bytes that these ids stand for. A block holds
+    whole texts of about ``block_pieces`` pre-tokens; the result does not depend on it.
 
     Null and empty texts have no tokens. Rows are encoded one by one, so repeated ones
     and null ids do not matter; other columns are ignored; an empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
+    spark, at_once = docs.sparkSession, min(PLACED_AT_ONCE, block_pieces)
     ranks = read_ranks(vocabulary)
     sent = spark.sparkContext.broadcast(ranks)
     # as large as the vocabulary
@@ -222,7 +246,7 @@ def encoded_documents(
     # bucketed, so that positions need not be shuffled to meet their words again
     blocks = written_buckets(
         texts.mapInArrow(
-            lambda it: _blocks(pattern, it),
+            lambda it: _blocks(pattern, block_pieces, it),
             f"block long, ids array<{id_type}>, lengths array<long>, sequence binary, "
             "words array<string>",
         ),
@@ -241,7 +265,7 @@ def encoded_documents(
         .groupBy("own")
         .cogroup(coded.groupBy("block"))
         .applyInArrow(
-            lambda left, right: _put_in_place(tokens, left, right),
+            lambda left, right: _put_in_place(tokens, at_once, left, right),
             f"id {id_type}, n_tokens long, token_ids binary, decoded binary",
         )
     )

@@ -12,7 +12,6 @@ import tiktoken
 from samples import TEXTS
 from tokenizers import Tokenizer
 
-from siftrank.llm import byte_bpe
 from siftrank.llm.bpe import PIECES, distinct_pieces
 from siftrank.llm.byte_bpe import decoded_ids, encoded_documents
 from siftrank.llm.token_counts import token_counts
@@ -72,13 +71,11 @@ def test_counts_of_odd_rows(odd, nothing, tokenizer):
 
 
 @pytest.mark.parametrize("size", [3_000_000, 40])
-def test_encoding_round_trip(spark, odd, encoding, monkeypatch, size):
-    monkeypatch.setattr(byte_bpe, "BLOCK_PIECES", size)
-    monkeypatch.setattr("siftrank.llm.bpe._PIECE_SLICE", 1 << 10)
+def test_encoding_round_trip(spark, odd, encoding, size):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     rows += [(100 + k, t) for k, t in enumerate(mixed_texts(200))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = encoded_documents(docs, RANKS, PATTERN).collect()
+    found = encoded_documents(docs, RANKS, PATTERN, block_pieces=size).collect()
     want = []
     for i, text in rows:
         ids = encoding.encode_ordinary(text or "")
