@@ -319,7 +319,8 @@ def _other_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
 
     Lists in which they might meet besides these are short ones, and what meets
     there is settled already. Entries are kept in blocks: a set gets whole blocks,
-    and those of its lists together.
+    and those of its lists together. Which of two sets looks at the other differs
+    from list to list, so what both have counted is added up before it decides.
     """
     parts = F.ceil(F.col("list_size") / BLOCK_ENTRIES)
     entry = F.struct("set", "root", "n", "rest", "minor")
@@ -328,20 +329,32 @@ def _other_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
         .groupBy("t", "block", "part")
         .agg(F.collect_list(entry).alias("entries"))
     )
-    looking = _other(open_lists.where("minor"), "root").withColumn(
+    unseen = open_lists.groupBy("set").agg(F.count_if(~F.col("minor")).cast("int").alias("unseen"))
+    looking = open_lists.where("minor").join(unseen, "set")
+    looking = _other(looking, "root", "unseen").withColumn(
         "block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))
     )
     met = looking.join(blocks, ["t", "block"])
-    return (
-        met.select("other", "other_root", "m", "other_rest", "entries")
+    counted = (
+        met.select("other", "other_root", "m", "other_rest", "other_unseen", "entries")
         .repartition("other")
         .sortWithinPartitions("other")
-        .mapInArrow(lambda it: _met(percent, it), "a long, b long")
+        .mapInArrow(
+            lambda it: _met(percent, it), "a long, b long, lists long, left int, n int, m int"
+        )
+    )
+    pairs = counted.groupBy("a", "b").agg(
+        F.sum("lists").alias("lists"),
+        F.max("left").alias("left"),
+        F.first("n").alias("n"),
+        F.first("m").alias("m"),
     )
+    pairs = pairs.where((F.col("left") >= _needed(percent)) & _enough(percent, F.col("lists")))
+    return pairs.select("a", "b")
 
 
 def _met(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sets with the blocks of their lists, sorted by set: the pairs to check."""
+    """Of sets with the blocks of their lists, sorted by set: what they share with others."""
     waiting = None
     for batch in batches:
         if waiting is not None:
@@ -356,29 +369,46 @@ def _met(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _met_pairs(percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    lists = batch.column(4)
+    """``(a, b, lists, left, n, m)``: what a set saw of a pair in the lists it looked at.
+
+    The other one of the pair may have seen more, in at most as many lists as the set
+    is in without looking (``unseen``). Only pairs that cannot be similar even so are
+    left out. A list in which both look is counted by the greater one.
+    """
+    lists = batch.column(5)
     entries = lists.flatten()
     each = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-    other, other_root, m, other_rest = (batch.column(k).to_numpy()[each] for k in range(4))
+    other, other_root, m, other_rest, unseen = (batch.column(k).to_numpy()[each] for k in range(5))
     own, root, n, rest = (entries.field(k).to_numpy() for k in range(4))
     minor = entries.field(4).to_numpy(zero_copy_only=False)
     fits = (root != other_root) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-    # of two minor sets each meets the other
-    fits &= ~minor | (own < other)
     order = np.flatnonzero(fits)
     order = order[np.lexsort((own[order], other[order]))]
-    other, own, n, m = (x[order].astype(np.int64) for x in (other, own, n, m))
-    left = np.minimum(rest, other_rest)[order]
+    other, own, n, m, unseen = (x[order].astype(np.int64) for x in (other, own, n, m, unseen))
+    left = np.minimum(rest, other_rest)[order].astype(np.int32)
+    counted = (~minor[order] | (own < other)).astype(np.int64)
     first = np.ones(len(order), dtype=bool)
     first[1:] = (other[1:] != other[:-1]) | (own[1:] != own[:-1])
     at = np.flatnonzero(first)
     if len(at):
         shared = np.diff(np.append(at, len(order)))
+        counted, left = np.add.reduceat(counted, at), np.maximum.reduceat(left, at)
         needed = percent * (n[at] + m[at]) / (100 + percent)
         after = -(-percent * np.maximum(n[at], m[at]) // 100) - 1
-        at = at[(np.maximum.reduceat(left, at) >= needed) & (shared >= needed - after)]
-    a, b = np.minimum(own[at], other[at]), np.maximum(own[at], other[at])
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        can = (left >= needed) | (unseen[at] > 0)
+        can &= shared + unseen[at] >= needed - after
+        at, counted, left = at[can], counted[can], left[can]
+    columns = [
+        np.minimum(own[at], other[at]),
+        np.maximum(own[at], other[at]),
+        counted,
+        left,
+        np.minimum(n[at], m[at]).astype(np.int32),
+        np.maximum(n[at], m[at]).astype(np.int32),
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in columns], ["a", "b", "lists", "left", "n", "m"]
+    )
 
 
 def similar_components(

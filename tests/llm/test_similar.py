@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 
 from siftrank.llm import similar
-from siftrank.llm.similar import components, similar_components
+from siftrank.llm.similar import _open_lists, _other_pairs, components, similar_components
 
 
 def shingles(text, n):
@@ -82,3 +82,24 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {tuple(r) for r in found.collect()} == {(k, 1) for k in range(1, 41)} | {
         (k, 100) for k in range(100, 140)
     }
+
+
+def test_pairs_of_families_that_take_turns_as_the_largest(spark):
+    """Two sets of 200 share 15 of the 31 lists of their prefixes, as 85 % need: in some one's
+    family is the largest, in some the other's, and in some a third."""
+    families = {1: range(1000, 1040), 2: range(2000, 2040), 3: range(3000, 3040)}
+    rows = []
+    for t in range(15):
+        most = 1 + t % 3
+        for family, sets in families.items():
+            members = sets if family == most else sets[:1]
+            rows += [(t, 5, s, 200, 200 - t, family) for s in members]
+    for t in range(15, 30):
+        rows += [(t, 5, s, 200, 200 - t, f) for f in (1, 2) for s in families[f][5:]]
+    lists = spark.createDataFrame(rows, "t long, block int, set long, n int, rest int, root long")
+    found = {tuple(r) for r in _other_pairs(_open_lists(lists), 85).collect()}
+    assert {(1000, 2000), (1000, 3000), (2000, 3000)} <= found
+    # 15 lists are shared, by those that meet in all of them, and one less is too few
+    assert all((a < 2000) != (b < 2000) or (a, b) == (2000, 3000) for a, b in found)
+    fewer = {tuple(r) for r in _other_pairs(_open_lists(lists.where("t < 14")), 85).collect()}
+    assert fewer == set()
