@@ -1,13 +1,12 @@
 """Benchmark passages in documents, found by spaced seeds.
 
-A seed is a window of ``SPAN`` words of which a fixed mask looks at eight; four
-masks let every window be found again with words substituted at the positions
-that one of them ignores. Seeds of the benchmark are hashed once, those of the
-documents on the fly; a hit fixes how passage and document lie on each other, and
-the words around it are compared one by one.
+A seed is a number of words that follow each other, or do so but for one word that
+is skipped. The fewer words may be substituted in a stretch, the more of them a seed
+can have without missing any: :func:`seed_weight` gives the most. Seeds of the
+benchmark are hashed once, those of the documents on the fly; a hit fixes how passage
+and document lie on each other, and the words around it are compared one by one.
 """
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,52 +16,79 @@ from pyspark.sql import functions as F
 
 from siftrank.llm.words import hashed_words, mixed
 
-# The masks' positions within a window.
-SPAN = 12
-MASKS = (
-    (0, 1, 2, 4, 6, 7, 9, 11),
-    (0, 1, 3, 4, 5, 8, 10, 11),
-    (0, 2, 3, 5, 6, 8, 9, 11),
-    (0, 1, 2, 3, 8, 9, 10, 11),
-)
-_FACTORS = np.cumprod(np.full(SPAN, 0xC2B2AE3D27D4EB4F, dtype=np.uint64))
+_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 _FILTER_BITS = 22
+# Hits, and words on their diagonals, that are looked at together.
+_AT_ONCE = 500_000
 
 SHORTEST_ITEM = 5
 
 
-def seeds(words: np.ndarray, mask: tuple[int, ...], span: int) -> np.ndarray:
-    """A number for each window of ``span`` words, of the words the mask looks at."""
-    size = len(words) - span + 1
+def substituted(length: int, share: float) -> int:
+    """How many of ``length`` words may differ if at least ``share`` of them are equal."""
+    return int(length - np.ceil(share * length - 1e-9))
+
+
+def seed_weight(length: int, share: float) -> int:
+    """The most words of a seed that no stretch of ``length`` words can be without.
+
+    ``e`` substituted words leave ``e + 1`` runs of equal ones, some of them empty, which
+    make ``e // 2 + 1`` groups of two neighbours or one. A group is a run, or two with one
+    word between them; the largest has at least the mean.
+    """
+    e = substituted(length, share)
+    return -(-(length - e) // (e // 2 + 1))
+
+
+def least_weight(item: int, min_words: int, share: float) -> int:
+    """The weight that finds all allowed stretches of an item of so many words."""
+    return min(seed_weight(n, share) for n in range(min(item, min_words), item + 1))
+
+
+def masks(weight: int) -> list[tuple[int, ...]]:
+    """The places of a seed's words: without a gap, and with one word skipped."""
+    return [tuple(k + (k >= gap) for k in range(weight)) for gap in range(weight, 0, -1)]
+
+
+def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """A number for each window of ``words``, of the words the mask looks at."""
+    size = len(words) - mask[-1]
     if size <= 0:
         return np.empty(0, dtype=np.uint64)
-    total = np.zeros(size, dtype=np.uint64)
+    gap = next((i for i, k in enumerate(mask) if k > i), 0)
+    total = np.full(size, 1 + (len(mask) << 32) + gap, dtype=np.uint64)
     for k in mask:
-        if k < span:
-            total += words[k : k + size] * _FACTORS[k]
-    return mixed(total + np.uint64(span))
+        total = total * _FACTOR + words[k : k + size]
+    return mixed(total)
 
 
 class _Items:
     """One block of benchmark items: their words and a sorted table of their seeds."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids, self.words = [], []
+    def __init__(self, ids: list, texts: list[str | None], min_words: int, share: float):
+        self.ids, held = [], []
         for first, words, at in hashed_words(pa.array(texts, type=pa.string())):
             for k in range(len(at) - 1):
                 if at[k + 1] - at[k] >= SHORTEST_ITEM:
                     self.ids.append(ids[first + k])
-                    self.words.append(words[at[k] : at[k + 1]])
-        self.spans = sorted({min(len(w), SPAN) for w in self.words})
+                    held.append(words[at[k] : at[k + 1]])
+        empty = [np.empty(0, dtype=np.uint64)]
+        self.lengths = np.array([len(w) for w in held], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.words = np.concatenate(held or empty)
+        weights = {n: least_weight(n, min_words, share) for n in set(self.lengths.tolist())}
+        # an exact item needs no gap
+        self.masks = sorted(
+            {m for n, w in weights.items() for m in masks(w)[: None if w < n else 1]}
+        )
         keys, items, places = [], [], []
-        for k, words in enumerate(self.words):
-            span = min(len(words), SPAN)
-            for mask in MASKS:
-                own = seeds(words, mask, span)
+        for k, words in enumerate(held):
+            weight = weights[len(words)]
+            for mask in masks(weight)[: None if weight < len(words) else 1]:
+                own = seeds(words, mask)
                 keys.append(own)
                 items.append(np.full(len(own), k))
                 places.append(np.arange(len(own)))
-        empty = [np.empty(0, dtype=np.uint64)]
         keys = np.concatenate(keys or empty)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -70,22 +96,46 @@ class _Items:
         self.places = np.concatenate(places or empty)[order].astype(np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self._slot(self.keys)] = True
+        self.least = np.array(
+            [min(n, min_words) for n in self.lengths.tolist()], dtype=np.int64
+        )
+        # a stretch has at least so many equal words
+        self.least_equal = self.least - np.array(
+            [substituted(n, share) for n in self.least.tolist()], dtype=np.int64
+        )
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """``(place in words, item, place in item)`` of each seed that occurs in both."""
-        for span in self.spans:
-            for mask in MASKS:
-                own = seeds(words, mask, span)
-                at = np.flatnonzero(self.filter[self._slot(own)])
-                low = np.searchsorted(self.keys, own[at], side="left")
-                high = np.searchsorted(self.keys, own[at], side="right")
-                for i in np.flatnonzero(high > low):
-                    for j in range(low[i], high[i]):
-                        yield int(at[i]), int(self.items[j]), int(self.places[j])
+    def diagonals(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct ``(row, item, place of the item's first word)`` of the seeds that occur
+        in both, sorted. A seed that goes over the end of a row is none."""
+        held, n_held = [np.empty((0, 3), dtype=np.int64)], 0
+        for mask in self.masks:
+            own = seeds(words, mask)
+            place = np.flatnonzero(self.filter[self._slot(own)])
+            low = np.searchsorted(self.keys, own[place], side="left")
+            high = np.searchsorted(self.keys, own[place], side="right")
+            row = np.searchsorted(at, place, side="right") - 1
+            real = (high > low) & (place + mask[-1] < at[np.minimum(row + 1, len(at) - 1)])
+            place, low, high, row = place[real], low[real], high[real], row[real]
+            ends = np.cumsum(high - low)
+            begin = 0
+            while begin < len(place):
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + _AT_ONCE, side="right")))
+                n = (high - low)[begin:end]
+                each = np.repeat(np.arange(begin, end), n)
+                k = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + low[each]
+                found = np.column_stack((row[each], self.items[k], place[each] - self.places[k]))
+                held.append(np.unique(found, axis=0))
+                n_held += len(held[-1])
+                if n_held > _AT_ONCE:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    n_held = 0
+                begin = end
+        return np.unique(np.concatenate(held), axis=0)
 
 
 def best_stretch(same: np.ndarray, share: float) -> tuple[int, int]:
@@ -107,34 +157,55 @@ def best_stretch(same: np.ndarray, share: float) -> tuple[int, int]:
     return int(begins[first[found][best]]), int(ends[found][best])
 
 
-def _found(items, min_words: int, share: float, batches) -> Iterator[pa.RecordBatch]:
+def _compared(table: _Items, words: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+    """``(row, item, first place, equal or not)`` of diagonals with enough equal words."""
+    found = table.diagonals(words, at)
+    row, item, shift = found[:, 0], found[:, 1], found[:, 2]
+    low = np.maximum(shift, at[row])
+    n = np.minimum(shift + table.lengths[item], at[row + 1]) - low
+    source = table.starts[item] + low - shift
+    ends = np.cumsum(n)
+    begin = 0
+    while begin < len(found):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + _AT_ONCE, side="right")))
+        lengths = n[begin:end]
+        first = np.cumsum(lengths) - lengths
+        k = np.arange(lengths.sum()) - np.repeat(first, lengths)
+        same = (
+            words[k + np.repeat(low[begin:end], lengths)]
+            == table.words[k + np.repeat(source[begin:end], lengths)]
+        )
+        enough = np.add.reduceat(same.astype(np.int64), first) >= table.least_equal[item[begin:end]]
+        for d in np.flatnonzero(enough):
+            yield (
+                int(row[begin + d]),
+                int(item[begin + d]),
+                int(low[begin + d]),
+                same[first[d] : first[d] + lengths[d]],
+            )
+        begin = end
+
+
+def _found(items, share: float, batches) -> Iterator[pa.RecordBatch]:
     table = object.__new__(_Items)
     vars(table).update(items.value)
     for batch in batches:
         rows, ids, starts, ends, equal = [], [], [], [], []
         for first, words, at in hashed_words(batch.column(1)):
-            lined = defaultdict(set)
-            for place, item, item_place in table.hits(words):
-                row = int(np.searchsorted(at, place, side="right")) - 1
-                lined[row, item].add(place - item_place)
-            for (row, item), shifts in lined.items():
-                passage, best = table.words[item], None
-                for shift in shifts:
-                    low, high = max(shift, at[row]), min(shift + len(passage), at[row + 1])
-                    if high <= low:
-                        continue
-                    same = words[low:high] == passage[low - shift : high - shift]
-                    begin, end = best_stretch(same, share)
-                    least = min(min_words, len(passage))
-                    if end - begin >= least and (best is None or end - begin > best[1] - best[0]):
-                        n = int(same[begin:end].sum())
-                        best = (int(low + begin - at[row]), int(low + end - at[row]), n)
-                if best:
-                    rows.append(first + row)
-                    ids.append(table.ids[item])
-                    starts.append(best[0])
-                    ends.append(best[1])
-                    equal.append(best[2])
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for row, item, low, same in _compared(table, words, at):
+                begin, end = best_stretch(same, share)
+                longest = best.get((row, item), (0, 0, 0))
+                if end - begin >= table.least[item] and end - begin > longest[1] - longest[0]:
+                    n = int(same[begin:end].sum())
+                    best[row, item] = (int(low + begin - at[row]), int(low + end - at[row]), n)
+            for (row, item), (start, end, n) in best.items():
+                rows.append(first + row)
+                ids.append(table.ids[item])
+                starts.append(start)
+                ends.append(end)
+                equal.append(n)
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -161,8 +232,8 @@ def benchmark_overlaps(
     A row for each document and benchmark item (``item_id``, ``text``) that lie on
     each other in a stretch of ``min_words`` words or more, or of the whole item
     if it is shorter, of which at least ``share`` are equal (A-Z lower-cased); of
-    several stretches the longest. Words may be substituted, not inserted. Items of
-    fewer than five words are not looked for, those of fewer than twelve only whole.
+    several stretches the longest. Words may be substituted, not inserted; items of
+    fewer than five words are not looked for.
 
     Null and empty texts contain nothing. Repeated documents are found each by
     itself, repeated items too. Null ids are kept. Other columns are ignored.
@@ -184,8 +255,8 @@ def benchmark_overlaps(
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         own = part.toPandas()
         sent = spark.sparkContext.broadcast(
-            vars(_Items(own.item_id.tolist(), own.text.tolist()))
+            vars(_Items(own.item_id.tolist(), own.text.tolist(), min_words, share))
         )
-        hits = texts.mapInArrow(lambda it, sent=sent: _found(sent, min_words, share, it), schema)
+        hits = texts.mapInArrow(lambda it, sent=sent: _found(sent, share, it), schema)
         found = hits if found is None else found.unionByName(hits)
     return found.withColumnRenamed("id", id_col)

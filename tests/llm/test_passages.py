@@ -1,11 +1,20 @@
 """Passages found by spaced seeds, against comparing every window."""
 
 import random
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from samples import collected
 
-from siftrank.llm.decontaminate import benchmark_overlaps, best_stretch
+from siftrank.llm.decontaminate import (
+    _Items,
+    benchmark_overlaps,
+    best_stretch,
+    least_weight,
+    substituted,
+)
+from siftrank.llm.words import hashed_words
 
 
 def brute_stretch(same, share):
@@ -76,3 +85,47 @@ def test_odd_rows(spark, odd, nothing):
     assert found == [(1, 1, 2, 10, 8)] * 2 + [(7, 1, 2, 10, 8)] * 2
     assert benchmark_overlaps(nothing, items).collect() == []
     assert benchmark_overlaps(odd, items.where("false")).collect() == []
+
+
+def test_no_allowed_substitution_is_missed():
+    """All placements of substituted words between an equal first and last word."""
+    for n in range(5, 21):
+        item = " ".join(f"i{k}" for k in range(n))
+        table = _Items([1], [item], 13, 0.8)
+        for e in range(substituted(n, 0.8) + 1):
+            texts = []
+            for places in combinations(range(1, n - 1), e):
+                texts.append(" ".join(f"x{k}" if k in places else f"i{k}" for k in range(n)))
+            for _, words, at in hashed_words(pa.array(texts, type=pa.string())):
+                found = {tuple(f) for f in table.diagonals(words, at).tolist()}
+                assert found >= {(row, 0, int(at[row])) for row in range(len(at) - 1)}, (n, e)
+
+
+def test_longer_stretches_have_a_seed_in_any_runs():
+    """The least largest group of neighbouring runs, by trying all of their lengths."""
+
+    def avoidable(left, runs, before, weight):
+        # runs of equal words with less than ``weight`` in any two neighbours
+        if runs == 0:
+            return left == 0
+        most = min(left, weight - 1 - before)
+        return any(avoidable(left - k, runs - 1, k, weight) for k in range(most + 1))
+
+    for n in range(13, 41):
+        e = substituted(n, 0.8)
+        assert not any(avoidable(n - k, k + 1, 0, least_weight(40, 13, 0.8)) for k in range(e + 1))
+
+
+def test_substituted_passages(spark):
+    items = [[f"i{n}w{k}" for k in range(n)] for n in (15, 12, 10)]
+    changed = [(3, 7, 11), (5, 6), (3, 5)]
+    docs = []
+    for k, (item, places) in enumerate(zip(items, changed, strict=True)):
+        own = [f"x{j}" if j in places else w for j, w in enumerate(item)]
+        docs.append((k, " ".join(["before", *own, "after"])))
+    found = benchmark_overlaps(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"),
+    )
+    want = [(k, k, 1, 1 + len(w), len(w) - len(changed[k])) for k, w in enumerate(items)]
+    assert collected(found) == sorted(want)
