@@ -48,7 +48,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a passage of the benchmark."""
     keyed = _keyed(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = benchmark_overlaps(keyed, benchmark, id_col="_row").select("_row").distinct()
+    hits = benchmark_overlaps(keyed, benchmark, id_col="_row", shortest_item=1)
+    hits = hits.select("_row").distinct()
     # a table of known size, so that it is sent to all tasks only if it is small
     return keyed.join(written(hits, "hits"), "_row", "left_anti").select(docs.columns)
 

@@ -21,8 +21,6 @@ _FILTER_BITS = 22
 # Hits, and words on their diagonals, that are looked at together.
 _AT_ONCE = 500_000
 
-SHORTEST_ITEM = 5
-
 
 def substituted(length: int, share: float) -> int:
     """How many of ``length`` words may differ if at least ``share`` of them are equal."""
@@ -65,11 +63,18 @@ def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class _Items:
     """One block of benchmark items: their words and a sorted table of their seeds."""
 
-    def __init__(self, ids: list, texts: list[str | None], min_words: int, share: float):
+    def __init__(
+        self,
+        ids: list,
+        texts: list[str | None],
+        min_words: int,
+        share: float,
+        shortest_item: int = 1,
+    ):
         self.ids, held = [], []
         for first, words, at in hashed_words(pa.array(texts, type=pa.string())):
             for k in range(len(at) - 1):
-                if at[k + 1] - at[k] >= SHORTEST_ITEM:
+                if at[k + 1] - at[k] >= max(shortest_item, 1):
                     self.ids.append(ids[first + k])
                     held.append(words[at[k] : at[k + 1]])
         empty = [np.empty(0, dtype=np.uint64)]
@@ -226,14 +231,16 @@ def benchmark_overlaps(
     block_chars: int = 32_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    shortest_item: int = 5,
 ) -> DataFrame:
     """``(id_col, item_id, start_word, end_word, n_equal)``: passages found in documents.
 
     A row for each document and benchmark item (``item_id``, ``text``) that lie on
     each other in a stretch of ``min_words`` words or more, or of the whole item
     if it is shorter, of which at least ``share`` are equal (A-Z lower-cased); of
-    several stretches the longest. Words may be substituted, not inserted; items of
-    fewer than five words are not looked for.
+    several stretches the longest. Words may be substituted, not inserted. Items of
+    fewer than ``shortest_item`` words are not looked for, with 1 all that have words;
+    those of fewer than five are found only word for word at the default share.
 
     Null and empty texts contain nothing. Repeated documents are found each by
     itself, repeated items too. Null ids are kept. Other columns are ignored.
@@ -255,7 +262,7 @@ def benchmark_overlaps(
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         own = part.toPandas()
         sent = spark.sparkContext.broadcast(
-            vars(_Items(own.item_id.tolist(), own.text.tolist(), min_words, share))
+            vars(_Items(own.item_id.tolist(), own.text.tolist(), min_words, share, shortest_item))
         )
         hits = texts.mapInArrow(lambda it, sent=sent: _found(sent, share, it), schema)
         found = hits if found is None else found.unionByName(hits)

@@ -68,7 +68,7 @@ def op4_similar_documents(spark, sf_dir):
 
 def op10_benchmark_overlaps(spark, sf_dir):
     return benchmark_overlaps(
-        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), shortest_item=1
     )
 
 

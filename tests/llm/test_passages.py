@@ -14,6 +14,7 @@ from siftrank.llm.decontaminate import (
     least_weight,
     substituted,
 )
+from siftrank.llm.queries import op10_benchmark_overlaps
 from siftrank.llm.words import hashed_words
 
 
@@ -89,7 +90,7 @@ def test_odd_rows(spark, odd, nothing):
 
 def test_no_allowed_substitution_is_missed():
     """All placements of substituted words between an equal first and last word."""
-    for n in range(5, 21):
+    for n in range(1, 21):
         item = " ".join(f"i{k}" for k in range(n))
         table = _Items([1], [item], 13, 0.8)
         for e in range(substituted(n, 0.8) + 1):
@@ -129,3 +130,25 @@ def test_substituted_passages(spark):
     )
     want = [(k, k, 1, 1 + len(w), len(w) - len(changed[k])) for k, w in enumerate(items)]
     assert collected(found) == sorted(want)
+
+
+def test_items_of_few_words_in_the_query(spark, tmp_path):
+    items = [(1, "i4w0 i4w1 i4w2 i4w3"), (2, "i2w0 I2W1"), (3, "single"), (4, ""), (5, None)]
+    docs = [
+        (1, "before i4w0 i4w1 i4w2 i4w3 after"),
+        (2, "i2w0 i2w1"),
+        (3, "a single word"),
+        (4, "i4w0 i4w1 i4w2 other i2w0 and i2w1 singles"),
+        # the end of one text and the beginning of the next are no item
+        (5, "ends with i2w0"),
+        (6, "i2w1 begins"),
+        (7, ""),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    found = collected(op10_benchmark_overlaps(spark, str(tmp_path)))
+    assert found == [(1, 1, 1, 5, 4), (2, 2, 0, 2, 2), (3, 3, 1, 2, 1)]
