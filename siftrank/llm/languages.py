@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Language codes by family. Codes not listed are a family of their own.
@@ -124,34 +124,47 @@ class Languages:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (lang, h, text), once for each language and hash of a task."""
     letters, pack = letter_table(), zstandard.ZstdCompressor(level=1).compress
+    seen: set[tuple[str, int]] = set()
     for batch in batches:
-        packed = [
-            pack(sequence_counts(letter_codes(t.as_py() or "", letters)).astype(np.float16).tobytes())
-            for t in batch.column(0)
-        ]
+        rows, packed = [], []
+        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                codes = letter_codes(batch.column(2)[k].as_py(), letters)
+                packed.append(pack(sequence_counts(codes).astype(np.float16).tobytes()))
+                rows.append(k)
+        own = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), pa.array(packed, pa.binary())], ["lang", "packed"]
+            [*own.columns, pa.array(packed, pa.binary())], ["lang", "h", "packed"]
         )
 
 
-def learned_languages(
-    labelled: DataFrame, most_rows: int = 6000, most_languages: int = 200
-) -> Languages | None:
-    """Fit on ``labelled`` (text, lang): about ``most_rows`` texts at most, as many of
-    each language, chosen by a hash of the text; the ``most_languages`` most frequent
-    languages. Null texts and languages are left out; None if nothing is left."""
+def learned_languages(labelled: DataFrame, most_rows: int = 6000) -> Languages | None:
+    """Fit on ``labelled`` (text, lang): ``most_rows`` distinct texts at most, or one of each
+    language if these are more; as many of each language, those with the least hashes.
+    Null texts and languages are left out; None if nothing is left."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    sizes = sizes.limit(most_languages).collect()
+    labelled = labelled.select("lang", F.xxhash64("text").alias("h"), "text")
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not sizes:
         return None
-    share = F.lit(0)
-    for r in sizes:
-        part = int(min(1.0, most_rows / len(sizes) / r["count"]) * (1 << 20))
-        share = F.when(F.col("lang") == r.lang, F.lit(part)).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
-    rows = chosen.select("text", "lang").mapInArrow(_vectors, "lang string, packed binary")
+    most = max(1, most_rows // len(sizes))
+    # of more hashes than are needed, as their number is an estimate, the least are taken
+    scale = 1 << 30
+    shares = labelled.sparkSession.createDataFrame(
+        [(r.lang, int(min(1.0, (2 * most + 50) / max(r.n, 1)) * scale)) for r in sizes],
+        "lang string, share long",
+    )
+    place = F.pmod(F.col("h"), F.lit(scale))
+    few = labelled.select("lang", "h").join(F.broadcast(shares), "lang").where(place < F.col("share"))
+    by_hash = Window.partitionBy("lang").orderBy(place, "h")
+    ranked = few.select("lang", "h").distinct().withColumn("k", F.row_number().over(by_hash))
+    least = ranked.where(F.col("k") <= most).select("lang", "h")
+    chosen = labelled.join(F.broadcast(least), ["lang", "h"]).select("lang", "h", "text")
+    rows = chosen.mapInArrow(_vectors, "lang string, h long, packed binary")
+    rows = rows.dropDuplicates(["lang", "h"]).select("lang", "packed")
     rows = rows.toPandas().sort_values(["lang", "packed"])
     unpack = zstandard.ZstdDecompressor().decompress
     if not len(rows):

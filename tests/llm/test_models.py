@@ -93,3 +93,20 @@ def test_languages(spark, odd, nothing):
     assert {f.lang_pred for f in identified_languages(odd, learned_languages(nothing.selectExpr("text", "'x' AS lang"))).collect()} == {"und"}
     one = learned_languages(docs.where("lang = 'de'"))
     assert {f.lang_pred for f in identified_languages(docs.limit(9), one).collect()} == {"de"}
+
+
+def test_languages_are_learned_from_distinct_texts(spark, monkeypatch):
+    """Copies count once, however many, and no language is left out."""
+    given = []
+
+    class Kept:
+        def __init__(self, x, names):
+            given.append((len(x), sorted(names)))
+
+    monkeypatch.setattr("siftrank.llm.languages.Languages", Kept)
+    rows = [("the same text again", "en")] * 3000 + [(f"text {k * 'x'} of", "en") for k in range(40)]
+    rows += [("de zin", "nl")] * 50
+    learned_languages(spark.createDataFrame(rows, "text string, lang string"), most_rows=20)
+    many = [(f"text {chr(97 + k % 26)}", f"l{k}") for k in range(230)]
+    learned_languages(spark.createDataFrame(many, "text string, lang string"))
+    assert given == [(11, ["en"] * 10 + ["nl"]), (230, sorted(name for _, name in many))]
