@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from siftrank.llm import corpus_queries
 from siftrank.llm.byte_bpe import encoded_documents
 from siftrank.llm.decontaminate import benchmark_overlaps
 from siftrank.llm.languages import identified_languages, learned_languages
@@ -141,7 +142,7 @@ QUERIES = {
     "op8_judged_urls": op8_judged_urls,
     "op9_judged_documents": op9_judged_documents,
     "op10_benchmark_overlaps": op10_benchmark_overlaps,
-}
+} | corpus_queries.QUERIES
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -208,4 +209,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM based"""
 
 # The others learn, encode, or lex, which SQL cannot express.
-ORACLE_SQL = {"op4_similar_documents": _SIMILAR, "op9_judged_documents": _JUDGED}
+ORACLE_SQL = {
+    "op4_similar_documents": _SIMILAR,
+    "op9_judged_documents": _JUDGED,
+} | corpus_queries.ORACLE_SQL
