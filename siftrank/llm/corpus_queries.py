@@ -2,11 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from siftrank.llm.collocations import collocations
 from siftrank.llm.sharding import DRAW_DIGITS, regular_tree, sharded
 
 SHARDS = 16
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_tree_shards(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     placed = sharded(docs, regular_tree(SHARDS), regular_tree(SHARDS + 1))
@@ -15,7 +20,45 @@ def op13_tree_shards(spark, sf_dir):
     )
 
 
-QUERIES = {"op13_tree_shards": op13_tree_shards}
+QUERIES = {"op12_collocations": op12_collocations, "op13_tree_shards": op13_tree_shards}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2),
+                                           lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3), (4)) AS s(size)),
+grams AS (
+  SELECT lang, size, phrase, CAST(count(*) AS BIGINT) AS c FROM phrases GROUP BY ALL
+  HAVING size = 1 OR c >= 30),
+total AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, c AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM grams, (VALUES (1), (2), (3)) AS r(k) WHERE size > k AND c >= 30),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, h.c AS l, t.c AS r,
+         CAST((2000000 * a::HUGEINT) // (h.c + t.c) AS BIGINT) AS score
+  FROM cuts JOIN grams AS h ON h.lang = cuts.lang AND h.phrase = head
+  JOIN grams AS t ON t.lang = cuts.lang AND t.phrase = rest
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, c, array_to_string(string_split(phrase, ' ')[i:i + n - 1], ' ') AS phrase
+  FROM grams, (VALUES (2), (3)) AS m(n), (VALUES (1), (2), (3)) AS r(i)
+  WHERE c >= 30 AND n < size AND i <= size - n + 1),
+longer AS (SELECT lang, phrase, max(c) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT scored.* FROM scored LEFT JOIN longer USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
 
 # The checksum of a text in SQL: a table of 256 entries made by its rule, then a
 # step for each byte.
@@ -66,4 +109,4 @@ SELECT doc_id, size, text_crc32, 'key' AS law, now.shard,
        grown.shard AS grown_shard
 FROM sums JOIN now USING (doc_id) JOIN grown USING (doc_id)"""
 
-ORACLE_SQL = {"op13_tree_shards": _SHARDED}
+ORACLE_SQL = {"op12_collocations": _COLLOCATIONS, "op13_tree_shards": _SHARDED}
