@@ -3,11 +3,18 @@
 from pyspark.sql import functions as F
 
 from siftrank.llm.collocations import collocations
+from siftrank.llm.search import ranked_documents
 from siftrank.llm.sharding import DRAW_DIGITS, regular_tree, sharded
 
 SHARDS = 16
 
 
+def op11_ranked_search(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_documents(docs, items, k=10)
+
+
 def op12_collocations(spark, sf_dir):
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -20,10 +27,39 @@ def op13_tree_shards(spark, sf_dir):
     )
 
 
-QUERIES = {"op12_collocations": op12_collocations, "op13_tree_shards": op13_tree_shards}
+QUERIES = {
+    "op11_ranked_search": op11_ranked_search,
+    "op12_collocations": op12_collocations,
+    "op13_tree_shards": op13_tree_shards,
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+_SEARCH = f"""
+WITH t AS (
+  SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, terms
+  FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0),
+figures AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM t),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+hits AS (
+  SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc_id, n, unnest(terms) AS term FROM t)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM hits, figures GROUP BY term, docs),
+gains AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total)))) AS gain
+  FROM hits JOIN weights USING (term), figures),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score
+  FROM asked JOIN gains USING (term) GROUP BY ALL HAVING sum(gain) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, score
+FROM scores QUALIFY rank <= 10"""
+
 _COLLOCATIONS = f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -109,4 +145,8 @@ SELECT doc_id, size, text_crc32, 'key' AS law, now.shard,
        grown.shard AS grown_shard
 FROM sums JOIN now USING (doc_id) JOIN grown USING (doc_id)"""
 
-ORACLE_SQL = {"op12_collocations": _COLLOCATIONS, "op13_tree_shards": _SHARDED}
+ORACLE_SQL = {
+    "op11_ranked_search": _SEARCH,
+    "op12_collocations": _COLLOCATIONS,
+    "op13_tree_shards": _SHARDED,
+}
