@@ -7,6 +7,7 @@ ranks come from the unrounded ones.
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -19,6 +20,7 @@ from siftrank import (  # noqa: E402
     BASELINES,
     anchor_documents,
     anchor_experiment,
+    anchor_parts,
     baseline_run,
     bm25,
     dirichlet_lm,
@@ -39,6 +41,7 @@ from siftrank.operators.links import anchor_text_documents, extract_links, page_
 from siftrank.operators.statistics import collection_stats
 from siftrank.operators.topics import last_wins, topic_slices
 from siftrank.session import new_folder, spread
+from siftrank.sinks.anchors import write_anchor_parts
 from siftrank.sinks.text import (
     stats_file_lines,
     trec_run,
@@ -132,7 +135,10 @@ def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Hardly any link of the test tables leads to a page of theirs.
     """
-    pages = _pages(spark, sf_dir)
+    return _with_targets(_pages(spark, sf_dir))
+
+
+def _with_targets(pages: DataFrame) -> DataFrame:
     targets = (
         extract_links(pages, page_chars=None)
         .groupBy(F.col("target_url").alias("url"))
@@ -183,8 +189,8 @@ def page_url_keys(spark, sf_dir):
     return page_keys(_pages(spark, sf_dir))
 
 
-def _joined(anchors):
-    return anchors.select("doc_id", "url", F.array_join("anchors", "\t").alias("anchors"))
+def _joined(anchors, *more):
+    return anchors.select("doc_id", "url", *more, F.array_join("anchors", "\t").alias("anchors"))
 
 
 def anchor_docs(spark, sf_dir):
@@ -197,6 +203,33 @@ def anchor_cap(spark, sf_dir):
     )
 
 
+# Small enough that pages have several parts.
+PART_CHARS = 5
+HUB_CHARS = 100
+
+
+def anchor_part_rows(spark, sf_dir):
+    parts = anchor_parts(_linked_pages(spark, sf_dir), part_chars=PART_CHARS)
+    return _joined(parts, "part", "last")
+
+
+def anchor_parts_of_a_hub(spark, sf_dir):
+    """Every second page links to one more page, which gets most links by far."""
+    hub = F.concat(F.lit('<a href="http://hub.example/all">from '), "doc_id", F.lit("</a>"), "html")
+    html = F.when(F.col("doc_id").cast("long") % 2 == 0, hub).otherwise(F.col("html"))
+    pages = _pages(spark, sf_dir).withColumn("html", html)
+    parts = anchor_parts(_with_targets(pages), part_chars=HUB_CHARS)
+    return _joined(parts, "part", "last")
+
+
+def anchor_files_of_parts(spark, sf_dir):
+    """Parts written as lines of text, and read again."""
+    folder = new_folder(spark, "anchors")
+    parts = anchor_parts(_linked_pages(spark, sf_dir), part_chars=PART_CHARS)
+    write_anchor_parts(parts, folder)
+    return _joined(read_anchors(spark, folder))
+
+
 def anchor_bm25(spark, sf_dir):
     return _shown(anchor_experiment(_linked_pages(spark, sf_dir), _topics(spark), [bm25()]))
 
@@ -459,9 +492,9 @@ def _added() -> tuple[dict, dict]:
     try:
         import corpus_pipeline
         from siftrank.llm.queries import ORACLE_SQL, QUERIES
-    except ModuleNotFoundError as missing:
-        if missing.name not in ("corpus_pipeline", "siftrank.llm"):
-            raise
+    except ImportError as missing:
+        if getattr(missing, "name", None) not in ("corpus_pipeline", "siftrank.llm"):
+            warnings.warn(f"without the text preparation queries: {missing}", stacklevel=2)
         return {}, {}
     sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLE_SQL | sql
@@ -480,6 +513,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_url_keys": page_url_keys,
         "anchor_documents": anchor_docs,
         "anchor_cap": anchor_cap,
+        "anchor_part_rows": anchor_part_rows,
+        "anchor_parts_of_a_hub": anchor_parts_of_a_hub,
+        "anchor_files_of_parts": anchor_files_of_parts,
         "query_vocab_tf": query_vocab_tf,
         "collection_stats": collection_statistics,
         "query_term_stats": query_term_stats,
@@ -604,6 +640,15 @@ def _anchors(cap: int = 10**15) -> str:
     return _ANCHORS.replace("{cap}", str(cap))
 
 
+def _pieces(chars: int) -> str:
+    return f"""
+pieces AS (
+  SELECT doc_id, url, CAST(used // {chars} AS BIGINT) AS part,
+         string_agg(anchor_text, chr(9) ORDER BY src_doc_id, pos) AS anchors
+  FROM met GROUP BY ALL)
+SELECT doc_id, url, part, part = max(part) OVER (PARTITION BY url) AS last, anchors FROM pieces"""
+
+
 def _topic_values(text: str) -> str:
     lines = text.strip("\n").split("\n")
     rows = ",".join(f"({n}, '{line}')" for n, line in enumerate(lines))
@@ -757,6 +802,14 @@ queries AS (
         ),
         "anchor_documents": f"WITH {_anchors()} {anchor_rows}",
         "anchor_cap": f"WITH {_anchors(60)} {anchor_rows}",
+        "anchor_part_rows": f"WITH {_anchors()},{_pieces(PART_CHARS)}",
+        "anchor_parts_of_a_hub": "WITH hubs AS ("
+        """SELECT page_id, url, CASE WHEN page_id % 2 = 0
+             THEN '<a href="http://hub.example/all">from ' || page_id || '</a>' || html ELSE html END AS html
+           FROM pages),"""
+        + _anchors().replace("FROM pages", "FROM hubs")
+        + f",{_pieces(HUB_CHARS)}",
+        "anchor_files_of_parts": f"WITH {_anchors()} {anchor_rows}",
         "query_vocab_tf": documents
         + " SELECT doc_id, CAST(dl AS BIGINT) AS dl, term, CAST(tf AS INTEGER) AS tf FROM tf",
         "collection_stats": documents

@@ -4,6 +4,7 @@ A collection is read once, every document is scored against every topic while
 it passes by, and only the best k per topic and model are shuffled.
 """
 
+from siftrank.operators.anchors import anchor_parts
 from siftrank.operators.links import anchor_text_documents, extract_links
 from siftrank.operators.models import (
     BASELINES,
@@ -37,6 +38,7 @@ __all__ = [
     "Model",
     "anchor_documents",
     "anchor_experiment",
+    "anchor_parts",
     "anchor_text_documents",
     "baseline_run",
     "bm25",

@@ -12,18 +12,18 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from siftrank.operators.anchors import anchor_parts
 from siftrank.operators.scoring import best
 from siftrank.plans.jobs import (
     TOP,
-    anchor_documents,
     baseline_run,
     experiment,
     simple_run,
     term_statistics,
 )
 from siftrank.session import intermediate_tables, spread
+from siftrank.sinks.anchors import write_anchor_parts
 from siftrank.sinks.text import (
-    write_anchors,
     write_run,
     write_run_by_model,
     write_stats_file,
@@ -41,8 +41,7 @@ from siftrank.sources.warc import read_warc, warc_pages
 
 def anchors(spark: SparkSession, args: argparse.Namespace) -> None:
     pages = warc_pages(spread(read_warc(spark, args.web)), need_id=False)
-    found = anchor_documents(pages, args.page_chars, args.max_chars)
-    write_anchors(found, args.out)
+    write_anchor_parts(anchor_parts(pages, args.page_chars, args.max_chars), args.out)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:

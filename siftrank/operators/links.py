@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftrank.functions.text import clean_anchor_text, strip_scripts
 from siftrank.functions.urls import absolute_url, one_scheme, page_url
 from siftrank.operators.hits import document_hits
+from siftrank.operators.membership import possible_members
 
 # Patterns that decide which links come out.
 LINK = r"""(?is)<a ([^>]*)href=["']?([^> '"]+)([^>]*)>(.*?)</a>"""
@@ -72,23 +73,33 @@ def page_keys(pages: DataFrame, normalise_scheme: bool = False) -> DataFrame:
     )
 
 
+def _first_of_url(pages: DataFrame, normalise_scheme: bool) -> DataFrame:
+    keys = page_keys(pages, normalise_scheme).filter("url IS NOT NULL AND doc_id IS NOT NULL")
+    return keys.groupBy("url").agg(F.min("doc_id").alias("doc_id"))
+
+
 def links_to_pages(
-    pages: DataFrame, page_chars: int | None = None, normalise_scheme: bool = False
+    pages: DataFrame,
+    page_chars: int | None = None,
+    normalise_scheme: bool = False,
+    hold_back: bool = False,
 ) -> DataFrame:
     """``(url, doc_id, src, pos, anchor)``: the links that lead to one of the pages.
 
     Of pages with the same URL the smallest id counts; a page without an id is no
     target, but its links are links. Most links of a crawl lead out of it: they
-    meet the pages' URLs in a hash table and go no further.
+    meet the pages' URLs in a hash table and go no further. With ``hold_back`` nearly
+    all of them are told by a filter before the links are shuffled to that table.
     """
-    keys = page_keys(pages, normalise_scheme).filter("url IS NOT NULL AND doc_id IS NOT NULL")
-    keys = keys.groupBy("url").agg(F.min("doc_id").alias("doc_id"))
+    keys = _first_of_url(pages, normalise_scheme)
     links = extract_links(pages, page_chars).select(
         F.col("target_url").alias("url"),
         F.col("src_doc_id").alias("src"),
         "pos",
         F.col("anchor_text").alias("anchor"),
     )
+    if hold_back:
+        links = possible_members(links, "url", keys, "url")
     return links.join(keys.hint("shuffle_hash"), "url")
 
 
@@ -109,7 +120,9 @@ def gather_anchors(
     of a URL are therefore first cut in that many parts: a link beyond the
     limit within its part is beyond it in the whole. What is left for one URL
     is at most ``salts`` times the limit. Without a limit a row is as long as
-    its links are; :func:`anchor_hits` does without such rows.
+    its links are; :func:`anchor_hits` does without such rows. This is one plan
+    without stored steps; all links of a URL pass one task. Where a URL may have a
+    large part of them, :func:`siftrank.operators.anchors.anchor_parts` is for that.
     """
     links = links_to_pages(pages, page_chars, normalise_scheme)
     links = links.withColumn("n_links", F.lit(1).cast("long"))
@@ -164,11 +177,17 @@ def anchor_hits(
     """``(doc_id, dl, tf)``, as of the documents that anchors and URL would make.
 
     Links are counted one by one and added up by page and term, before and after
-    the shuffle, so no row grows with the number of links.
+    the shuffle, so no row grows with the number of links. A page's URL is one more
+    text of it; pages without links come out no more than others without text.
     """
-    links = links_to_pages(pages, page_chars, normalise_scheme)
-    pairs = links.select(F.struct("doc_id", "url").alias("doc_id"), F.col("anchor").alias("text"))
-    hits = document_hits(pairs, vocabulary)
+    keys = _first_of_url(pages, normalise_scheme)
+    page = [F.col("doc_id"), F.col("url")]
+    links = links_to_pages(pages, page_chars, normalise_scheme, hold_back=True)
+    texts = links.select(
+        F.struct(*page, F.lit(True).alias("link")).alias("doc_id"), F.col("anchor").alias("text")
+    ).unionByName(
+        keys.select(F.struct(*page, F.lit(False).alias("link")).alias("doc_id"), F.col("url").alias("text"))
+    )
     entries = F.concat(
         F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").alias("n"))),
         F.transform(
@@ -176,23 +195,20 @@ def anchor_hits(
             lambda e: F.struct(e["key"].alias("term"), e["value"].cast("long").alias("n")),
         ),
     )
-
-    def counted(found: DataFrame) -> DataFrame:
-        return found.select("doc_id", F.explode(entries).alias("c")).select("doc_id", "c.term", "c.n")
-
-    summed = counted(hits).groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
-    # the URL is one more text of each page that has links
-    own = summed.filter("term IS NULL").select("doc_id", F.col("doc_id.url").alias("text"))
-    both = summed.unionByName(counted(document_hits(own, vocabulary)))
-    both = both.groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+    counted = document_hits(texts, vocabulary).select("doc_id", F.explode(entries).alias("c"))
+    summed = counted.groupBy("doc_id.doc_id", "doc_id.url", "c.term").agg(
+        F.sum("c.n").alias("n"), F.max("doc_id.link").alias("linked")
+    )
     of_term = F.when(F.col("term").isNotNull(), F.struct("term", F.col("n").cast("int").alias("n")))
     return (
-        both.groupBy("doc_id")
+        summed.groupBy("doc_id", "url")
         .agg(
             F.max(F.when(F.col("term").isNull(), F.col("n"))).alias("dl"),
             F.map_from_entries(F.collect_list(of_term)).alias("tf"),
+            F.max("linked").alias("linked"),
         )
-        .select("doc_id.doc_id", "dl", "tf")
+        .filter("linked")
+        .select("doc_id", "dl", "tf")
     )
 
 

@@ -12,8 +12,9 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrank.operators.anchors import anchor_parts, whole_anchors
 from siftrank.operators.hits import document_hits
-from siftrank.operators.links import anchor_hits, gather_anchors
+from siftrank.operators.links import anchor_hits
 from siftrank.operators.models import BASELINES, Model, unsmoothed_lm
 from siftrank.operators.scoring import best, floors, not_below, score_documents, union
 from siftrank.operators.statistics import counters, of_words, weigh_topics
@@ -46,10 +47,10 @@ def anchor_documents(
 
     ``page_chars`` is how much of a page is searched, ``max_chars`` how many
     characters a page gathers; ``None`` is no limit. ``n_left_out`` counts the
-    links beyond that limit.
+    links beyond that limit. Without a limit a row is as long as a page's links;
+    :func:`anchor_parts` has rows of bounded length.
     """
-    salts = salts_for(pages.sparkSession)
-    return gather_anchors(pages, page_chars, max_chars, salts, normalise_scheme)
+    return whole_anchors(anchor_parts(pages, page_chars, max_chars, normalise_scheme))
 
 
 def _vocabulary(slices: list[TopicSlice]) -> list[str] | None:

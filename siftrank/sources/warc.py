@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+import siftrank.sources.files as files
 from siftrank.functions.text import decode_utf8, html_to_text, strip_index_page
 
 SCHEMA = (
@@ -181,19 +182,6 @@ class WarcDataSource(DataSource):
         return WarcReader(paths, self.options.get("record_type", "response"))
 
 
-def _file_system(path: str):
-    """File system and path within it; a path without scheme is a local one."""
-    from pyarrow import fs
-
-    scheme, separator, rest = path.partition(":")
-    if not separator or "/" in scheme:
-        return fs.LocalFileSystem(), path
-    if scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    # object stores go by another name there
-    return fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else path)
-
-
 class Unzipped(io.RawIOBase):
     """A gzip file of one or more members; what is cut off or broken ends it."""
 
@@ -231,7 +219,7 @@ class Unzipped(io.RawIOBase):
 
 def open_stream(path: str):
     """Buffered stream of a file on any file system, unpacked if it is gzip."""
-    file_system, inner = _file_system(path)
+    file_system, inner = files.file_system(path)
     raw = file_system.open_input_stream(inner, compression=None, buffer_size=1 << 20)
     if path.endswith("gz"):
         return io.BufferedReader(Unzipped(raw), 1 << 20)
@@ -247,7 +235,8 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
 def read_warc(spark: SparkSession, path: str, record_type: str = "response") -> DataFrame:
     """Records of a web archive; ``path`` may be a file, a folder or a glob."""
     # by value, so that executors need no copy of this package
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    for module in (sys.modules[__name__], files):
+        cloudpickle.register_pickle_by_value(module)
     spark.dataSource.register(WarcDataSource)
     return (
         spark.read.format("warc")
