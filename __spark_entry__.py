@@ -11,7 +11,7 @@ import warnings
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -50,7 +50,13 @@ from siftrank.sinks.text import (
     write_stats_file,
 )
 from siftrank.sources.text import parse_topics, topics_from_text
-from siftrank.sources.warc import page_documents, read_warc, warc_documents, warc_pages
+from siftrank.sources.warc import (
+    archive_report,
+    page_documents,
+    read_warc,
+    warc_documents,
+    warc_pages,
+)
 
 # The fifty topics of the TREC 2010 web track, then topics in the
 # words of the test tables: frequent and rare ones, repeated, unknown and empty
@@ -414,8 +420,9 @@ def weighted_topics_scan(spark, sf_dir):
     ).select("qid", "n_docs", "coll_len", "pos", "t.term", "t.qtf", "t.df", "t.cf")
 
 
-def _archive(spark, sf_dir, pages=None, before=""):
-    """Pages as a compressed web archive, one record per row, each after ``before``."""
+def _archive(spark, sf_dir, pages=None, before="", lead="", packed=True):
+    """Pages as a web archive, one record per row, each after ``before`` and with
+    ``lead`` before its payload."""
     folder = new_folder(spark, "warc")
     pages = _pages(spark, sf_dir) if pages is None else pages
     record = F.concat(
@@ -426,11 +433,11 @@ def _archive(spark, sf_dir, pages=None, before=""):
         "doc_id",
         F.lit("\nContent-Type: application/http; msgtype=response\nContent-Length: "),
         F.octet_length("html").cast("string"),
-        F.lit("\n\n"),
-        "html",
-        F.lit("\n"),
+        F.lit("\n\n" + lead),
     )
-    pages.select(record).write.text(folder, compression="gzip")
+    # as bytes: payloads need not be text
+    record = F.concat(record.cast("binary"), F.col("html").cast("binary"), F.lit("\n").cast("binary"))
+    pages.select(record.cast("string")).write.text(folder, compression="gzip" if packed else "none")
     return folder
 
 
@@ -472,6 +479,55 @@ def warc_scan_mixed(spark, sf_dir):
     )
 
 
+def warc_pieces(spark, sf_dir):
+    """Plain archives read in pieces; ``numbered`` if a file's records count from 1 on."""
+    records = read_warc(spark, _archive(spark, sf_dir, packed=False), piece_bytes=20_000)
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("record_no"))
+    return records.select(
+        F.col("headers")["WARC-TREC-ID"].alias("doc_id"),
+        F.md5("content").alias("content_md5"),
+        (F.col("record_no") == nth).alias("numbered"),
+    )
+
+
+def warc_headers(spark, sf_dir):
+    """What headers say, the payloads being passed over."""
+    records = read_warc(spark, _archive(spark, sf_dir, packed=False), payload=False)
+    return records.select(
+        F.col("headers")["WARC-TREC-ID"].alias("doc_id"),
+        F.col("headers")["WARC-Target-URI"].alias("url"),
+        "content_length",
+        F.col("content").isNull().alias("passed_over"),
+    )
+
+
+def warc_report(spark, sf_dir):
+    report = archive_report(spark, _archive(spark, sf_dir, before=OTHER_RECORDS), "response")
+    return report.agg(F.sum("n_records").alias("n_records"), F.bool_and("whole").alias("whole"))
+
+
+def warc_line_ends(spark, sf_dir):
+    """Line ends before each payload, which its length does not count."""
+    return read_documents(spark, _archive(spark, sf_dir, lead="\r\n\r\n"), "WARC")
+
+
+def warc_bad_bytes(spark, sf_dir):
+    """A byte that is no text in every tenth page."""
+    bad = F.concat(F.lit("bad ").cast("binary"), F.unhex(F.lit("FF")), F.lit(" byte ").cast("binary"))
+    html = F.col("html").cast("binary")
+    html = F.when(F.col("doc_id").cast("long") % 10 == 0, F.concat(bad, html)).otherwise(html)
+    pages = _pages(spark, sf_dir).withColumn("html", html)
+    return warc_documents(read_warc(spark, _archive(spark, sf_dir, pages)))
+
+
+PAGE_CHARS = 700
+
+
+def links_within_a_limit(spark, sf_dir):
+    links = extract_links(_pages(spark, sf_dir), page_chars=PAGE_CHARS)
+    return links.select("src_doc_id", "pos", "target_url", "anchor_text")
+
+
 def warc_anchors(spark, sf_dir):
     pages = read_warc(spark, _archive(spark, sf_dir)).select(
         F.col("headers")["WARC-TREC-ID"].alias("doc_id"),
@@ -554,6 +610,12 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topics_scan": topics_scan,
         "weighted_topics_scan": weighted_topics_scan,
         "warc_scan": warc_scan,
+        "warc_pieces": warc_pieces,
+        "warc_headers": warc_headers,
+        "warc_report": warc_report,
+        "warc_line_ends": warc_line_ends,
+        "warc_bad_bytes": warc_bad_bytes,
+        "links_within_a_limit": links_within_a_limit,
         "warc_documents": warc_docs,
         "warc_links": warc_anchors,
     }
@@ -919,9 +981,30 @@ queries AS (
             SELECT CAST(page_id AS VARCHAR) AS doc_id, url, 'response' AS warc_type,
                    CAST(octet_length(encode(html)) AS INTEGER) AS content_length,
                    md5(html) AS content_md5 FROM pages""",
+        "warc_pieces": """
+            SELECT CAST(page_id AS VARCHAR) AS doc_id, md5(html) AS content_md5, TRUE AS numbered
+            FROM pages""",
+        "warc_headers": """
+            SELECT CAST(page_id AS VARCHAR) AS doc_id, url,
+                   CAST(octet_length(encode(html)) AS INTEGER) AS content_length, TRUE AS passed_over
+            FROM pages""",
+        # one of the records before each page is a response, too
+        "warc_report": "SELECT CAST(2 * count(*) AS BIGINT) AS n_records, TRUE AS whole FROM pages",
         "warc_documents": (
             f"SELECT CAST(page_id AS VARCHAR) AS doc_id, {_PAGE_TEXT} AS text FROM pages"
         ),
+        "warc_line_ends": (
+            f"SELECT CAST(page_id AS VARCHAR) AS doc_id, {_PAGE_TEXT} AS text FROM pages"
+        ),
+        "warc_bad_bytes": f"""
+            WITH marked AS (
+              SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN 'bad \ufffd byte ' || html ELSE html END AS html
+              FROM pages)
+            SELECT CAST(page_id AS VARCHAR) AS doc_id, {_PAGE_TEXT} AS text FROM marked""",
+        "links_within_a_limit": f"""
+            WITH shortened AS (SELECT page_id, url, substring(html, 1, {PAGE_CHARS}) AS html FROM pages),
+            {_LINKS.replace("FROM pages", "FROM shortened")}
+            SELECT src_doc_id, pos, target_url, anchor_text FROM links""",
         "warc_links": f"""WITH {_LINKS}
             SELECT target_url, count(*) AS n_links FROM links GROUP BY target_url""",
     }

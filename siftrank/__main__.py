@@ -21,7 +21,7 @@ from siftrank.plans.jobs import (
     simple_run,
     term_statistics,
 )
-from siftrank.session import intermediate_tables, spread
+from siftrank.session import intermediate_tables
 from siftrank.sinks.anchors import write_anchor_parts
 from siftrank.sinks.text import (
     write_run,
@@ -40,8 +40,11 @@ from siftrank.sources.warc import read_warc, warc_pages
 
 
 def anchors(spark: SparkSession, args: argparse.Namespace) -> None:
-    pages = warc_pages(spread(read_warc(spark, args.web)), need_id=False)
-    write_anchor_parts(anchor_parts(pages, args.page_chars, args.max_chars), args.out)
+    pages = warc_pages(read_warc(spark, args.web), need_id=False)
+    # what pages are there is in the headers of their records
+    urls = warc_pages(read_warc(spark, args.web, payload=False), need_id=False)
+    found = anchor_parts(pages, args.page_chars, args.max_chars, urls=urls)
+    write_anchor_parts(found, args.out)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:

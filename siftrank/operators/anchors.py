@@ -24,10 +24,10 @@ def _used() -> Column:
 
 
 def _stored_links(
-    pages: DataFrame, page_chars: int | None, normalise_scheme: bool
+    pages: DataFrame, urls: DataFrame, page_chars: int | None, normalise_scheme: bool
 ) -> tuple[DataFrame, DataFrame]:
     """``(url, doc_id)`` of the pages, and the links that may lead to one."""
-    keys = page_keys(pages, normalise_scheme).filter("url IS NOT NULL AND doc_id IS NOT NULL")
+    keys = page_keys(urls, normalise_scheme).filter("url IS NOT NULL AND doc_id IS NOT NULL")
     keys = written(keys, "keys")
     links = extract_links(pages, page_chars).select(
         F.col("target_url").alias("url"),
@@ -71,6 +71,7 @@ def anchor_parts(
     normalise_scheme: bool = False,
     part_chars: int = PART_CHARS,
     ranges: int | None = None,
+    urls: DataFrame | None = None,
 ) -> DataFrame:
     """``(doc_id, url, part, last, anchors, n_left_out)``: anchor text in bounded rows.
 
@@ -81,9 +82,12 @@ def anchor_parts(
     a URL has beyond that says in ``n_left_out`` how many links were left out, and a
     URL that is as long itself has no row. Of pages with the same URL the smallest id
     counts. ``ranges`` is into how many the links of long URLs are dealt, by default
-    as many as shuffle partitions.
+    as many as shuffle partitions. ``urls`` are the pages' ids and URLs, where these
+    can be had for less than from ``pages``.
     """
-    keys, links = _stored_links(pages, page_chars, normalise_scheme)
+    keys, links = _stored_links(
+        pages, pages if urls is None else urls, page_chars, normalise_scheme
+    )
     totals = links.groupBy("url").agg(F.sum(_used()).alias("chars"), F.count("*").alias("n_links"))
     is_long: Column = F.col("chars") > part_chars
     if max_chars is not None:

@@ -12,3 +12,8 @@ def file_system(path: str):
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
     # object stores go by another name there
     return fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else path)
+
+
+def size_of(path: str) -> int:
+    system, inner = file_system(path)
+    return system.get_file_info(inner).size

@@ -1,24 +1,28 @@
-"""Web archives as a Spark data source.
+"""Web archives as tables of records.
 
-One partition per file, because neither a compressed archive nor the record
-format allows a reader to start in the middle. Files are read as streams, a
-record at a time; what is held in memory is one batch of records.
+Files are listed by Spark's own sources as rows of path and length. Those that are
+longer than a fair share of the work are searched for places where a reader can
+start; files and pieces are then dealt out by size. No list of them passes through
+the program that starts the job. Tasks read streams, a record at a time; what is held
+in memory is one batch of records.
 """
 
-import io
 import json
 import sys
-import warnings
-import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 import siftrank.sources.files as files
+import siftrank.sources.records as records
 from siftrank.functions.text import decode_utf8, html_to_text, strip_index_page
+from siftrank.operators.ranges import in_ranges, offsets
+from siftrank.session import written
 
 SCHEMA = (
     "record_no long, warc_type string, warc_date string, warc_record_id string, "
@@ -26,96 +30,15 @@ SCHEMA = (
     "content binary, path string"
 )
 
-# Markers and field names of the archive format.
-RECORD_MARK = b"WARC/"
-LENGTH_FIELD = "Content-Length"
-COLUMN_OF_FIELD = {
-    "WARC-Type": "warc_type",
-    "WARC-Date": "warc_date",
-    "WARC-Record-ID": "warc_record_id",
-    "Content-Type": "content_type",
-}
-CR, LF = 13, 10
-# Fixed value: the largest length a header can state; others are not lengths.
-LONGEST = 2**31 - 1
-
 BATCH_RECORDS = 500
 BATCH_BYTES = 16 << 20
-READ_BYTES = 4 << 20
+PIECE_BYTES = 128 << 20
+# What opening a file is reckoned to cost.
+OPEN_BYTES = 4 << 20
+# Rows of path and length that one task puts in order at most.
+ORDERED_ROWS = 10_000
 
-
-def _fields(stream) -> tuple[dict, int] | None:
-    """Header fields up to the blank line that follows a valid length.
-
-    Blank lines before that are passed over: some crawls have them within
-    their headers.
-    """
-    fields, length = {}, -1
-    for raw in stream:
-        line = raw.decode("utf-8", "replace").strip()
-        if not line:
-            if length >= 0:
-                return fields, length
-            continue
-        name, _, value = (part.strip() for part in line.partition(":"))
-        if name == LENGTH_FIELD:
-            stated = int(value) if value.isascii() and value.isdigit() and len(value) < 20 else -1
-            length = stated if stated <= LONGEST else -1
-        else:
-            fields[name] = value
-    return None
-
-
-def _payload(stream, length: int) -> bytes | None:
-    """``length`` bytes, after the line ends that may still precede them.
-
-    Bytes are looked at in pairs, and a pair that is or holds a line end does
-    not count. ``None`` when the file ends first.
-    """
-    if length == 0:
-        return b""
-    if length == 1:
-        lead = stream.read(1)
-        while lead and lead[0] in (CR, LF):
-            lead = stream.read(1)
-        return lead or None
-    lead = stream.read(2)
-    while len(lead) == 2 and (lead[0] == CR or lead[1] == LF):
-        lead = stream.read(2)
-    pieces, missing = [lead], length - len(lead)
-    # in pieces: a wrong length must not claim more memory than the file has bytes
-    while missing and (piece := stream.read(min(missing, READ_BYTES))):
-        pieces.append(piece)
-        missing -= len(piece)
-    return None if missing else b"".join(pieces)
-
-
-def records(stream, record_type: str):
-    """Records of one type, numbered from 1; every type if it is empty.
-
-    A file that is cut off ends with its last whole record.
-    """
-    number = 0
-    for line in stream:
-        if not line.startswith(RECORD_MARK):
-            continue
-        head = _fields(stream)
-        if head is None:
-            return
-        fields, length = head
-        content = _payload(stream, length)
-        if content is None:
-            return
-        if record_type and fields.get("WARC-Type") != record_type:
-            continue
-        number += 1
-        row = {column: fields.pop(name, "") for name, column in COLUMN_OF_FIELD.items()}
-        yield row | {
-            "record_no": number,
-            "content_length": len(content),
-            "headers": list(fields.items()),
-            "content": content,
-        }
+_PIECES = "path string, start long, end long, before long, within long, whole boolean"
 
 
 class WarcFile(InputPartition):
@@ -136,31 +59,36 @@ class WarcReader(DataSourceReader):
         return [WarcFile(path) for path in self.paths]
 
     def read(self, partition: WarcFile):
-        import pyarrow as pa
-
-        schema = pa.schema(
-            [
-                ("record_no", pa.int64()),
-                ("warc_type", pa.string()),
-                ("warc_date", pa.string()),
-                ("warc_record_id", pa.string()),
-                ("content_type", pa.string()),
-                ("content_length", pa.int32()),
-                ("headers", pa.map_(pa.string(), pa.string())),
-                ("content", pa.binary()),
-                ("path", pa.string()),
-            ]
-        )
-        batch, size = [], 0
-        with open_stream(partition.path) as stream:
-            for record in records(stream, self.record_type):
-                batch.append(record | {"path": partition.path})
-                size += record["content_length"]
-                if len(batch) == BATCH_RECORDS or size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(batch, schema)
-                    batch, size = [], 0
-        if batch:
+        size = files.size_of(partition.path)
+        with records.open_stretch(partition.path, 0, size) as stream:
+            found = records.records(stream, self.record_type)
+            yield from _batches(found, partition.path)
+
+
+def _batches(found, path: str, before: int = 0):
+    """Arrow batches of records; ``before`` is how many came before them in their file."""
+    schema = pa.schema(
+        [
+            ("record_no", pa.int64()),
+            ("warc_type", pa.string()),
+            ("warc_date", pa.string()),
+            ("warc_record_id", pa.string()),
+            ("content_type", pa.string()),
+            ("content_length", pa.int32()),
+            ("headers", pa.map_(pa.string(), pa.string())),
+            ("content", pa.binary()),
+            ("path", pa.string()),
+        ]
+    )
+    batch, size = [], 0
+    for record in found:
+        batch.append(record | {"record_no": record["record_no"] + before, "path": path})
+        size += len(record["content"] or b"")
+        if len(batch) == BATCH_RECORDS or size >= BATCH_BYTES:
             yield pa.RecordBatch.from_pylist(batch, schema)
+            batch, size = [], 0
+    if batch:
+        yield pa.RecordBatch.from_pylist(batch, schema)
 
 
 class WarcDataSource(DataSource):
@@ -182,78 +110,128 @@ class WarcDataSource(DataSource):
         return WarcReader(paths, self.options.get("record_type", "response"))
 
 
-class Unzipped(io.RawIOBase):
-    """A gzip file of one or more members; what is cut off or broken ends it."""
-
-    def __init__(self, raw):
-        self.raw = raw
-        self.member = zlib.decompressobj(wbits=31)
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        while True:
-            if self.member.eof:
-                # members may be padded with zeros
-                packed = self.member.unused_data.lstrip(b"\0")
-                while not packed and (piece := self.raw.read(1 << 16)):
-                    packed = piece.lstrip(b"\0")
-                if not packed:
-                    return 0
-                self.member = zlib.decompressobj(wbits=31)
-            else:
-                packed = self.member.unconsumed_tail or self.raw.read(1 << 16)
-                if not packed:
-                    warnings.warn("a compressed archive is cut off", stacklevel=2)
-                    return 0
-            try:
-                data = self.member.decompress(packed, len(buffer))
-            except zlib.error as broken:
-                warnings.warn(f"a compressed archive is broken: {broken}", stacklevel=2)
-                return 0
-            if data:
-                buffer[: len(data)] = data
-                return len(data)
-
-
-def open_stream(path: str):
-    """Buffered stream of a file on any file system, unpacked if it is gzip."""
-    file_system, inner = files.file_system(path)
-    raw = file_system.open_input_stream(inner, compression=None, buffer_size=1 << 20)
-    if path.endswith("gz"):
-        return io.BufferedReader(Unzipped(raw), 1 << 20)
-    return io.BufferedReader(raw, 1 << 20)
-
-
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """Files that a path, folder or glob stands for, as Spark's own sources see it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return sorted(unquote(f) for f in files.inputFiles())
 
 
-def read_warc(spark: SparkSession, path: str, record_type: str = "response") -> DataFrame:
-    """Records of a web archive; ``path`` may be a file, a folder or a glob."""
-    # by value, so that executors need no copy of this package
-    for module in (sys.modules[__name__], files):
+def _by_value(spark: SparkSession) -> None:
+    """Tasks carry this code along, so that executors need no copy of the package."""
+    for module in (sys.modules[__name__], records, files):
         cloudpickle.register_pickle_by_value(module)
     spark.dataSource.register(WarcDataSource)
-    return (
-        spark.read.format("warc")
-        .option("record_type", record_type)
-        .option("files", json.dumps(list_files(spark, path)))
-        .load()
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of the files, other than empty ones, that a path, folder or
+    glob stands for."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "length")
+
+
+def _indexed(record_type: str, piece_bytes: int, batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for row in batch.to_pylist():
+            found = records.pieces(row["path"], row["length"], record_type, piece_bytes)
+            yield pa.RecordBatch.from_pylist([{"path": row["path"]} | piece for piece in found])
+
+
+def archive_pieces(
+    spark: SparkSession, listed: DataFrame, record_type: str = "response", piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
+    """``(path, start, end, before, within, whole)``: files searched for places to start at.
+
+    ``within`` counts a piece's records of the type, ``before`` those of earlier
+    pieces. ``whole`` is false where a file is cut off or broken. Archives that are
+    not compressed are searched by their headers, the rest is passed over.
+    """
+    _by_value(spark)
+    spread = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return spread.mapInArrow(lambda it: _indexed(record_type, piece_bytes, it), _PIECES)
+
+
+def archive_report(spark: SparkSession, path: str, record_type: str = "") -> DataFrame:
+    """``(path, n_records, whole)`` for each file: what is there to read, and whether
+    the file ends within a record or cannot be unpacked to its end."""
+    found = archive_pieces(spark, archive_files(spark, path), record_type)
+    return found.groupBy("path").agg(
+        F.sum("within").alias("n_records"), F.bool_and("whole").alias("whole")
+    )
+
+
+def _read(record_type: str, payload: bool, batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for row in batch.to_pylist():
+            with records.open_stretch(row["path"], row["start"], row["end"]) as stream:
+                found = records.records(stream, record_type, payload)
+                yield from _batches(found, row["path"], row["before"])
+
+
+def _dealt(pieces: DataFrame, n_pieces: int, share: int) -> DataFrame:
+    """``pieces`` with the number of the task that reads them, ``share`` bytes each."""
+    cost = F.col("end") - F.col("start") + OPEN_BYTES
+    earlier = [Window.unboundedPreceding, -1]
+    if n_pieces <= ORDERED_ROWS:
+        order = Window.partitionBy(F.lit(0)).orderBy("path", "start").rowsBetween(*earlier)
+        used = F.coalesce(F.sum(cost).over(order), F.lit(0))
+        return pieces.withColumn("task", F.floor(used / share))
+    ranged = in_ranges(pieces, ["path", "start"], -(-n_pieces // ORDERED_ROWS))
+    before = F.broadcast(offsets(ranged.withColumn("all", F.lit(0)), ["all"], used=F.sum(cost)))
+    order = Window.partitionBy("part").orderBy("nth").rowsBetween(*earlier)
+    used = F.col("used") + F.coalesce(F.sum(cost).over(order), F.lit(0))
+    dealt = ranged.join(before.select("part", "used"), "part")
+    return dealt.withColumn("task", F.floor(used / share)).select(*pieces.columns, "task")
+
+
+def read_warc(
+    spark: SparkSession,
+    path: str,
+    record_type: str = "response",
+    payload: bool = True,
+    piece_bytes: int = PIECE_BYTES,
+) -> DataFrame:
+    """Records of a web archive; ``path`` may be a file, a folder or a glob.
+
+    A task reads files and pieces of files of about ``piece_bytes``, or fewer where
+    there are cores to spare. Files longer than that are searched first, unless there
+    are so many others that a file is no more than a quarter of a core's share; a
+    compressed one can be read in pieces if it has members. ``record_no`` counts a
+    file's records of the type, read in pieces or not. Without ``payload`` the
+    ``content`` is null and is not kept, nor, in archives that are not compressed, read.
+    """
+    _by_value(spark)
+    cores = spark.sparkContext.defaultParallelism
+    listed = archive_files(spark, path)
+    figures = [F.count("*"), F.coalesce(F.sum("length"), F.lit(0))]
+    n_files, total = listed.agg(*figures).first()
+    long = F.col("length") > max(piece_bytes, total // (4 * cores))
+    whole = listed.filter(~long).select(
+        "path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(0).cast("long").alias("before")
+    )
+    n_pieces, size = n_files, total
+    pieces = whole
+    if not listed.filter(long).isEmpty():
+        found = written(archive_pieces(spark, listed.filter(long), record_type, piece_bytes), "pieces")
+        pieces = whole.unionByName(found.select(*whole.columns))
+        n_pieces = n_files + found.count()
+    cost = size + n_pieces * OPEN_BYTES
+    share = max(1, min(piece_bytes + OPEN_BYTES, max(OPEN_BYTES, cost // cores)))
+    n_tasks = max(1, min(n_pieces, -(-cost // share)))
+    dealt = _dealt(pieces, n_pieces, share).repartitionByRange(n_tasks, "task")
+    return dealt.select("path", "start", "end", "before").mapInArrow(
+        lambda it: _read(record_type, payload, it), SCHEMA
     )
 
 
 def warc_pages(
-    records: DataFrame, id_field: str = "WARC-TREC-ID", need_id: bool = True
+    found: DataFrame, id_field: str = "WARC-TREC-ID", need_id: bool = True
 ) -> DataFrame:
     """``(doc_id, url, html)`` of the records that have a URL and, if asked for, an id.
 
     Links on pages without an id count like others.
     """
-    pages = records.select(
+    pages = found.select(
         F.col("headers")[id_field].alias("doc_id"),
         F.col("headers")["WARC-Target-URI"].alias("url"),
         decode_utf8(F.col("content")).alias("html"),
@@ -262,10 +240,10 @@ def warc_pages(
 
 
 def warc_documents(
-    records: DataFrame, id_field: str = "WARC-TREC-ID", with_url: bool = True
+    found: DataFrame, id_field: str = "WARC-TREC-ID", with_url: bool = True
 ) -> DataFrame:
     """``(doc_id, text)``; by default the URL is part of the text."""
-    return page_documents(warc_pages(records, id_field), with_url)
+    return page_documents(warc_pages(found, id_field), with_url)
 
 
 def page_documents(pages: DataFrame, with_url: bool = True) -> DataFrame:
