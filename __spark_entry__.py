@@ -36,7 +36,7 @@ from siftrank import (  # noqa: E402
     unsmoothed_lm,
 )
 from siftrank.functions.text import query_terms
-from siftrank.operators.hits import document_hits, term_frequencies
+from siftrank.operators.hits import document_hits, document_hits_among, term_frequencies
 from siftrank.operators.links import anchor_text_documents, extract_links, page_keys
 from siftrank.operators.statistics import collection_stats
 from siftrank.operators.topics import last_wins, topic_slices
@@ -323,6 +323,13 @@ def query_vocab_tf(spark, sf_dir):
     return term_frequencies(hits).select("doc_id", "dl", "term", "tf")
 
 
+def table_vocab_tf(spark, sf_dir):
+    """As with a vocabulary that is too large to be named in a plan."""
+    words = _table_topics(spark, sf_dir).select(F.explode("terms").alias("term"))
+    hits = document_hits_among(_docs(spark, sf_dir), words)
+    return term_frequencies(hits).select("doc_id", "dl", "term", "tf")
+
+
 def collection_statistics(spark, sf_dir):
     return collection_stats(document_hits(_docs(spark, sf_dir), []))
 
@@ -573,6 +580,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anchor_parts_of_a_hub": anchor_parts_of_a_hub,
         "anchor_files_of_parts": anchor_files_of_parts,
         "query_vocab_tf": query_vocab_tf,
+        "table_vocab_tf": table_vocab_tf,
         "collection_stats": collection_statistics,
         "query_term_stats": query_term_stats,
         "weighted_topics_text": weighted_topics_text,
@@ -874,6 +882,8 @@ queries AS (
         "anchor_files_of_parts": f"WITH {_anchors()} {anchor_rows}",
         "query_vocab_tf": documents
         + " SELECT doc_id, CAST(dl AS BIGINT) AS dl, term, CAST(tf AS INTEGER) AS tf FROM tf",
+        "table_vocab_tf": f"WITH {_TABLE_TOPICS}{_TOPIC_TERMS}{_DOCS}{_COUNTS}"
+        " SELECT doc_id, CAST(dl AS BIGINT) AS dl, term, CAST(tf AS INTEGER) AS tf FROM tf",
         "collection_stats": documents
         + """ SELECT n_docs, CAST(coll_len AS BIGINT) AS coll_len,
               CAST(coll_len AS DOUBLE) / n_docs AS avg_dl FROM coll""",

@@ -59,6 +59,38 @@ def document_hits(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
     )
 
 
+# Words that are sent to all tasks at most; more meet the documents' words in a shuffle.
+BROADCAST_WORDS = 1_000_000
+
+
+def document_hits_among(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """:func:`document_hits` for a vocabulary that is a table, of any size: ``(term)``.
+
+    A document's words are counted inside its row, then meet the vocabulary, and only
+    those that are in it are put together again. Nulls and repeated words do no harm.
+    """
+    vocabulary = words.select("term").where(F.col("term").isNotNull()).distinct()
+    vocabulary = vocabulary.withColumn("known", F.lit(True))
+    if words.count() <= BROADCAST_WORDS:
+        vocabulary = F.broadcast(vocabulary)
+    counted = document_hits(docs, None).withColumn("row", F.monotonically_increasing_id())
+    # a row of its own keeps documents without any hit
+    entry = "struct(CAST(NULL AS string) AS key, 0 AS value)"
+    entries = F.explode(F.concat(F.array(F.expr(entry)), F.map_entries("tf"))).alias("e")
+    met = (
+        counted.select("row", "doc_id", "dl", entries)
+        .select("row", "doc_id", "dl", F.col("e.key").alias("term"), F.col("e.value").alias("n"))
+        .join(vocabulary, "term", "left")
+        .filter(F.col("known") | F.col("term").isNull())
+    )
+    hit = F.when(F.col("term").isNotNull(), F.struct("term", F.col("n").alias("tf")))
+    return (
+        met.groupBy("row", "doc_id", "dl")
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(hit))).alias("tf"))
+        .select("doc_id", "dl", "tf")
+    )
+
+
 def term_frequencies(hits: DataFrame) -> DataFrame:
     """``(doc_id, dl, term, tf)``: one row per document row and query term in it."""
     # explode_outer, because explode would make the optimizer evaluate the

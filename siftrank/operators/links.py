@@ -3,6 +3,8 @@
 Pages have the columns ``doc_id``, ``url`` and ``html``.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,12 +172,14 @@ def _within_limit(links: DataFrame, group: list[str], max_chars: int) -> DataFra
 
 def anchor_hits(
     pages: DataFrame,
-    vocabulary: list[str] | None,
+    vocabulary: list[str] | Callable[[DataFrame], DataFrame],
     page_chars: int | None = None,
     normalise_scheme: bool = False,
 ) -> DataFrame:
     """``(doc_id, dl, tf)``, as of the documents that anchors and URL would make.
 
+    ``vocabulary`` are the words to count, or what makes hits of ``(doc_id, text)``.
+
     Links are counted one by one and added up by page and term, before and after
     the shuffle, so no row grows with the number of links. A page's URL is one more
     text of it; pages without links come out no more than others without text.
@@ -195,7 +199,8 @@ def anchor_hits(
             lambda e: F.struct(e["key"].alias("term"), e["value"].cast("long").alias("n")),
         ),
     )
-    counted = document_hits(texts, vocabulary).select("doc_id", F.explode(entries).alias("c"))
+    hits = vocabulary(texts) if callable(vocabulary) else document_hits(texts, vocabulary)
+    counted = hits.select("doc_id", F.explode(entries).alias("c"))
     summed = counted.groupBy("doc_id.doc_id", "doc_id.url", "c.term").agg(
         F.sum("c.n").alias("n"), F.max("doc_id.link").alias("linked")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftrank.operators.anchors import anchor_parts, whole_anchors
-from siftrank.operators.hits import document_hits
+from siftrank.operators.hits import document_hits, document_hits_among
 from siftrank.operators.links import anchor_hits
 from siftrank.operators.models import BASELINES, Model, unsmoothed_lm
 from siftrank.operators.scoring import best, floors, not_below, score_documents, union
@@ -53,15 +53,22 @@ def anchor_documents(
     return whole_anchors(anchor_parts(pages, page_chars, max_chars, normalise_scheme))
 
 
-def _vocabulary(slices: list[TopicSlice]) -> list[str] | None:
-    """The words of all slices, or ``None``, for all there are, if they are too many."""
-    words = sorted(set().union(*(part.vocabulary for part in slices)))
-    return words if len(words) <= MAX_POSITIONS else None
+def _vocabulary(slices: list[TopicSlice]) -> list[str]:
+    """The words of all slices."""
+    return sorted(set().union(*(part.vocabulary for part in slices)))
+
+
+def _hits(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Hits of the words: named in the plan if they are few, else joined."""
+    if len(words) <= MAX_POSITIONS:
+        return document_hits(docs, words)
+    rows = docs.sparkSession.createDataFrame([(word,) for word in words], "term string")
+    return document_hits_among(docs, rows)
 
 
 def _stored(docs: DataFrame, slices: list[TopicSlice]) -> DataFrame:
     """Hits of all slices in one pass over the text, as a table."""
-    return written(document_hits(docs, _vocabulary(slices)), "hits")
+    return written(_hits(docs, _vocabulary(slices)), "hits")
 
 
 def simple_run(docs: DataFrame, topics: DataFrame, k: int = TOP) -> DataFrame:
@@ -193,7 +200,8 @@ def anchor_experiment(
     Anchor text is never put together: each link is counted by itself.
     """
     slices = topic_slices(topics)
-    hits = anchor_hits(pages, _vocabulary(slices), page_chars, normalise_scheme)
+    words = _vocabulary(slices)
+    hits = anchor_hits(pages, lambda texts: _hits(texts, words), page_chars, normalise_scheme)
     return _experiment(written(hits, "hits"), slices, models, k)
 
 
