@@ -47,7 +47,9 @@ from siftrank.sinks.text import (
     trec_run,
     write_anchors,
     write_run,
+    write_run_by_model,
     write_stats_file,
+    write_trec_run,
 )
 from siftrank.sources.text import parse_topics, topics_from_text
 from siftrank.sources.warc import (
@@ -388,6 +390,27 @@ def run_roundtrip(spark, sf_dir):
     return read_run(spark, folder).select("qid", "model", "doc_id", F.round("score", 8).alias("score"))
 
 
+def run_of_one_model(spark, sf_dir):
+    """A run with a folder per model, of which one is read."""
+    run = experiment(_docs(spark, sf_dir), _topics(spark), [dirichlet_lm(), bm25()])
+    folder = new_folder(spark, "run")
+    write_run_by_model(run, folder)
+    run = read_run(spark, folder, model="BM25")
+    return run.select("qid", "model", "doc_id", F.round("score", 8).alias("score"))
+
+
+def trec_file_order(spark, sf_dir):
+    """The place of each line in a written run."""
+    run = experiment(_docs(spark, sf_dir), _topics(spark), [bm25()])
+    folder = new_folder(spark, "trec")
+    write_trec_run(_rounded(run), folder)
+    line = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(folder).select("value", line.alias("at"))
+    nth = F.row_number().over(Window.orderBy("at"))
+    fields = F.split("value", "\t")
+    return lines.select(nth.alias("nth"), fields[0].alias("qid"), fields[2].alias("doc_id"))
+
+
 def keyval_roundtrip(spark, sf_dir):
     folder = new_folder(spark, "anchors")
     write_anchors(anchor_documents(_linked_pages(spark, sf_dir), page_chars=None), folder)
@@ -612,6 +635,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "warc_scan_mixed": warc_scan_mixed,
         "trec_run_lines": trec_run_lines,
         "run_roundtrip": run_roundtrip,
+        "run_of_one_model": run_of_one_model,
+        "trec_file_order": trec_file_order,
         "anchor_bm25": anchor_bm25,
         "keyval_roundtrip": keyval_roundtrip,
         "anchors_scan": anchors_scan,
@@ -970,6 +995,15 @@ queries AS (
         "run_roundtrip": _run_sql(
             [_LMDI, _BM25], show=" SELECT qid, model, doc_id, round(score, 8) AS score FROM run"
         ),
+        "run_of_one_model": _run_sql(
+            [_BM25], show=" SELECT qid, model, doc_id, round(score, 8) AS score FROM run"
+        ),
+        "trec_file_order": _run_sql(
+            [_BM25],
+            show=""" SELECT CAST(row_number() OVER (
+                         ORDER BY coalesce(try_cast(qid AS INTEGER), 0), qid, rank) AS INTEGER) AS nth,
+                       qid, doc_id FROM run""",
+        ),
         "anchor_bm25": _run_sql(
             [_BM25], topics=_topic_values(TOPICS), docs="," + _anchors() + _ANCHOR_DOCS
         ),

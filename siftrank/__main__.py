@@ -71,7 +71,7 @@ def whole_experiment(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def trec(spark: SparkSession, args: argparse.Namespace) -> None:
-    ranked = best(read_run(spark, args.run), args.k)
+    ranked = best(read_run(spark, args.run, model=args.model), args.k)
     write_trec_run(
         ranked, args.out, model=args.model, tag=args.tag, strip_prefix=args.strip_prefix
     )

@@ -156,13 +156,23 @@ def read_weighted_topics(spark: SparkSession, path: str) -> DataFrame:
     return parse_weighted_topics(_lines(spark, path))
 
 
-def read_run(spark: SparkSession, path: str, default_model: str = "run") -> DataFrame:
-    """``(qid, model, doc_id, score)`` from a run file ``qid[:model]⇥doc⇥score``."""
+def read_run(
+    spark: SparkSession, path: str, default_model: str = "run", model: str | None = None
+) -> DataFrame:
+    """``(qid, model, doc_id, score)`` from a run file ``qid[:model]⇥doc⇥score``.
+
+    With ``model`` only its rows are read; in a run that has a folder for each model,
+    the other folders are not opened.
+    """
     fields = F.split("value", "\t")
     key = F.split(fields[0], ":", 2)
-    return spark.read.text(path).select(
+    lines = spark.read.text(path)
+    if model is not None and "model" in lines.columns:
+        lines = lines.filter(F.col("model") == F.lit(model))
+    run = lines.select(
         key[0].alias("qid"),
         F.coalesce(F.get(key, 1), F.lit(default_model)).alias("model"),
         fields[1].alias("doc_id"),
         fields[2].cast("double").alias("score"),
     )
+    return run if model is None else run.filter(F.col("model") == F.lit(model))

@@ -158,6 +158,20 @@ def test_run_files(spark, tmp_path, run):
     assert {r.model for r in read_run(spark, str(tmp_path / "plain"), "mine").collect()} == {"mine"}
 
 
+def test_a_reader_of_one_model_opens_no_other_folder(spark, tmp_path, run):
+    folder = str(tmp_path / "by")
+    write_run_by_model(run, folder)
+    found = read_run(spark, folder, model="BM25")
+    expected = run.filter("model = 'BM25'").select("qid", "model", "doc_id", "score")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "(model" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert all("model=BM25" in r[0] for r in found.select(F.input_file_name()).distinct().collect())
+    write_run(run, str(tmp_path / "one"))
+    assert read_run(spark, str(tmp_path / "one"), model="LMdi").count() == run.filter("model = 'LMdi'").count()
+    assert read_run(spark, str(tmp_path / "one"), model="none").count() == 0
+
+
 def test_trec_run_lines(spark, tmp_path, run):
     found = [r.value.split("\t") for r in trec_run(run, model="BM25").collect()]
     assert [(f[0], f[1], f[3], f[5]) for f in found] == [
