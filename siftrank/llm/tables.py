@@ -1,8 +1,9 @@
-"""Intermediate tables that a later join finds in the right place."""
+"""Intermediate tables that a later join finds in the right place, and samples by hash."""
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from siftrank.session import new_folder, shuffle_partitions
 
@@ -21,3 +22,9 @@ def written_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
         .saveAsTable(table)
     )
     return spark.table(table)
+
+
+def in_share(key: Column, share: float) -> Column:
+    """Whether a key's hash is among that share of all hashes, be it ever so small."""
+    least = -(1 << 63) + int(min(1.0, share) * (1 << 64))
+    return F.xxhash64(key) <= F.lit(min(least, (1 << 63) - 1))

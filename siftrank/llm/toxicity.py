@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrank.llm.tables import in_share
 from siftrank.llm.words import hashed_words, row_shingles
 from siftrank.session import written
 
@@ -195,11 +196,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    share = F.lit(0)
+    few = F.lit(False)
     for toxic, n in sizes.items():
-        part = int(min(1.0, rows / 2 / n) * (1 << 20))
-        share = F.when(F.col("toxic") == toxic, F.lit(part)).otherwise(share)
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+        few = few | ((F.col("toxic") == toxic) & in_share(F.col("doc_id"), rows / 2 / n))
+    chosen = labels.where(few)
     # about ``rows`` ids at most
     texts = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     families = texts.mapInArrow(_family, "family long, text string, toxic int")

@@ -10,8 +10,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftrank.llm.tables import in_share
 from siftrank.session import written
 
+# Parts of the sample, by host, whose labels do not tell about themselves.
+FOLDS = 4
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
     "url_length",
@@ -92,6 +96,43 @@ def lexical_features(urls: DataFrame) -> DataFrame:
     )
 
 
+def _sample(decided: DataFrame, sample_rows: int) -> DataFrame:
+    """At most ``sample_rows`` distinct URLs, those of the least hashes, with ``label``.
+
+    A URL counts once, however often it stands there. Few more than are wanted leave
+    the scan; which ones does not depend on how the table is split.
+    """
+    number = F.xxhash64("url")
+    distinct = decided.agg(F.approx_count_distinct("url", 0.02)).first()[0]
+    # twice the share, because the number of distinct URLs is an estimate
+    share = 2 * sample_rows / max(1, distinct)
+    few = decided.where(in_share(F.col("url"), share)).select("url", "host", "path", "given")
+    few = few.dropDuplicates(["url"]).orderBy(number, "url").limit(sample_rows)
+    return lexical_features(few.repartition(FOLDS)).withColumns(
+        {
+            "label": (F.col("given") == "block").cast("double"),
+            "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)),
+        }
+    )
+
+
+def _suffix_rates(sample: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
+    """How often URLs of a suffix are blocked: in all, and in the hosts' other folds.
+
+    The trees learn from the latter, so a URL's own label is not among its features.
+    """
+
+    def share(blocked: Column, n: Column) -> Column:
+        return ((blocked + rate) / (n + 1)).alias("suffix_rate")
+
+    parts = sample.groupBy("suffix", "fold").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+    whole = parts.groupBy("suffix").agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+    others = parts.join(whole, "suffix").select(
+        "suffix", "fold", share(F.col("all_b") - F.col("b"), F.col("all_n") - F.col("n"))
+    )
+    return whole.select("suffix", share(F.col("all_b"), F.col("all_n"))), others
+
+
 def judged_urls(
     pages: DataFrame,
     rules: list[tuple[str, str]],
@@ -105,7 +146,7 @@ def judged_urls(
 
     The verdict is that of the longest rule that fits; where none does, ``block``
     if the trees find blocking likelier than not. They are fitted on a sample of
-    about ``sample_rows`` URLs that rules decide, taken by hash; where these show
+    ``sample_rows`` distinct URLs that rules decide, taken by hash; where these show
     fewer than two verdicts, everything else is allowed.
 
     Null URLs and those without ``://`` have an empty host and path, which no rule
@@ -122,29 +163,20 @@ def judged_urls(
     )
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("given"))
-    decided = rows.where("given IS NOT NULL")
-    share = min(1.0, sample_rows / max(1, decided.count()))
-    sampled = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    sample = lexical_features(decided.where(sampled))
-    sample = sample.withColumn("label", (F.col("given") == "block").cast("double"))
-    sample = written(sample.coalesce(4).drop("id"), "urls")
+    sample = written(_sample(rows.where("given IS NOT NULL"), sample_rows), "urls")
     totals = sample.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     judged = lexical_features(rows)
     if totals.n and 0 < totals.blocked < totals.n:
-        # at most as many suffixes as the sample has rows
         rate = totals.blocked / totals.n
-        rates = sample.groupBy("suffix").agg(
-            ((F.sum("label") + rate) / (F.count("*") + 1)).alias("suffix_rate")
-        )
-        known = F.coalesce("suffix_rate", F.lit(rate)).alias("suffix_rate")
-
-        def assembled(x: DataFrame) -> DataFrame:
-            x = x.join(F.broadcast(rates), "suffix", "left").withColumn("suffix_rate", known)
-            return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(x)
-
+        rates, rates_of_others = _suffix_rates(sample, rate)
+        vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        training = vector.transform(sample.join(rates_of_others, ["suffix", "fold"]))
         learner = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, maxBins=32)
-        model = learner.fit(assembled(sample).select("features", "label"))
-        judged = model.transform(assembled(judged))
+        model = learner.fit(training.select("features", "label"))
+        # at most as many suffixes as the sample has rows
+        known = F.coalesce("suffix_rate", F.lit(rate)).alias("suffix_rate")
+        judged = judged.join(F.broadcast(rates), "suffix", "left").withColumn("suffix_rate", known)
+        judged = model.transform(vector.transform(judged))
         probability = F.element_at(vector_to_array("probability"), 2)
     else:
         probability = F.lit(0.0)

@@ -1,6 +1,7 @@
 """Quality rules, URL verdicts and secrets, against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -16,7 +17,7 @@ from siftrank.llm.secrets import (
     spans_of,
     without_secrets,
 )
-from siftrank.llm.url_filters import judged_urls
+from siftrank.llm.url_filters import _sample, judged_urls
 
 LOOP = "alpha beta gamma delta epsilon zeta eta theta iota "
 PROSE = (
@@ -97,12 +98,46 @@ def test_urls(spark):
         host, path, rule, verdict = brute_url(url)
         assert (found[k].host, found[k].path, found[k].rule) == (host, path, rule), url
         assert found[k].verdict in ("allow", "block") and verdict in (None, found[k].verdict)
-    # hosts like those that rules block are blocked without a rule
     assert judged_urls(pages.where("false"), URL_RULES).collect() == []
     alone = judged_urls(pages.where("page_id < 4"), URL_RULES).collect()
     assert {r.verdict for r in alone} == {"allow"}
 
 
+def test_trees_judge_hosts_they_have_not_seen(spark):
+    """Blocked URLs have long paths of digits, under any host and suffix."""
+    rng = random.Random(3)
+    rows, expected = [], {}
+    for k in range(1500):
+        bad = rng.random() < 0.5
+        kind = ("bad" if bad else "good") if k % 3 else rng.choice(["x", "y"])
+        word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 9)))
+        path = "/".join(str(rng.randrange(10**9)) for _ in range(4)) if bad else word()
+        host = f"{word()}{k}.{kind}.{rng.choice(['com', 'net', 'org'])}"
+        rows.append((k, f"http://{host}/{path}"))
+        if kind in "xy":
+            expected[k] = "block" if bad else "allow"
+    rules = [(v, f"{kind}.{s}/") for kind, v in (("bad", "block"), ("good", "allow")) for s in ("com", "net", "org")]
+    # one URL fills a third of the table
+    pages = spark.createDataFrame(rows + [(9999, "http://hot.good.com/")] * 700, "page_id long, url string")
+    found = {r.page_id: r.verdict for r in judged_urls(pages, rules, sample_rows=400).collect()}
+    right = sum(found[k] == v for k, v in expected.items())
+    assert right >= 0.95 * len(expected)
+
+
+def test_samples_are_of_distinct_urls_and_scans_stay_whole(spark, tmp_path):
+    rows = [(f"http://h{k}.a.com/{k}", f"h{k}.a.com", f"/{k}", "allow") for k in range(300)]
+    rows += [("http://hot.a.com/", "hot.a.com", "/", "block")] * 3000
+    frame = spark.createDataFrame(rows, "url string, host string, path string, given string")
+    for k in range(12):
+        frame.limit(1).write.mode("append").parquet(str(tmp_path / "urls"))
+    sample = _sample(frame, 200).collect()
+    assert len(sample) == len({r.url for r in sample}) == 200
+    assert len(_sample(frame, 1000).collect()) == 301
+    files = spark.read.option("mergeSchema", False).parquet(str(tmp_path / "urls"))
+    plan = _sample(files, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce " not in plan
+
+
 def brute_base(text):
     spans = []
     key = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"
