@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.words import hashed_words, mixed
+from siftrank.operators.ranges import in_ranges
+from siftrank.session import written
 
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 _FILTER_BITS = 22
@@ -192,6 +194,31 @@ def _compared(table: _Items, words: np.ndarray, at: np.ndarray) -> Iterator[tupl
         begin = end
 
 
+def _blocks(items: DataFrame, most_items: int, most_chars: int) -> list[DataFrame]:
+    """``items`` in blocks of so many items and characters; a longer one is a block by itself.
+
+    Blocks follow the items' order, so one that is there very often is in several.
+    """
+    used = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(used), F.lit(0)).alias("chars")).first()
+    if size.n <= most_items and size.chars <= most_chars:
+        return [items]
+    tied = items.withColumns({"used": used, "tie": F.monotonically_increasing_id()})
+    ranged = in_ranges(tied, ["item_id", "text", "tie"], 1 + size.n // most_items)
+    earlier = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    chars = F.floor(F.coalesce(F.sum("used").over(earlier), F.lit(0)) / most_chars)
+    block = F.struct("part", F.floor(F.col("nth") / most_items).alias("nth"), chars.alias("chars"))
+    numbered = written(ranged.select("item_id", "text", block.alias("block")), "items")
+    # a row for each block
+    names = numbered.select("block.*").distinct().orderBy("part", "nth", "chars").collect()
+    return [
+        numbered.where(
+            (F.col("block.part") == r.part) & (F.col("block.nth") == r.nth) & (F.col("block.chars") == r.chars)
+        ).select("item_id", "text")
+        for r in names
+    ]
+
+
 def _found(items, share: float, batches) -> Iterator[pa.RecordBatch]:
     table = object.__new__(_Items)
     vars(table).update(items.value)
@@ -215,7 +242,7 @@ def _found(items, share: float, batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows)),
-                    pa.array(ids, type=pa.int64()),
+                    pa.array(ids, type=table.id_type),
                     *(pa.array(x, type=pa.int64()) for x in (starts, ends, equal)),
                 ],
                 ["id", "item_id", "start_word", "end_word", "n_equal"],
@@ -243,27 +270,27 @@ def benchmark_overlaps(
     those of fewer than five are found only word for word at the default share.
 
     Null and empty texts contain nothing. Repeated documents are found each by
-    itself, repeated items too. Null ids are kept. Other columns are ignored.
+    itself, repeated items too. Null ids are kept; ids may be of any type. Other columns are ignored.
     If either table is empty, so is the result.
 
     The benchmark is worked through in blocks of bounded size, each of which is
     sent to all tasks and compared with all documents.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    id_type, item_type = texts.schema["id"].dataType, items.schema["item_id"].dataType
+    schema = (
+        f"id {id_type.simpleString()}, item_id {item_type.simpleString()}, "
+        "start_word long, end_word long, n_equal long"
     )
-    id_type = texts.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, item_id long, start_word long, end_word long, n_equal long"
-    size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    blocks = 1 + max(size.n // block_items, (size.chars or 0) // block_chars)
     spark, found = docs.sparkSession, None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        own = part.toPandas()
-        sent = spark.sparkContext.broadcast(
-            vars(_Items(own.item_id.tolist(), own.text.tolist(), min_words, share, shortest_item))
+    for part in _blocks(items, block_items, block_chars):
+        own = part.toArrow()
+        table = _Items(
+            own["item_id"].to_pylist(), own["text"].to_pylist(), min_words, share, shortest_item
         )
+        table.id_type = own.schema.field("item_id").type
+        sent = spark.sparkContext.broadcast(vars(table))
         hits = texts.mapInArrow(lambda it, sent=sent: _found(sent, share, it), schema)
         found = hits if found is None else found.unionByName(hits)
     return found.withColumnRenamed("id", id_col)

@@ -152,3 +152,21 @@ def test_items_of_few_words_in_the_query(spark, tmp_path):
     )
     found = collected(op10_benchmark_overlaps(spark, str(tmp_path)))
     assert found == [(1, 1, 1, 5, 4), (2, 2, 0, 2, 2), (3, 3, 1, 2, 1)]
+
+
+def test_items_with_ids_of_any_type_in_many_blocks(spark):
+    """The same rows for one block and for fifty, for texts as ids and repeated items."""
+    r = random.Random(12)
+    words = [f"v{k}" for k in range(200)]
+    items = [(f"item {k % 45}", " ".join(r.choices(words, k=r.randrange(3, 40)))) for k in range(60)]
+    items += [("same", items[0][1])] * 30 + [(None, items[1][1]), ("null", None)]
+    docs = [(k, " ".join(r.choices(words, k=20) + items[k % 60][1].split() + r.choices(words, k=9))) for k in range(80)]
+    texts = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(items, "item_id string, text string").repartition(4)
+    one = benchmark_overlaps(texts, asked, shortest_item=1)
+    many = benchmark_overlaps(texts, asked, shortest_item=1, block_items=2)
+    small = benchmark_overlaps(texts, asked, shortest_item=1, block_chars=300)
+    assert dict(one.dtypes)["item_id"] == "string"
+    rows = sorted(map(str, one.collect()))
+    assert len(rows) > 80 and any("same" in x for x in rows)
+    assert sorted(map(str, many.collect())) == rows == sorted(map(str, small.collect()))
