@@ -1,8 +1,10 @@
 """From raw documents to token ids: five stages, each on what the one before kept.
 
 Rows are told apart by their id and all their columns, so repeated and null ids do no
-harm. Every stage keeps the columns of its input but for the last, which has
-``(doc_id, n_tokens, token_ids, text)``. Empty tables stay empty.
+harm. Every stage keeps the columns of its input, whatever their names, but for the last,
+which has ``(doc_id, n_tokens, token_ids, text)``. Empty tables stay empty. Texts are
+looked at whole, however long; null and empty ones, and those without words, are neither
+toxic nor copies nor contaminated, hold no secret, and have no tokens.
 """
 
 import public_tokenizers
@@ -19,9 +21,16 @@ from siftrank.session import written
 LABELLED_ROWS = 20_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    return docs.withColumn("_row", F.struct("doc_id", F.xxhash64(*plain).alias("row")))
+def _free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
+def _keyed(docs: DataFrame, row: str) -> DataFrame:
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    return docs.withColumn(row, F.struct("doc_id", F.xxhash64(*plain).alias("row")))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,31 +43,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of texts that share 0.8 of their
     five-word shingles, directly or through others; texts without words stay."""
-    keyed = _keyed(docs)
-    groups = similar_components(keyed, n=5, percent=80, id_col="_row")
-    first = groups.where(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    row, copy = _free_name(docs, "row"), _free_name(docs, "copy")
+    keyed = _keyed(docs, row)
+    groups = similar_components(keyed, n=5, percent=80, id_col=row)
+    first = groups.where(F.col(row) == F.col("component_id")).select(row).distinct()
     # a repeated row is a copy, unless it has no words
     wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    copy = F.when(wordless, F.monotonically_increasing_id()).otherwise(-1)
-    kept = keyed.withColumn("_copy", copy).join(first, "_row", "left_semi")
-    return kept.dropDuplicates(["_row", "_copy"]).select(docs.columns)
+    number = F.when(wordless, F.monotonically_increasing_id()).otherwise(-1)
+    kept = keyed.withColumn(copy, number).join(first, row, "left_semi")
+    return kept.dropDuplicates([row, copy]).drop(row, copy)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    keyed = _keyed(docs)
+    row = _free_name(docs, "row")
+    keyed = _keyed(docs, row)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = benchmark_overlaps(keyed, benchmark, id_col="_row", shortest_item=1)
-    hits = hits.select("_row").distinct()
+    hits = benchmark_overlaps(keyed, benchmark, id_col=row, shortest_item=1)
+    hits = hits.select(row).distinct()
     # a table of known size, so that it is sent to all tasks only if it is small
-    return keyed.join(written(hits, "hits"), "_row", "left_anti").select(docs.columns)
+    return keyed.join(written(hits, "hits"), row, "left_anti").drop(row)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with ``[SECRET]`` in place of secrets and ``n_chars`` brought up to date."""
     masked = docs.withColumn("text", without_secrets(F.col("text")))
+    if "n_chars" not in docs.columns:
+        return masked
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return masked.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(docs.columns)
+    return masked.withColumn("n_chars", F.coalesce(n_chars, "n_chars"))
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

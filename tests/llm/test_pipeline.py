@@ -90,6 +90,23 @@ def test_empty_corpus(spark, folder):
         assert docs.collect() == []
 
 
+def test_columns_of_any_name_and_long_texts(spark, folder):
+    """Columns named like those that stages make, no ``n_chars``, and a text of a megabyte."""
+    rows = [(1, "a b c d e f", "r1", "c", 1), (1, "a b c d e f", "r1", "c", 1), (2, None, "r", None, 2)]
+    rows += [(3, "long word " * 100_000 + "password=abcdef123456", "r", "c", 3), (4, "", None, "c", 4)]
+    schema = "doc_id long, text string, row string, copy string, `_row` int"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, folder), name)
+        assert docs.dtypes == [("doc_id", "bigint"), ("text", "string"), ("row", "string"), ("copy", "string"), ("_row", "int")]
+    found = {r.doc_id: r for r in docs.collect()}
+    assert len(found) == docs.count() == 4
+    assert tuple(found[1])[2:] == ("r1", "c", 1)
+    assert found[3].text.endswith("word [SECRET]") and len(found[3].text) > 1_000_000
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert {r.doc_id: r.text for r in ids.collect()}[3] == found[3].text
+
+
 def test_one_query_per_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
