@@ -30,8 +30,10 @@ FREQUENT_MOST = 100_000
 COUNTED_AT_ONCE = 2_000_000
 # Lists of at most so many sets are looked through pair by pair.
 SHORT_LIST = 32
-# Entries of a longer list that are looked through, or skipped, together.
-BLOCK_ENTRIES = 128
+# Sets of a longer list that are compared in one task with as many others, fewer of
+# long texts: together they have so many shingles at most.
+PART_SETS = 1024
+PART_SHINGLES = 2_000_000
 # Rows of one or two numbers that are sent to all tasks at most.
 BROADCAST_ROWS = 1_000_000
 # Leaders that a set is compared with at once.
@@ -276,15 +278,19 @@ def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
 def _leader_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each set with the leaders of most of its lists; other leaders every turn.
 
-    At first with one of them, which settles most, then with several. A list's block for sets of one size has the leader that comes first by hash.
-    A set looks at the blocks of its own size and of the next smaller one.
+    At first with one of them, which settles most, then with several. A list's block
+    for sets of one size has as leader, at first, the set that is in most lists: the
+    text that copies were made from shares more with each of them than they do with
+    one another. Later it is the one that comes first by hash. A set looks at the
+    blocks of its own size and of the next smaller one.
     """
     at = F.xxhash64("set", F.lit(turn))
-    first = F.min(F.struct(at.alias("h"), "set", "root", "n", "rest"))
+    key = [at] if turn else [-F.col("long"), at]
+    first = F.min(F.struct(*(c.alias(f"k{k}") for k, c in enumerate(key)), "set", "root", "n", "rest"))
     leaders = lists.groupBy("t", "block").agg(first.alias("l"))
     leaders = _other(leaders.select("t", "block", "l.set", "l.root", "l.n", "l.rest"), "root")
     looking = lists.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
-    met = looking.join(leaders, ["t", "block"])
+    met = looking.join(_sent_if_small(written(leaders, "leaders")), ["t", "block"])
     met = met.where((F.col("root") != F.col("other_root")) & _fits(percent))
     shared = met.groupBy("set", "other").agg(F.count("*").alias("lists"))
     best = Window.partitionBy("set").orderBy(F.desc("lists"), "other")
@@ -315,102 +321,119 @@ def _open_lists(lists: DataFrame) -> DataFrame:
 
 
 def _other_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share enough lists, between neighbouring blocks.
+    """Pairs (a, b) across components that may be similar."""
+    return _grouped_pairs(open_lists, percent).select("a", "b")
+
+
+def _grouped_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, t, w, i, j)``: pairs across components that may be similar, each with a
+    group of sets that are compared together.
 
     Lists in which they might meet besides these are short ones, and what meets
-    there is settled already. Entries are kept in blocks: a set gets whole blocks,
-    and those of its lists together. Which of two sets looks at the other differs
-    from list to list, so what both have counted is added up before it decides.
+    there is settled already. So of what two sets share, all is in open lists. In
+    the first list that they share, what is ``ahead`` for each, open lists included,
+    bounds what they share; a list that leaves too little ahead is passed over, be it
+    the pair's first or not.
+
+    Blocks ``w - 1`` and ``w`` of a list make a window, and its sets are dealt into
+    parts by hash: a group has the sets of two parts, however long the list is.
     """
-    parts = F.ceil(F.col("list_size") / BLOCK_ENTRIES)
-    entry = F.struct("set", "root", "n", "rest", "minor")
-    blocks = (
-        open_lists.withColumn("part", F.pmod(F.xxhash64("set"), parts))
-        .groupBy("t", "block", "part")
-        .agg(F.collect_list(entry).alias("entries"))
+    forward = Window.partitionBy("set").orderBy("rest")
+    window = F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("w")
+    entries = open_lists.withColumn("ahead", F.row_number().over(forward)).select(
+        "t", window, "block", "set", "root", "n", "rest", "minor", "ahead"
     )
-    unseen = open_lists.groupBy("set").agg(F.count_if(~F.col("minor")).cast("int").alias("unseen"))
-    looking = open_lists.where("minor").join(unseen, "set")
-    looking = _other(looking, "root", "unseen").withColumn(
-        "block", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1))
+    entries = written(entries, "windows")
+    parts = F.greatest(F.count("*") / PART_SETS, F.sum("n") / PART_SHINGLES)
+    sizes = entries.groupBy("t", "w").agg(
+        F.ceil(parts).cast("int").alias("parts"),
+        F.max("minor").alias("any_minor"),
+        F.count("*").alias("k"),
     )
-    met = looking.join(blocks, ["t", "block"])
-    counted = (
-        met.select("other", "other_root", "m", "other_rest", "other_unseen", "entries")
-        .repartition("other")
-        .sortWithinPartitions("other")
-        .mapInArrow(
-            lambda it: _met(percent, it), "a long, b long, lists long, left int, n int, m int"
-        )
+    sizes = sizes.where("any_minor AND k > 1").select("t", "w", "parts")
+    dealt = entries.join(_sent_if_small(written(sizes, "sizes")), ["t", "w"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    groups = dealt.select("*", other).select(
+        "t",
+        "w",
+        F.least("part", "other").alias("i"),
+        F.greatest("part", "other").alias("j"),
+        *("part", "block", "set", "root", "n", "rest", "minor", "ahead"),
     )
-    pairs = counted.groupBy("a", "b").agg(
-        F.sum("lists").alias("lists"),
-        F.max("left").alias("left"),
-        F.first("n").alias("n"),
-        F.first("m").alias("m"),
+    met = groups.groupBy("t", "w", "i", "j").applyInArrow(
+        lambda table: _met(percent, table), "a long, b long, t long, w int, i int, j int"
     )
-    pairs = pairs.where((F.col("left") >= _needed(percent)) & _enough(percent, F.col("lists")))
-    return pairs.select("a", "b")
-
-
-def _met(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sets with the blocks of their lists, sorted by set: what they share with others."""
-    waiting = None
-    for batch in batches:
-        if waiting is not None:
-            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-        sets = batch.column(0).to_numpy()
-        whole = int(np.searchsorted(sets, sets[-1]))
-        waiting = batch.slice(whole)
-        if whole:
-            yield _met_pairs(percent, batch.slice(0, whole))
-    if waiting is not None:
-        yield _met_pairs(percent, waiting)
+    group = F.min(F.struct("t", "w", "i", "j")).alias("g")
+    return met.groupBy("a", "b").agg(group).select("a", "b", "g.*")
 
 
-def _met_pairs(percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """``(a, b, lists, left, n, m)``: what a set saw of a pair in the lists it looked at.
-
-    The other one of the pair may have seen more, in at most as many lists as the set
-    is in without looking (``unseen``). Only pairs that cannot be similar even so are
-    left out. A list in which both look is counted by the greater one.
+def _met(percent: int, table: pa.Table) -> pa.Table:
+    """Of the sets of two parts: the pairs that may be similar."""
+    columns = ("w", "i", "j", "part", "block", "set", "root", "n", "rest", "ahead", "minor")
+    w, i, j, part, block, own, root, n, rest, ahead, minor = (
+        table[c].to_numpy() for c in columns
+    )
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    found = []
+    # rows of a matrix of pairs, some of them at a time
+    for k in range(0, len(left), 256):
+        x, y = left[k : k + 256, None], right[None, :]
+        least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        fits = (root[x] != root[y]) & (minor[x] | minor[y])
+        fits &= 100 * least >= percent * most
+        # both in the earlier block: the window before has them
+        fits &= (block[x] == w[0]) | (block[y] == w[0])
+        if i[0] == j[0]:
+            fits &= own[x] < own[y]
+        needed = percent * (least + most) / (100 + percent)
+        fits &= np.minimum(rest[x], rest[y]) >= needed
+        after = -(-percent * most // 100) - 1
+        fits &= np.minimum(ahead[x], ahead[y]) >= needed - after
+        at = np.nonzero(fits)
+        found.append(np.stack([own[x[at[0], 0]], own[y[0, at[1]]]]))
+    pairs = np.sort(np.concatenate(found, axis=1), axis=0)
+    same = {c: pa.array(np.repeat(table[c].to_numpy()[:1], pairs.shape[1])) for c in ("t", "w", "i", "j")}
+    return pa.table({"a": pairs[0], "b": pairs[1]} | same)
+
+
+def _checked_groups(pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the stored pairs with groups whose whole texts are similar enough.
+
+    A text goes to each group that needs it, once.
     """
-    lists = batch.column(5)
-    entries = lists.flatten()
-    each = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-    other, other_root, m, other_rest, unseen = (batch.column(k).to_numpy()[each] for k in range(5))
-    own, root, n, rest = (entries.field(k).to_numpy() for k in range(4))
-    minor = entries.field(4).to_numpy(zero_copy_only=False)
-    fits = (root != other_root) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-    order = np.flatnonzero(fits)
-    order = order[np.lexsort((own[order], other[order]))]
-    other, own, n, m, unseen = (x[order].astype(np.int64) for x in (other, own, n, m, unseen))
-    left = np.minimum(rest, other_rest)[order].astype(np.int32)
-    counted = (~minor[order] | (own < other)).astype(np.int64)
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = (other[1:] != other[:-1]) | (own[1:] != own[:-1])
-    at = np.flatnonzero(first)
-    if len(at):
-        shared = np.diff(np.append(at, len(order)))
-        counted, left = np.add.reduceat(counted, at), np.maximum.reduceat(left, at)
-        needed = percent * (n[at] + m[at]) / (100 + percent)
-        after = -(-percent * np.maximum(n[at], m[at]) // 100) - 1
-        can = (left >= needed) | (unseen[at] > 0)
-        can &= shared + unseen[at] >= needed - after
-        at, counted, left = at[can], counted[can], left[can]
-    columns = [
-        np.minimum(own[at], other[at]),
-        np.maximum(own[at], other[at]),
-        counted,
-        left,
-        np.minimum(n[at], m[at]).astype(np.int32),
-        np.maximum(n[at], m[at]).astype(np.int32),
-    ]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in columns], ["a", "b", "lists", "left", "n", "m"]
+    group = ["t", "w", "i", "j"]
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set"), *group).distinct()
+    texts = packed.join(_sent_if_small(written(ends, "ends")), "set").select("set", "packed", *group)
+    both = pairs.groupBy(*group).cogroup(texts.groupBy(*group))
+    return both.applyInArrow(
+        lambda asked, known: _checked_group(n, percent, asked, known), "a long, b long"
     )
 
 
+def _checked_group(n: int, percent: int, asked: pa.Table, known: pa.Table) -> pa.Table:
+    unpack = zstandard.ZstdDecompressor().decompress
+    packed = dict(zip(known["set"].to_pylist(), known["packed"], strict=True))
+    held: dict[int, np.ndarray] = {}
+
+    def shingles(number: int) -> np.ndarray:
+        if number not in held:
+            text = pa.array([unpack(packed[number].as_py()).decode()])
+            held[number] = next(row_shingles(words, n) for _, words, _ in hashed_words(text))
+        return held[number]
+
+    asked = asked.select(["a", "b"]).sort_by([("a", "ascending"), ("b", "ascending")])
+    links = []
+    for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
+        left, right = shingles(a), shingles(b)
+        if len(left) > len(right):
+            left, right = right, left
+        near = np.minimum(np.searchsorted(right, left), len(right) - 1)
+        both = int(np.count_nonzero(right[near] == left))
+        links.append(100 * both >= percent * (len(left) + len(right) - both))
+    return asked.filter(pa.array(links, type=pa.bool_()))
+
+
 def similar_components(
     docs: DataFrame,
     n: int = 5,
@@ -469,7 +492,7 @@ def similar_components(
     roots = _joined(None, written(checked_links(tried, packed, n, percent), "links"))
 
     # long lists: leaders first, as long as that settles much, then what is left
-    whole = lists.where("is_long").select("t", "block", "set", "n", "rest")
+    whole = lists.where("is_long").select("t", "block", "set", "n", "rest", "long")
     size, before, turn = whole.count(), None, 0
     while size:
         labelled = whole.withColumn("root", F.col("set"))
@@ -477,12 +500,13 @@ def similar_components(
         labelled = written(labelled, "lists")
         left = _work(labelled)
         last = left <= size // 4 or (before is not None and left > 0.8 * before)
-        make = _other_pairs(labelled, percent) if last else _leader_pairs(labelled, percent, turn)
+        make = _grouped_pairs(labelled, percent) if last else _leader_pairs(labelled, percent, turn)
         pairs = written(make.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        roots = _joined(roots, written(checked_links(pairs, packed, n, percent), "links"))
+        check = _checked_groups if last else checked_links
+        roots = _joined(roots, written(check(pairs, packed, n, percent), "links"))
         if last:
             break
+        tried = tried.unionByName(pairs)
         before, turn = left, turn + 1
     labels = rows.select("id", "n", F.col("set").alias("root"))
     if roots is not None:
