@@ -1,11 +1,13 @@
-"""The main text of web pages, by markup and by what a host repeats.
-
-A page is cut into blocks. The blocks of a host's pages are one token stream, whose
-suffixes are sorted up to the length from which a repeated substring counts as long;
-neighbours that agree so far and come from many pages are what the host repeats.
-Blocks that such substrings cover are boilerplate, the rest stays. A check against the
-markup follows: text inside of an article is the article's, however often the host
-repeats it, and menus, forms, adverts and the like never are.
+"""The main text of web pages, by what a host repeats and by markup.
+
+A page is cut into blocks. The blocks of many pages are one token stream, whose
+suffixes are sorted up to the length from which a repeated substring counts as long.
+Suffixes that agree so far are a class; classes of all streams are added up by host,
+so that it does not matter which pages a task has seen together. A substring that
+several pages of a host have in the same place of their layout is what the host
+repeats, and blocks that such substrings cover are boilerplate. The markup is checked
+after that: it tells menus, forms, adverts and the like, and where an article is, whose
+own lines stay although other articles may share them.
 """
 
 import re
@@ -14,10 +16,10 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.words import hashed_words
+from siftrank.llm.words import hashed_words, mixed, run_hashes
 from siftrank.session import written
 
 # Elements by what their text is.
@@ -49,26 +51,53 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# First and last words of a class that is a state of what it stands on.
+_STATE_FIRST = set("has no with without is not non js can hide show".split())
+_STATE_LAST = set("open opened closed none off on enabled disabled visible hidden".split())
+# Elements that are the page, or its text, whatever their class says.
+_WHOLE = {"html", "body", "main", "article"}
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 BODY, MAIN, ARTICLE = 0, 1, 2
+_FACTOR = np.uint64(0xA0761D6478BD642F)
 LONG = 8
+# Of so many suffixes in a row one is counted, and those that begin a block.
+STEP = 8
+# Characters of text whose suffixes are sorted together.
 SHARD_CHARS = 2_000_000
+# Substrings of hosts that are sent to all tasks at most.
+SENT_ROWS = 1_000_000
+# How far places in the layout may differ, as a variance.
+SAME_PLACE = 0.25
+# A zone with less text than this share of the text outside of it is no main text.
+LEAST_ZONE = 0.25
 
 
 def _marks(attributes: str) -> set[str]:
     words: set[str] = set()
     for m in _MARKS.finditer(attributes):
-        words.update(w.lower() for w in _WORDS.findall(m[2] or m[3] or m[4] or ""))
+        for name in (m[2] or m[3] or m[4] or "").split():
+            own = [w.lower() for w in _WORDS.findall(name)]
+            if len(own) == 1 or (own and own[0] not in _STATE_FIRST and own[-1] not in _STATE_LAST):
+                words.update(own)
     return words
 
 
 def page_blocks(html: str) -> list[tuple[int, str]]:
-    """``(zone, text)`` of each block in page order, without those never part of a text."""
+    """``(zone, text)`` of each block in page order, without those never part of a text.
+
+    Classes and forms hide an article only if the page has other text: where they
+    hide all, what they say of an element that holds an article is not believed.
+    """
+    return _blocks(html, False) or (_blocks(html, True) if "<" in html else [])
+
+
+def _blocks(html: str, believe_articles: bool) -> list[tuple[int, str]]:
     blocks: list[tuple[int, str]] = []
     held: list[str] = []
-    # open elements that matter: name, zone, and 0 for text, 1 for none, 2 for headings only
+    # open elements that matter: name, zone, and 0 for text, 1 for none because of a class or
+    # form, 2 for headings only, 3 for none
     stack: list[tuple[str, int, int]] = [("", BODY, 0)]
     zone = off = at = 0
 
@@ -108,11 +137,17 @@ def page_blocks(html: str) -> list[tuple[int, str]]:
                 stack.pop()
                 _, zone, off = stack[-1]
         new_zone, new_off = zone, off
-        if off != 1:
+        if off == 1 and believe_articles and name in ("article", "main"):
+            new_zone, new_off = ARTICLE if name == "article" else max(zone, MAIN), 0
+        elif off != 1 and off != 3:
             attributes = m[4]
-            marks = _marks(attributes) if "=" in attributes else set()
-            if name in _NEVER or marks & _AROUND or (attributes and _HIDDEN.search(attributes)):
+            marks = _marks(attributes) if "=" in attributes and name not in _WHOLE else set()
+            if name in _NEVER and name != "form":
+                new_off = 3
+            elif name == "form" or marks & _AROUND:
                 new_off = 1
+            elif attributes and name not in _WHOLE and _HIDDEN.search(attributes):
+                new_off = 3
             elif name == "header" or marks & _TOP:
                 new_off = 2 if zone else 1
             elif off == 2 and name in _HEADINGS:
@@ -132,23 +167,6 @@ def page_blocks(html: str) -> list[tuple[int, str]]:
     return blocks
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        zones, texts = [], []
-        for html in batch.column(batch.num_columns - 1):
-            blocks = page_blocks(html.as_py() or "")
-            zones.append([z for z, _ in blocks])
-            texts.append([t for _, t in blocks])
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:-1],
-                pa.array(zones, pa.list_(pa.int32())),
-                pa.array(texts, pa.list_(pa.string())),
-            ],
-            [*batch.schema.names[:-1], "zones", "blocks"],
-        )
-
-
 def suffix_classes(tokens: np.ndarray, length: int) -> np.ndarray:
     """For each suffix the number of its class; classes agree in ``length`` tokens.
 
@@ -184,59 +202,240 @@ def covered_tokens(
     return np.cumsum(covered[:-1]) > 0
 
 
-def _chosen(table: pa.Table, least_pages: int, least_share: float) -> pa.Table:
-    """The main text of one host's, or part of a host's, pages."""
-    n_pages = table.num_rows
-    zones = [z.as_py() for z in table.column("zones")]
-    blocks = [b.as_py() for b in table.column("blocks")]
-    flat = pa.array([t for page in blocks for t in page], type=pa.string())
-    page_of = np.repeat(np.arange(n_pages), [len(b) for b in blocks])
-    parts = list(hashed_words(flat)) if len(flat) else []
-    # every block ends with a mark, so that places in the page's layout count
-    lengths = np.concatenate([np.diff(at) for _, _, at in parts] or [[]]).astype(np.int64)
-    words = np.concatenate([w for _, w, _ in parts] or [np.empty(0, np.uint64)])
-    ends = np.cumsum(lengths + 1) - 1
-    tokens = np.zeros(len(words) + len(lengths), dtype=np.uint64)
-    is_word = np.ones(len(tokens), dtype=bool)
-    is_word[ends] = False
-    tokens[is_word] = words
-    block_of = np.repeat(np.arange(len(lengths)), lengths + 1)
-    covered = covered_tokens(tokens, page_of[block_of], n_pages, least_pages, least_share)
-    n_covered = np.bincount(block_of[covered & is_word], minlength=len(lengths))
-    boilerplate = 2 * n_covered > lengths
-    texts, k = [], 0
-    for page, page_zones in zip(blocks, zones, strict=True):
-        best = max(page_zones, default=BODY)
-        kept = []
-        for zone, text in zip(page_zones, page, strict=True):
-            if zone == best and (zone == ARTICLE or not boilerplate[k]):
-                kept.append(text)
-            k += 1
-        texts.append("\n\n".join(kept))
-    names = [c for c in table.column_names if c not in ("zones", "blocks", "host", "shard")]
-    return table.select(names).append_column("text", pa.array(texts, type=pa.string()))
+class _Stream:
+    """The blocks of some pages as one stream of tokens.
+
+    Every block ends with a mark, so that a block's end counts in a substring. For each
+    token it says the ``block`` and the ``page``, for each block its ``zone``, its
+    ``page`` and its place in the zone from the ``front`` and from the ``back``.
+    """
+
+    def __init__(self, pages: list[list[tuple[int, str]]]):
+        self.n_pages = len(pages)
+        flat = pa.array([t for page in pages for _, t in page], type=pa.string())
+        parts = list(hashed_words(flat)) if len(flat) else []
+        self.lengths = np.concatenate([np.diff(at) for _, _, at in parts] or [[]]).astype(np.int64)
+        words = np.concatenate([w for _, w, _ in parts] or [np.empty(0, np.uint64)])
+        self.tokens = np.zeros(len(words) + len(self.lengths), dtype=np.uint64)
+        self.begins = np.cumsum(self.lengths + 1) - self.lengths - 1
+        self.is_word = np.ones(len(self.tokens), dtype=bool)
+        self.is_word[self.begins + self.lengths] = False
+        self.tokens[self.is_word] = words
+        self.block = np.repeat(np.arange(len(self.lengths)), self.lengths + 1)
+        self.block_page = np.repeat(np.arange(self.n_pages), [len(p) for p in pages])
+        self.page = self.block_page[self.block]
+        self.zone = np.array([z for page in pages for z, _ in page], dtype=np.int64)
+        key = self.block_page * 3 + self.zone
+        order = np.argsort(key, kind="stable")
+        fresh = np.diff(key[order], prepend=-1) != 0
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+        size = np.bincount(key, minlength=3 * self.n_pages)
+        self.front = np.empty(len(key), dtype=np.int64)
+        self.front[order] = np.arange(len(key)) - first
+        self.back = size[key] - 1 - self.front
+
+    def numbers(self) -> np.ndarray:
+        """A number for each suffix, of its first ``LONG`` tokens."""
+        n = max(0, len(self.tokens) - LONG + 1)
+        total = np.zeros(n, dtype=np.uint64)
+        for k in range(LONG):
+            total = total * _FACTOR + self.tokens[k : k + n]
+        return mixed(total)
+
+    def starts(self, numbers: np.ndarray) -> np.ndarray:
+        """Suffixes that are looked at: of ``STEP`` in a row the one with the least number,
+        and those that begin a block. What repeats is looked at wherever it stands."""
+        chosen = np.zeros(len(numbers), dtype=bool)
+        if len(numbers) >= STEP:
+            n = len(numbers) - STEP + 1
+            least, at = numbers[:n].copy(), np.arange(n)
+            for k in range(1, STEP):
+                less = numbers[k : k + n] < least
+                least[less] = numbers[k : k + n][less]
+                at[less] = np.flatnonzero(less) + k
+            chosen[at] = True
+        chosen[self.begins[self.begins < len(numbers)]] = True
+        starts = np.flatnonzero(chosen)
+        # a substring lies within one page
+        return starts[self.page[starts] == self.page[starts + LONG - 1]]
+
+    def contents(self) -> np.ndarray:
+        """A number for each page's text; pages without any have 0."""
+        found = np.zeros(self.n_pages, dtype=np.uint64)
+        at = np.flatnonzero(np.diff(self.page, prepend=-1))
+        if len(at):
+            found[self.page[at]] = run_hashes(self.tokens, at)
+        return found
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Rows (…, html) with their pages' blocks, about ``SHARD_CHARS`` characters together."""
+    for batch in batches:
+        first, pages, size = 0, [], 0
+        for k, html in enumerate(batch.column(batch.num_columns - 1)):
+            pages.append(page_blocks(html.as_py() or ""))
+            size += sum(len(t) for _, t in pages[-1])
+            if size >= SHARD_CHARS:
+                yield batch.slice(first, k + 1 - first), pages
+                first, pages, size = k + 1, [], 0
+        if pages:
+            yield batch.slice(first), pages
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (host, html): for each host and class of suffixes a number, a bit for each of the
+    pages' contents, and sums of places from which mean and variance follow."""
+    for batch, pages in _in_pieces(batches):
+        stream = _Stream(pages)
+        numbers = stream.numbers()
+        starts = stream.starts(numbers)
+        if not len(starts):
+            continue
+        hosts = batch.column(0).dictionary_encode()
+        host = hosts.indices.to_numpy().astype(np.int64)
+        classes = suffix_classes(stream.tokens, LONG)[starts]
+        key = classes * len(hosts.dictionary) + host[stream.page[starts]]
+        # a page counts once for a class, where it has it first
+        once = np.lexsort((starts, stream.page[starts], key))
+        fresh = np.ones(len(once), dtype=bool)
+        fresh[1:] = (key[once][1:] != key[once][:-1]) | (
+            stream.page[starts[once]][1:] != stream.page[starts[once]][:-1]
+        )
+        at, key = starts[once[fresh]], key[once[fresh]]
+        group = np.flatnonzero(np.diff(key, prepend=-1))
+        page, block = stream.page[at], stream.block[at]
+        bits = np.uint64(1) << (stream.contents()[page] >> np.uint64(58))
+        front, back = stream.front[block], stream.back[block]
+        sums = [np.add.reduceat(x, group) for x in (np.ones_like(front), front, front**2, back, back**2)]
+        columns = [
+            hosts.dictionary.take(pa.array(host[page[group]])),
+            pa.array(numbers[at[group]].view(np.int64)),
+            pa.array(np.bitwise_or.reduceat(bits, group).view(np.int64)),
+            *map(pa.array, sums),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, _COUNTED)
+
+
+def _kept_zones(zones: np.ndarray, lengths: np.ndarray) -> set[int]:
+    """The zones that hold the main text: articles, unless they are little beside the rest
+    and so are cards, else the main element, unless that is, else all."""
+    body, main, article = (int(lengths[zones == z].sum()) for z in (BODY, MAIN, ARTICLE))
+    if article and article >= LEAST_ZONE * (main + body):
+        return {ARTICLE}
+    if main and main >= LEAST_ZONE * body:
+        return {MAIN}
+    return {BODY, MAIN}
+
+
+def _chosen(pages: list[list[tuple[int, str]]], repeated: list[np.ndarray]) -> list[str]:
+    """The main texts of pages, given the sorted numbers of what their hosts repeat: twice
+    a number, and one more if it also counts within articles."""
+    stream = _Stream(pages)
+    numbers = stream.numbers()
+    starts = stream.starts(numbers)
+    flags = np.zeros((2, len(starts)), dtype=bool)
+    page = stream.page[starts]
+    bounds = np.searchsorted(page, np.arange(len(pages) + 1))
+    for k, known in enumerate(repeated):
+        own = slice(bounds[k], bounds[k + 1])
+        if len(known[0]) and own.start < own.stop:
+            for f in (0, 1):
+                flags[f, own] = np.isin(numbers[starts[own]], known[f])
+    in_article = stream.zone[stream.block] == ARTICLE
+    covered = np.zeros(len(stream.tokens), dtype=bool)
+    for f in (0, 1):
+        steps = np.zeros(len(stream.tokens) + 1, dtype=np.int64)
+        np.add.at(steps, starts[flags[f]], 1)
+        np.add.at(steps, starts[flags[f]] + LONG, -1)
+        covered |= (np.cumsum(steps[:-1]) > 0) & (in_article == bool(f))
+    n_covered = np.bincount(stream.block[covered & stream.is_word], minlength=len(stream.lengths))
+    boilerplate = 2 * n_covered > stream.lengths
+    texts, first = [], 0
+    for blocks in pages:
+        last = first + len(blocks)
+        zones, lengths = stream.zone[first:last], stream.lengths[first:last]
+        drop = boilerplate[first:last].copy()
+        article = zones == ARTICLE
+        if 2 * lengths[article & drop].sum() > lengths[article].sum():
+            # most of an article is its text, whoever else has it
+            drop[article] = False
+        kept = _kept_zones(zones[~drop], lengths[~drop])
+        rows = zip(blocks, drop, strict=True)
+        texts.append("\n\n".join(text for (zone, text), gone in rows if zone in kept and not gone))
+        first = last
+    return texts
+
+
+def _extracted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, url, host, [repeated,] html): ``(id, url, text)``."""
+    none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64))
+    for batch, pages in _in_pieces(batches):
+        if sent is not None:
+            repeated = [sent.value.get(h, none) for h in batch.column(2).to_pylist()]
+        else:
+            repeated = [_numbers_of(r) if r else none for r in batch.column(3).to_pylist()]
+        texts = pa.array(_chosen(pages, repeated), type=pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["id", "url", "text"])
+
+
+def _numbers_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.array([r["number"] for r in rows], dtype=np.int64).view(np.uint64)
+    strict = np.array([r["in_articles"] for r in rows], dtype=bool)
+    return np.sort(numbers), np.sort(numbers[strict])
+
+
+_COUNTED = ["host", "number", "bits", "n", "front", "front2", "back", "back2"]
+
+
+def repeated_substrings(
+    rows: DataFrame, least_pages: int, least_in_articles: int | None = None
+) -> DataFrame:
+    """``(host, number, in_articles)`` of what at least so many different pages (host,
+    html) of a host have in the same place.
+
+    Pages are told apart by one of 64 bits of their text's number, so copies of a page
+    are one page, and now and then two that differ count as one.
+    """
+    kinds = "host string, number long, bits long, " + ", ".join(f"{c} long" for c in _COUNTED[3:])
+    sums = rows.select("host", "html").mapInArrow(_substrings, kinds).groupBy("host", "number").agg(
+        F.bit_or("bits").alias("bits"), *(F.sum(c).alias(c) for c in _COUNTED[3:])
+    )
+
+    def variance(of: str) -> Column:
+        mean = F.col(of) / F.col("n")
+        return F.col(f"{of}2") / F.col("n") - mean * mean
+
+    pages = F.bit_count("bits")
+    same = F.least(variance("front"), variance("back")) <= SAME_PLACE
+    in_articles = F.lit(False) if least_in_articles is None else pages >= least_in_articles
+    return sums.where(same & (pages >= least_pages)).select(
+        "host", "number", in_articles.alias("in_articles")
+    )
 
 
 def main_texts(
     pages: DataFrame,
     least_pages: int = 3,
-    least_share: float = 0.1,
+    least_in_articles: int | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
     """``(id_col, url_col, text, n_chars)``, a row per row of ``pages``.
 
-    Of pages with an article element its blocks; of pages with a main one its blocks
-    without boilerplate; of others all blocks without boilerplate. Boilerplate is a
-    block mostly covered by substrings of eight tokens or more that occur on at least
-    ``least_pages`` pages and the share ``least_share`` of a host's pages. Large
-    hosts are dealt out by a hash of the page into parts of about two million
-    characters each, and shares are those of the part.
+    The blocks of a page's articles, else those of its main element, else all, without
+    boilerplate: blocks mostly covered by substrings of eight tokens or more that
+    ``least_pages`` different pages of a host have in the same place of their layout.
+    Articles are left whole, because titles and first lines that articles share are in
+    the same place as well; with ``least_in_articles`` what so many pages have is taken
+    from them, too, unless that is most of an article. Articles that are little beside
+    the text outside of them are cards. How many pages a host has, and how long they
+    are, does not matter.
 
     Null and empty pages, and pages without any text, have an empty text. Repeated
-    rows count as pages of their own. Null ids are kept; pages without a host in their
-    URL are one host's. Other columns are ignored; an empty table gives an empty result.
+    rows are kept and count as one page. Null ids are kept; pages without a host in
+    their URL are one host's. Very long pages are read whole, one at a time. Other
+    columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select(
         F.col(id_col).alias("id"),
@@ -244,23 +443,20 @@ def main_texts(
         F.col(html_col).cast("string").alias("html"),
     )
     host = F.lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")))
-    rows = rows.withColumn("host", host)
-    sizes = rows.groupBy("host").agg(F.sum(F.length("html")).alias("chars"))
-    large = sizes.where(F.col("chars") > SHARD_CHARS).select(
-        "host", F.ceil(F.col("chars") / SHARD_CHARS).alias("shards")
-    )
-    # a table of known size, so that it is sent to all tasks only if it is small
-    large = written(large, "hosts")
-    dealt = F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("shards", F.lit(1)))
-    rows = rows.join(large, "host", "left").select("id", "url", "host", dealt.alias("shard"), "html")
+    rows = rows.select("id", "url", host.alias("host"), "html")
+    repeated = written(repeated_substrings(rows, least_pages, least_in_articles), "repeated")
+    sent = None
+    if repeated.count() <= SENT_ROWS:
+        held = repeated.toPandas()
+        sent = rows.sparkSession.sparkContext.broadcast(
+            {h: _numbers_of(own.to_dict("records")) for h, own in held.groupby("host")}
+        )
+    else:
+        entry = F.struct("number", "in_articles")
+        by_host = repeated.groupBy("host").agg(F.collect_list(entry).alias("repeated"))
+        rows = rows.join(by_host, "host", "left").select("id", "url", "host", "repeated", "html")
     id_type = rows.schema["id"].dataType.simpleString()
-    parsed = rows.mapInArrow(
-        _parsed,
-        f"id {id_type}, url string, host string, shard long, zones array<int>, blocks array<string>",
-    )
-    texts = parsed.groupBy("host", "shard").applyInArrow(
-        lambda table: _chosen(table, least_pages, least_share), f"id {id_type}, url string, text string"
-    )
+    texts = rows.mapInArrow(lambda it: _extracted(sent, it), f"id {id_type}, url string, text string")
     return texts.select(
         F.col("id").alias(id_col),
         F.col("url").alias(url_col),

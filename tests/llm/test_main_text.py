@@ -3,8 +3,17 @@
 import random
 
 import numpy as np
+import pytest
 
-from siftrank.llm.main_text import ARTICLE, LONG, covered_tokens, main_texts, page_blocks
+from siftrank.llm import main_text
+from siftrank.llm.main_text import (
+    ARTICLE,
+    LONG,
+    _chosen,
+    covered_tokens,
+    main_texts,
+    page_blocks,
+)
 
 
 def texts(html):
@@ -89,3 +98,119 @@ def test_large_hosts_are_dealt_out(spark, monkeypatch):
     assert {r.page_id: r.text for r in found.collect()} == {
         k: f"page number {k} of {k * 7} and {k * 3}" for k in range(200)
     }
+
+
+def found(spark, rows, **options):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in main_texts(pages, **options).collect()}
+
+
+MENU = "<div>Home News Sport Weather Contact us about our site today</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><article>{}</article><div class="sidebar">x</div></body>',
+        '<html class="no-ads"><article>{}</article></html>',
+        '<body class="single comments-open"><main>{}</main></body>',
+        '<article class="post sponsored-by-none">{}</article>',
+        '<div class="layout has-sidebar"><article>{}</article></div>',
+        '<form id="aspnet"><header>Top</header><article>{}</article><input></form>',
+        '<div class="newsletter"><article>{}</article></div>',
+        '<div id="content"><p>{}</p><article class="card">A teaser</article></div>',
+        '<main>{}<nav>no</nav><div class="comments">Nice!</div></main><div>little</div>',
+    ],
+)
+def test_classes_and_zones_do_not_empty_pages(page):
+    own = "The page's own words, rather many of them, so that all else is little beside them."
+    blocks = page_blocks(page.format(own))
+    assert [t for _, t in blocks if t not in ("A teaser", "little")] == [own]
+    assert _chosen([blocks], [(np.empty(0, np.uint64),) * 2]) == [own]
+
+
+def test_pages_with_text_beside_a_card(spark):
+    body = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, "http://a.nl", f"<div id=content><p>{body}</p></div><article>Read more</article>")]
+    rows += [(2, "http://a.nl", "<article>Short</article><div>Some line</div>")]
+    assert found(spark, rows) == {1: body, 2: "Short"}
+
+
+@pytest.mark.parametrize(("n", "words"), [(12, 3), (12, 3000), (120, 30), (5, 60_000)])
+def test_hosts_and_pages_of_any_size(spark, n, words):
+    """The same menu goes from all pages, whatever their number and length."""
+    own = {k: " ".join(f"x{k}y{j}" for j in range(words)) for k in range(n)}
+    rows = [(k, f"http://a.nl/{k}", f"{MENU}<p>{own[k]}</p>") for k in range(n)]
+    assert found(spark, rows) == own
+
+
+def test_passages_and_copies_stay(spark):
+    """What articles share stays, at the same place or not, and so do copies of pages."""
+    r = random.Random(5)
+    passage = "this passage of rather many words stands in all of these articles as it is"
+    rows, own = [], {}
+    for k in range(40):
+        parts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(20)) for _ in range(6)]
+        parts[r.randrange(6) if k % 2 else 0] = passage
+        own[k] = "\n\n".join(parts)
+        rows.append((k, "http://a.nl/p", MENU + "<article>" + "".join(f"<p>{x}" for x in parts) + "</article>"))
+    for k in range(40, 60):
+        rows.append((k, "http://a.nl/q", rows[2][2]))
+        own[k] = own[2]
+    assert found(spark, rows) == own
+
+
+def test_other_ways_give_the_same(spark, monkeypatch):
+    """Substrings joined by host instead of sent, and streams of a page or two."""
+    r = random.Random(6)
+    rows = []
+    for k in range(60):
+        host = r.choice(["a.nl", "b.nl", "hot.nl", "hot.nl", "hot.nl"])
+        body = "".join(f"<p>{' '.join(f'v{r.randrange(40)}' for _ in range(r.randrange(14)))}" for _ in range(5))
+        rows.append((k, f"http://{host}/{k}", r.choice([MENU, MENU, ""]) + body + r.choice([MENU, ""])))
+    expected = found(spark, rows)
+    assert expected == brute(rows)
+    monkeypatch.setattr(main_text, "SENT_ROWS", 0)
+    monkeypatch.setattr(main_text, "SHARD_CHARS", 300)
+    assert found(spark, rows) == expected
+
+
+def brute(rows, least=3):
+    """Every window of every page of a host, one by one, where the library would look."""
+    pages = {}
+    for k, url, html in rows:
+        blocks = [t for _, t in page_blocks(html)]
+        host = url.split("/")[2]
+        pages[k] = (host, blocks, main_text._Stream([[(0, t) for t in blocks]]))
+    places = {}
+    for k, (host, _, stream) in pages.items():
+        numbers = stream.numbers()
+        seen = set()
+        for start in stream.starts(numbers):
+            window = tuple(stream.tokens[start : start + LONG])
+            if window not in seen:
+                seen.add(window)
+                block = stream.block[start]
+                content = int(stream.contents()[0]) >> 58
+                places.setdefault((host, window), []).append((stream.front[block], stream.back[block], content))
+    out = {}
+    for k, (host, blocks, stream) in pages.items():
+        covered = [False] * len(stream.tokens)
+        for start in stream.starts(stream.numbers()):
+            where = places[host, tuple(stream.tokens[start : start + LONG])]
+            spread = min(np.var([w[0] for w in where]), np.var([w[1] for w in where]))
+            if len({w[2] for w in where}) >= least and spread <= main_text.SAME_PLACE:
+                covered[start : start + LONG] = [True] * LONG
+        kept = []
+        for b, text in enumerate(blocks):
+            own = [c for c, x, w in zip(covered, stream.block, stream.is_word) if x == b and w]
+            if 2 * sum(own) <= len(own):
+                kept.append(text)
+        out[k] = "\n\n".join(kept)
+    return out
+
+
+def test_a_very_long_page(spark):
+    text = "\n\n".join(f"line {k} of a long page" for k in range(100_000))
+    html = "<nav>menu</nav>" + "".join(f"<p>{t}" for t in text.split("\n\n"))
+    assert found(spark, [(1, "http://a.nl", html), (2, "http://a.nl", "<p>x")]) == {1: text, 2: "x"}
