@@ -32,7 +32,7 @@ COUNTED_AT_ONCE = 2_000_000
 SHORT_LIST = 32
 # Sets of a longer list that are compared in one task with as many others, fewer of
 # long texts: together they have so many shingles at most.
-PART_SETS = 1024
+PART_SETS = 256
 PART_SHINGLES = 2_000_000
 # Rows of one or two numbers that are sent to all tasks at most.
 BROADCAST_ROWS = 1_000_000
