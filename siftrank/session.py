@@ -24,30 +24,52 @@ def salts_for(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach, as named by ``spark.checkpoint.dir``.
 
-    Where that is unset, one in the warehouse, which all executors reach as well.
+    Where that is unset, one in the warehouse. On a cluster that has to be a folder
+    that all executors reach, so one of this machine's is refused there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own = warehouse.startswith(("file:", "/"))
+    if own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return warehouse + "/_intermediate"
 
 
 _owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+_named: ContextVar[list[str] | None] = ContextVar("named", default=None)
 
 
 @contextmanager
 def intermediate_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes, in the end, the tables that were written within."""
+    """Deletes, in the end, the tables that were written within.
+
+    What is read lazily from them has to be read, or written elsewhere, before that.
+    """
     folders: list[str] = []
-    token = _owned.set(folders)
+    token, named = _owned.set(folders), _named.set([])
     try:
         yield
     finally:
+        for table in _named.get():
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
         _owned.reset(token)
+        _named.reset(named)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for folder in folders:
             path = hadoop(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_table(name: str) -> str:
+    """A name for a table of the catalogue; its entry goes with the other tables."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    if (named := _named.get()) is not None:
+        named.append(table)
+    return table
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if (owned := _owned.get()) is not None:

@@ -85,3 +85,36 @@ def test_every_line_of_a_run_is_formatted(spark, place):
     assert [(-float(f[4]), f[2]) for f in fields] == sorted((-float(f[4]), f[2]) for f in fields)
     main(["trec", f"{place}/long", f"{place}/cut-trec", "--tag", "t", "-k", "10"])
     assert lines(place / "cut-trec") == lines(place / "long-trec")[:10]
+
+
+def test_tables_are_owned(spark):
+    """Folders and catalogue entries of a call go with it."""
+    from pathlib import Path
+
+    from siftrank.session import intermediate_tables, new_folder, new_table, shared_folder, written
+
+    with intermediate_tables(spark):
+        table, folder = new_table("owned"), new_folder(spark, "owned")
+        spark.range(3).write.option("path", folder).saveAsTable(table)
+        other = written(spark.range(5), "other")
+        assert spark.table(table).count() == 3 and other.count() == 5
+        assert spark.catalog.tableExists(table)
+    assert not spark.catalog.tableExists(table)
+    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("o*er*"))
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    import pytest
+
+    from siftrank.session import shared_folder
+
+    class Session:
+        def __init__(self, master, warehouse, folder=None):
+            self.conf = {"spark.sql.warehouse.dir": warehouse} | ({"spark.checkpoint.dir": folder} if folder else {})
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert shared_folder(Session("local[4]", "file:/w")) == "file:/w/_intermediate"
+    assert shared_folder(Session("yarn", "hdfs://w/")) == "hdfs://w/_intermediate"
+    assert shared_folder(Session("yarn", "file:/w", "s3://f")) == "s3://f"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session("spark://h:7077", "file:/w"))
