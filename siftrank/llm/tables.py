@@ -1,11 +1,9 @@
 """Intermediate tables that a later join finds in the right place, and samples by hash."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.session import new_folder, shuffle_partitions
+from siftrank.session import new_folder, new_table, shuffle_partitions
 
 
 def written_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -14,7 +12,7 @@ def written_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     Grouping or joining by the key then moves the other side only.
     """
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
+    table = new_table(name)
     (
         df.write.bucketBy(shuffle_partitions(spark), key)
         .option("path", new_folder(spark, name))

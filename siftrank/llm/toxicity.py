@@ -90,7 +90,8 @@ def folded(text: str, table: _Letters) -> str:
         text = "".join(
             " " if c == "$" and not text[k + 1 : k + 2].isalpha() else c for k, c in enumerate(text)
         )
-    return " " + " ".join(text.lower().translate(table).split()) + " "
+    words = " ".join(text.lower().translate(table).split())
+    return f" {words} " if words else " "
 
 
 @dataclass

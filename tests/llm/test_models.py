@@ -1,10 +1,16 @@
 """Toxicity and languages: what is learned shows on texts that were held out."""
 
+import math
 import random
 
 from samples import TEXTS
 
-from siftrank.llm.languages import identified_languages, learned_languages
+from siftrank.llm.languages import (
+    _STEPS,
+    DIMENSIONS,
+    identified_languages,
+    learned_languages,
+)
 from siftrank.llm.toxicity import (
     Lexicon,
     _letters,
@@ -110,3 +116,82 @@ def test_languages_are_learned_from_distinct_texts(spark, monkeypatch):
     many = [(f"text {chr(97 + k % 26)}", f"l{k}") for k in range(230)]
     learned_languages(spark.createDataFrame(many, "text string, lang string"))
     assert given == [(11, ["en"] * 10 + ["nl"]), (230, sorted(name for _, name in many))]
+
+
+def test_scores_against_a_plain_search_of_all_entries(spark):
+    """Random lexicons and texts: every entry looked for at every place, one by one."""
+    r = random.Random(9)
+    table = _letters()
+    for _ in range(30):
+        words = ["".join(r.choices("abé3о", k=r.randint(1, 5))) for _ in range(12)]
+        plain = [folded(w, table).strip() for w in words]
+        weights = {f" {w} ": r.uniform(0.5, 4) for w in r.sample(plain, 5) if w}
+        weights |= {f" {w[:2]}": r.uniform(0.5, 4) for w in r.sample(plain, 4) if len(w) > 1}
+        exceptions = {f" {r.choice(plain)} {r.choice(plain)} " for _ in range(4)}
+        lexicon = Lexicon(weights, {e for e in exceptions if e.split()}, -1.5, 0.7, 0.4)
+        texts = [" ".join(r.choices(words + [".", "!", "A"], k=r.randint(0, 25))) for _ in range(40)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for row in toxicity_scores(docs, lexicon).collect():
+            text = folded(texts[row.doc_id], table)
+            best = {}
+            for entry, weight in lexicon.weights.items():
+                for at in range(len(text)):
+                    if text.startswith(entry, at):
+                        best[at] = max(best.get(at, 0.0), weight)
+            for phrase in lexicon.exceptions:
+                for at in range(len(text)):
+                    if text.startswith(phrase, at):
+                        best = {k: w for k, w in best.items() if not at <= k < at + len(phrase) - 1}
+            n, total = len(text.split()), math.fsum(best.values())
+            assert (row.n_words, row.n_hits) == (n, len(best)), text
+            x = -1.5 + 0.7 * math.log1p(total) + 0.4 * math.log1p(100 * total / (n + 20))
+            assert abs(row.score - 1 / (1 + math.exp(-x))) < 1e-12
+
+
+def plain_language(model, text):
+    """All sequences counted in a loop, all machines asked one by one."""
+    codes, last = [0], 0
+    for c in text.lower():
+        code = ord(c) if c.isalpha() else 0
+        if code or last:
+            codes.append(code)
+        last = code
+    if last:
+        codes.append(0)
+    counts = [0] * DIMENSIONS
+    for size in (1, 2, 3):
+        for i in range(len(codes) - size + 1):
+            total = 0
+            for n in range(size):
+                total = (total + codes[i + n]) * _STEPS[n] % 2**32
+                total ^= total >> 15
+            counts[total >> 20] += 1
+    norm = math.sqrt(sum(counts))
+    margins = [sum(w * math.sqrt(c) / norm for w, c in zip(m, counts) if c) + m[-1] for m in model.weights.tolist()]
+    family = max(range(len(model.families)), key=lambda k: margins[k])
+    members = model.members[model.families[family]]
+    votes, belief = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+    for group, left, right, k in model.duels:
+        if group == model.families[family]:
+            votes[left if margins[k] > 0 else right] += 1
+            belief[left] += 1 / (1 + math.exp(-4 * margins[k]))
+            belief[right] += 1 - 1 / (1 + math.exp(-4 * margins[k]))
+    score = 1 / (1 + math.exp(-4 * margins[family]))
+    if len(members) == 1:
+        return members[0], score
+    winner = max(members, key=lambda m: (votes[m], belief[m], m))
+    return winner, score * belief[winner] / (len(members) - 1)
+
+
+def test_languages_against_machines_asked_one_by_one(spark):
+    r = random.Random(7)
+    rows = [(k, sentence(r, lang, r.randint(3, 40)), lang) for k in range(60) for lang in SYLLABLES]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learned_languages(docs)
+    texts = [sentence(r, r.choice(list(SYLLABLES)), r.randint(1, 12)) for _ in range(40)]
+    texts += ["a", " é!! Ñ ?", "x1y2", "ABC. def", "你好 ok"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in identified_languages(asked, model).collect():
+        name, score = plain_language(model, texts[row.doc_id])
+        assert row.lang_pred == name, texts[row.doc_id]
+        assert abs(row.score - score) < 1e-3
