@@ -20,6 +20,8 @@ from siftrank.session import written
 
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 _FILTER_BITS = 22
+# Bits of the filter for all items, where they are in several blocks.
+_ALL_BITS = 27
 # Hits, and words on their diagonals, that are looked at together.
 _AT_ONCE = 500_000
 
@@ -219,6 +221,58 @@ def _blocks(items: DataFrame, most_items: int, most_chars: int) -> list[DataFram
     ]
 
 
+def _item_seeds(min_words: int, share: float, shortest_item: int, batches):
+    """The numbers of all seeds of items (text), and the masks that they were made with."""
+    for batch in batches:
+        table = _Items([None] * len(batch), batch.column(0).to_pylist(), min_words, share, shortest_item)
+        numbers = pa.array(table.keys.view(np.int64))
+        weights = pa.array([_mask_name(m) for m in table.masks], pa.string())
+        yield pa.RecordBatch.from_arrays([numbers, pa.nulls(len(numbers), pa.string())], ["h", "mask"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(weights), pa.int64()), weights], ["h", "mask"])
+
+
+def _mask_name(mask: tuple[int, ...]) -> str:
+    return " ".join(map(str, mask))
+
+
+def _with_a_seed(texts: DataFrame, items: DataFrame, min_words: int, share: float, shortest: int):
+    """The ``texts`` that have a seed of any item, and some others: a filter of bounded size
+    has a bit for the number of each seed. Texts are read once for all blocks."""
+    spark = texts.sparkSession
+    found = items.select("text").mapInArrow(
+        lambda it: _item_seeds(min_words, share, shortest, it), "h long, mask string"
+    )
+    found = written(found, "seeds")
+    masks = [tuple(map(int, r.mask.split())) for r in found.where("mask IS NOT NULL").select("mask").distinct().collect()]
+    at = F.shiftrightunsigned("h", 64 - _ALL_BITS)
+    words = (
+        found.where("h IS NOT NULL")
+        .select(at.alias("at"))
+        .groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+        .toPandas()
+    )
+    filled = np.zeros(1 << (_ALL_BITS - 6), dtype=np.uint64)
+    filled[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    sent = spark.sparkContext.broadcast((filled, sorted(masks)))
+
+    def candidates(batches):
+        bits, known = sent.value
+        for batch in batches:
+            has = np.zeros(len(batch), dtype=bool)
+            for first, words, at in hashed_words(batch.column(1)):
+                for mask in known:
+                    slot = seeds(words, mask) >> np.uint64(64 - _ALL_BITS)
+                    bit = bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))
+                    place = np.flatnonzero(bit & np.uint64(1))
+                    row = np.searchsorted(at, place, side="right") - 1
+                    inside = place + mask[-1] < at[np.minimum(row + 1, len(at) - 1)]
+                    has[first + row[inside]] = True
+            yield batch.filter(pa.array(has))
+
+    return written(texts.mapInArrow(candidates, texts.schema), "candidates")
+
+
 def _found(items, share: float, batches) -> Iterator[pa.RecordBatch]:
     table = object.__new__(_Items)
     vars(table).update(items.value)
@@ -273,8 +327,9 @@ def benchmark_overlaps(
     itself, repeated items too. Null ids are kept; ids may be of any type. Other columns are ignored.
     If either table is empty, so is the result.
 
-    The benchmark is worked through in blocks of bounded size, each of which is
-    sent to all tasks and compared with all documents.
+    The benchmark is worked through in blocks of bounded size, each of which is sent to
+    all tasks. If there are several, documents without any seed of any item are left out
+    by a pass before, so that the text of most is read once.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
@@ -284,7 +339,10 @@ def benchmark_overlaps(
         "start_word long, end_word long, n_equal long"
     )
     spark, found = docs.sparkSession, None
-    for part in _blocks(items, block_items, block_chars):
+    blocks = _blocks(items, block_items, block_chars)
+    if len(blocks) > 1:
+        texts = _with_a_seed(texts, items, min_words, share, shortest_item)
+    for part in blocks:
         own = part.toArrow()
         table = _Items(
             own["item_id"].to_pylist(), own["text"].to_pylist(), min_words, share, shortest_item

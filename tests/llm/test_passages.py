@@ -9,6 +9,7 @@ from samples import collected
 
 from siftrank.llm.decontaminate import (
     _Items,
+    _with_a_seed,
     benchmark_overlaps,
     best_stretch,
     least_weight,
@@ -167,6 +168,11 @@ def test_items_with_ids_of_any_type_in_many_blocks(spark):
     many = benchmark_overlaps(texts, asked, shortest_item=1, block_items=2)
     small = benchmark_overlaps(texts, asked, shortest_item=1, block_chars=300)
     assert dict(one.dtypes)["item_id"] == "string"
+    # documents without any seed are not looked at again
+    plain = [(100 + k, " ".join(f"other{k}x{j}" for j in range(30))) for k in range(50)]
+    more = texts.unionByName(spark.createDataFrame(plain, "doc_id long, text string"))
+    few = _with_a_seed(more.withColumnRenamed("doc_id", "id"), asked, 13, 0.8, 1)
+    assert 80 <= few.count() < 90
     rows = sorted(map(str, one.collect()))
     assert len(rows) > 80 and any("same" in x for x in rows)
     assert sorted(map(str, many.collect())) == rows == sorted(map(str, small.collect()))
