@@ -11,6 +11,7 @@ import warnings
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -399,6 +400,20 @@ def run_of_one_model(spark, sf_dir):
     return run.select("qid", "model", "doc_id", F.round("score", 8).alias("score"))
 
 
+def existing_run_is_kept(spark, sf_dir):
+    """A second run into the same folder is refused and changes nothing."""
+    run = experiment(_docs(spark, sf_dir), _topics(spark), [bm25()])
+    folder = new_folder(spark, "run")
+    write_run(run, folder)
+    try:
+        write_run(run.limit(1), folder)
+        refused = False
+    except AnalysisException:
+        refused = True
+    counted = read_run(spark, folder).agg(F.count("*").alias("n_lines"))
+    return counted.withColumn("refused", F.lit(refused))
+
+
 def trec_file_order(spark, sf_dir):
     """The place of each line in a written run."""
     run = experiment(_docs(spark, sf_dir), _topics(spark), [bm25()])
@@ -637,6 +652,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_roundtrip": run_roundtrip,
         "run_of_one_model": run_of_one_model,
         "trec_file_order": trec_file_order,
+        "existing_run_is_kept": existing_run_is_kept,
         "anchor_bm25": anchor_bm25,
         "keyval_roundtrip": keyval_roundtrip,
         "anchors_scan": anchors_scan,
@@ -998,6 +1014,9 @@ queries AS (
         "run_of_one_model": _run_sql(
             [_BM25], show=" SELECT qid, model, doc_id, round(score, 8) AS score FROM run"
         ),
+        "existing_run_is_kept": _run_sql(
+            [_BM25], show=" SELECT CAST(count(*) AS BIGINT) AS n_lines, TRUE AS refused FROM run"
+        ),
         "trec_file_order": _run_sql(
             [_BM25],
             show=""" SELECT CAST(row_number() OVER (
