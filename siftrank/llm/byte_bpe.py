@@ -276,15 +276,16 @@ def decoded_ids(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """``(id, decoded)``: the bytes of ``rows`` (id, codes), by a join with ``tokens``.
 
     ``tokens`` (code, bytes) has a row for each token of a vocabulary, so it is small.
-    Ids must be distinct. Rows without codes decode to no bytes; codes that the table
-    does not have are an error.
+    Rows are told apart, so ids may repeat or be null. Rows without codes decode to no
+    bytes; codes that the table does not have are an error.
     """
-    codes = rows.select("id", F.posexplode_outer("codes").alias("place", "code"))
+    numbered = rows.select("id", "codes", F.monotonically_increasing_id().alias("row"))
+    codes = numbered.select("row", "id", F.posexplode_outer("codes").alias("place", "code"))
     known = codes.join(F.broadcast(tokens), "code", "left")
     missing = F.col("code").isNotNull() & F.col("bytes").isNull()
     value = F.when(missing, F.raise_error("a code is not in the vocabulary").cast("binary"))
-    known = known.select("id", "place", value.otherwise(F.coalesce("bytes", F.lit(b""))).alias("b"))
+    known = known.select("row", "id", "place", value.otherwise(F.coalesce("bytes", F.lit(b""))).alias("b"))
     parts = F.array_sort(F.collect_list(F.struct("place", "b")))
-    joined = known.groupBy("id").agg(parts.alias("parts"))
+    joined = known.groupBy("row", "id").agg(parts.alias("parts"))
     whole = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["b"]))
     return joined.select("id", whole.alias("decoded"))

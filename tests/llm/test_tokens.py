@@ -93,6 +93,11 @@ def test_decoding_by_join(spark, encoding):
         [(k, encoding.decode_single_token_bytes(k)) for k in range(300)], "code int, bytes binary"
     )
     rows = spark.createDataFrame([(1, [72, 69, 299]), (2, []), (3, None)], "id long, codes array<int>")
+    twice = rows.unionByName(rows)
+    assert decoded_ids(twice, tokens).count() == twice.count()
+    assert {(r.id, bytes(r.decoded)) for r in decoded_ids(twice, tokens).collect()} == {
+        (r.id, bytes(r.decoded)) for r in decoded_ids(rows, tokens).collect()
+    }
     found = {r.id: bytes(r.decoded) for r in decoded_ids(rows, tokens).collect()}
     assert found == {1: encoding.decode_bytes([72, 69, 299]), 2: b"", 3: b""}
     unknown = spark.createDataFrame([(1, [999])], "id long, codes array<int>")
