@@ -10,15 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.operators.links import extract_links, page_keys
-from siftrank.operators.membership import possible_members
+from siftrank.operators.membership import MEMBER_BITS, possible_members
 from siftrank.operators.ranges import in_ranges, offsets
 from siftrank.session import written
 
 # Characters of a part; a part ends with the link that reaches them.
 PART_CHARS = 1 << 20
+# Pages from which on links meet a filter of hosts as well.
+HOSTS_FROM = MEMBER_BITS // 4
 # URLs with several parts that are sent to all tasks at most.
 BROADCAST_ROWS = 100_000
 
+def _host() -> Column:
+    return F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
+
+
 def _used() -> Column:
     return F.length("anchor") + 1
 
@@ -37,7 +43,13 @@ def _stored_links(
         # tells repeated links apart, so that they can be in several ranges
         F.monotonically_increasing_id().alias("tie"),
     )
-    stored = written(possible_members(links, "url", keys, "url"), "links")
+    columns = links.columns
+    if keys.count() > HOSTS_FROM:
+        # a filter of so many URLs lets links pass, but one of their hosts does not
+        links = possible_members(
+            links.withColumn("host", _host()), "host", keys.select(_host().alias("host")), "host"
+        )
+    stored = written(possible_members(links, "url", keys, "url").select(columns), "links")
     return keys.groupBy("url").agg(F.min("doc_id").alias("doc_id")), stored
 
 

@@ -71,6 +71,13 @@ def test_parts_against_brute_force(spark, seed, limits):
         assert row.anchors == texts
 
 
+def test_a_filter_of_hosts_changes_nothing(spark, monkeypatch):
+    frame = spark.createDataFrame(hot_pages(4), PAGES).repartition(3)
+    expected = rows_of(anchor_parts(frame, part_chars=60, ranges=4))
+    monkeypatch.setattr("siftrank.operators.anchors.HOSTS_FROM", 0)
+    assert rows_of(anchor_parts(frame, part_chars=60, ranges=4)) == expected
+
+
 def test_rows_of_a_hot_url_are_bounded(spark):
     pages = [("m", "http://s/m", "")]
     pages += [(f"p{i:04d}", f"http://s/{i}", f"<a href=m>{'x' * 30}</a>" * 4) for i in range(500)]
