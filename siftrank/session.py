@@ -37,27 +37,34 @@ def shared_folder(spark: SparkSession) -> str:
     return warehouse + "/_intermediate"
 
 
-_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
-_named: ContextVar[list[str] | None] = ContextVar("named", default=None)
+class _Owner:
+    """The tables that were written within a call."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+        self.tables: list[str] = []
+
+
+_owners: ContextVar[tuple[_Owner, ...]] = ContextVar("owners", default=())
 
 
 @contextmanager
 def intermediate_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes, in the end, the tables that were written within.
+    """Deletes, in the end, the tables that were written within, but those that outlive it.
 
     What is read lazily from them has to be read, or written elsewhere, before that.
+    Tables that outlive this belong to the call around it, if that is one as well.
     """
-    folders: list[str] = []
-    token, named = _owned.set(folders), _named.set([])
+    own = _Owner()
+    token = _owners.set((*_owners.get(), own))
     try:
         yield
     finally:
-        for table in _named.get():
+        _owners.reset(token)
+        for table in own.tables:
             spark.sql(f"DROP TABLE IF EXISTS `{table}`")
-        _owned.reset(token)
-        _named.reset(named)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for folder in folders:
+        for folder in own.folders:
             path = hadoop(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -65,19 +72,20 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
 def new_table(name: str) -> str:
     """A name for a table of the catalogue; its entry goes with the other tables."""
     table = f"{name}_{uuid.uuid4().hex}"
-    if (named := _named.get()) is not None:
-        named.append(table)
+    if owners := _owners.get():
+        owners[-1].tables.append(table)
     return table
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession, name: str, outlives: bool = False) -> str:
     folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if (owned := _owned.get()) is not None:
-        owned.append(folder)
+    owners = _owners.get()[:-1] if outlives else _owners.get()
+    if owners:
+        owners[-1].folders.append(folder)
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a costly result feeds more than one consumer. Unlike a cached
@@ -85,7 +93,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     stays until it is deleted, as :func:`intermediate_tables` does.
     """
     spark = df.sparkSession
-    folder = new_folder(spark, name)
+    folder = new_folder(spark, name, outlives)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

@@ -99,6 +99,13 @@ def test_tables_are_owned(spark):
         other = written(spark.range(5), "other")
         assert spark.table(table).count() == 3 and other.count() == 5
         assert spark.catalog.tableExists(table)
+    with intermediate_tables(spark):
+        with intermediate_tables(spark):
+            gone, kept = written(spark.range(2), "inner"), written(spark.range(4), "outer", outlives=True)
+            assert gone.count() == 2
+        assert kept.count() == 4
+        assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("inner*"))
+    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("outer*"))
     assert not spark.catalog.tableExists(table)
     assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("o*er*"))
 
