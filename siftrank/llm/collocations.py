@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.words import mixed, row_slices, run_hashes
-from siftrank.session import salts_for, written
+from siftrank.session import intermediate_tables, salts_for, written
 
 LONGEST = 4
 # A chunk ends, on average, after so many words.
@@ -400,8 +400,10 @@ def collocations(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.col(text_col).cast("string").alias("text"),
     )
-    chunks = written(parsed(texts, chunk_words), "chunks")
-    phrases = written(frequent_phrases(chunks, least, filter_bits), "phrases")
+    with intermediate_tables(spark):
+        chunks = written(parsed(texts, chunk_words), "chunks")
+        found = frequent_phrases(chunks, least, filter_bits)
+        phrases = written(found, "phrases", outlives=True)
     counts = phrases.where("phrase IS NULL").select("lang", F.col("c").alias("n"))
     phrases = phrases.where("phrase IS NOT NULL")
     kept = (

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.words import hashed_words, row_shingles
-from siftrank.session import written
+from siftrank.session import intermediate_tables, written
 
 # Shingles in a larger share of the documents come last in the common order.
 # The order decides how much work there is, never the result.
@@ -434,28 +434,9 @@ def _checked_group(n: int, percent: int, asked: pa.Table, known: pa.Table) -> pa
     return asked.filter(pa.array(links, type=pa.bool_()))
 
 
-def similar_components(
-    docs: DataFrame,
-    n: int = 5,
-    percent: int = 80,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """``(id_col, n_shingles, component_id)``, a row per row of ``docs``.
-
-    Two texts link when their sets of distinct ``n``-word shingles (A-Z
-    lower-cased) have a Jaccard similarity of ``percent`` / 100 or more; a text of
-    fewer words is one shingle. ``component_id`` is the least id that links lead
-    to, the row's own included.
-
-    Null and empty texts and texts without words have no shingles and link with
-    nothing. Rows with equal texts link, whatever their ids; rows with equal ids
-    do so only if their texts do. Null ids are never a component's id unless it
-    has no other. Other columns are ignored. An empty table gives an empty result.
-    Sets are known by 64-bit numbers.
-    """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
+def _rows_and_roots(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """The sets of ``texts``, stored, and the components of those that link, if any do."""
+    spark = texts.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), n))
     id_type = texts.schema["id"].dataType.simpleString()
     rows = written(
@@ -464,6 +445,7 @@ def similar_components(
             f"id {id_type}, set long, n long, prefix array<long>, packed binary",
         ),
         "sets",
+        outlives=True,
     )
     entries = rows.where("prefix IS NOT NULL").select(
         F.posexplode("prefix").alias("pos", "t"), "set", "n"
@@ -508,6 +490,32 @@ def similar_components(
             break
         tried = tried.unionByName(pairs)
         before, turn = left, turn + 1
+    return rows, None if roots is None else written(roots, "roots", outlives=True)
+
+
+def similar_components(
+    docs: DataFrame,
+    n: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``(id_col, n_shingles, component_id)``, a row per row of ``docs``.
+
+    Two texts link when their sets of distinct ``n``-word shingles (A-Z
+    lower-cased) have a Jaccard similarity of ``percent`` / 100 or more; a text of
+    fewer words is one shingle. ``component_id`` is the least id that links lead
+    to, the row's own included.
+
+    Null and empty texts and texts without words have no shingles and link with
+    nothing. Rows with equal texts link, whatever their ids; rows with equal ids
+    do so only if their texts do. Null ids are never a component's id unless it
+    has no other. Other columns are ignored. An empty table gives an empty result.
+    Sets are known by 64-bit numbers.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    with intermediate_tables(docs.sparkSession):
+        rows, roots = _rows_and_roots(texts, n, percent)
     labels = rows.select("id", "n", F.col("set").alias("root"))
     if roots is not None:
         labels = _renamed(labels, roots, "root")
