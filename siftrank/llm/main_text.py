@@ -16,8 +16,10 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftrank.llm.words import hashed_words, mixed, run_hashes
 from siftrank.session import written
@@ -66,10 +68,10 @@ LONG = 8
 STEP = 8
 # Characters of text whose suffixes are sorted together.
 SHARD_CHARS = 2_000_000
-# Substrings of hosts that are sent to all tasks at most.
-SENT_ROWS = 1_000_000
-# How far places in the layout may differ, as a variance.
-SAME_PLACE = 0.25
+# Numbers of repeated substrings, eight bytes each, that are sent to all tasks at most.
+SENT_ROWS = 4_000_000
+# Bits of such a number that only depend on the host.
+HOST_BITS = 16
 # A zone with less text than this share of the text outside of it is no main text.
 LEAST_ZONE = 0.25
 
@@ -206,8 +208,9 @@ class _Stream:
     """The blocks of some pages as one stream of tokens.
 
     Every block ends with a mark, so that a block's end counts in a substring. For each
-    token it says the ``block`` and the ``page``, for each block its ``zone``, its
-    ``page`` and its place in the zone from the ``front`` and from the ``back``.
+    token it says the ``block`` and the ``page``, for each block its ``zone``, its page,
+    and its ``place`` in the zone: how many blocks are before it, or behind it if these
+    are fewer, and which of both.
     """
 
     def __init__(self, pages: list[list[tuple[int, str]]]):
@@ -230,9 +233,10 @@ class _Stream:
         fresh = np.diff(key[order], prepend=-1) != 0
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
         size = np.bincount(key, minlength=3 * self.n_pages)
-        self.front = np.empty(len(key), dtype=np.int64)
-        self.front[order] = np.arange(len(key)) - first
-        self.back = size[key] - 1 - self.front
+        before = np.empty(len(key), dtype=np.int64)
+        before[order] = np.arange(len(key)) - first
+        behind = size[key] - 1 - before
+        self.place = np.where(before <= behind, 2 * before, 2 * behind + 1)
 
     def numbers(self) -> np.ndarray:
         """A number for each suffix, of its first ``LONG`` tokens."""
@@ -259,6 +263,17 @@ class _Stream:
         # a substring lies within one page
         return starts[self.page[starts] == self.page[starts + LONG - 1]]
 
+    def keys(self, hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that are looked at, and a number for each of substring, host and
+        place. ``hosts`` has the number of each page's host, whose first bits it begins with."""
+        numbers = self.numbers()
+        starts = self.starts(numbers)
+        host = hosts[self.page[starts]]
+        place = self.place[self.block[starts]].astype(np.uint64)
+        own = mixed(numbers[starts] ^ mixed(host * _FACTOR + place))
+        shift = np.uint64(64 - HOST_BITS)
+        return starts, (host >> shift << shift) | (own >> np.uint64(HOST_BITS))
+
     def contents(self) -> np.ndarray:
         """A number for each page's text; pages without any have 0."""
         found = np.zeros(self.n_pages, dtype=np.uint64)
@@ -282,38 +297,29 @@ def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
             yield batch.slice(first), pages
 
 
+def _host_numbers(hosts: pa.Array) -> np.ndarray:
+    known = hosts.dictionary_encode()
+    numbers = [xxhash.xxh3_64_intdigest(h.encode()) for h in known.dictionary.to_pylist()]
+    return np.array(numbers, dtype=np.uint64)[known.indices.to_numpy()]
+
+
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (host, html): for each host and class of suffixes a number, a bit for each of the
-    pages' contents, and sums of places from which mean and variance follow."""
+    """Of (host, html): ``(number, bits)`` for each class of suffixes, host and place, with a
+    bit for the text of each page that has it."""
     for batch, pages in _in_pieces(batches):
         stream = _Stream(pages)
-        numbers = stream.numbers()
-        starts = stream.starts(numbers)
+        starts, keys = stream.keys(_host_numbers(batch.column(0)))
         if not len(starts):
             continue
-        hosts = batch.column(0).dictionary_encode()
-        host = hosts.indices.to_numpy().astype(np.int64)
         classes = suffix_classes(stream.tokens, LONG)[starts]
-        key = classes * len(hosts.dictionary) + host[stream.page[starts]]
-        # a page counts once for a class, where it has it first
-        once = np.lexsort((starts, stream.page[starts], key))
-        fresh = np.ones(len(once), dtype=bool)
-        fresh[1:] = (key[once][1:] != key[once][:-1]) | (
-            stream.page[starts[once]][1:] != stream.page[starts[once]][:-1]
-        )
-        at, key = starts[once[fresh]], key[once[fresh]]
-        group = np.flatnonzero(np.diff(key, prepend=-1))
-        page, block = stream.page[at], stream.block[at]
-        bits = np.uint64(1) << (stream.contents()[page] >> np.uint64(58))
-        front, back = stream.front[block], stream.back[block]
-        sums = [np.add.reduceat(x, group) for x in (np.ones_like(front), front, front**2, back, back**2)]
-        columns = [
-            hosts.dictionary.take(pa.array(host[page[group]])),
-            pa.array(numbers[at[group]].view(np.int64)),
-            pa.array(np.bitwise_or.reduceat(bits, group).view(np.int64)),
-            *map(pa.array, sums),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, _COUNTED)
+        order = np.lexsort((keys, classes))
+        ordered = keys[order]
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (ordered[1:] != ordered[:-1]) | (classes[order][1:] != classes[order][:-1])
+        group = np.flatnonzero(fresh)
+        bits = np.uint64(1) << (stream.contents()[stream.page[starts]] >> np.uint64(58))
+        columns = [ordered[group], np.bitwise_or.reduceat(bits[order], group)]
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["number", "bits"])
 
 
 def _kept_zones(zones: np.ndarray, lengths: np.ndarray) -> set[int]:
@@ -327,20 +333,14 @@ def _kept_zones(zones: np.ndarray, lengths: np.ndarray) -> set[int]:
     return {BODY, MAIN}
 
 
-def _chosen(pages: list[list[tuple[int, str]]], repeated: list[np.ndarray]) -> list[str]:
-    """The main texts of pages, given the sorted numbers of what their hosts repeat: twice
-    a number, and one more if it also counts within articles."""
+def _chosen(
+    pages: list[list[tuple[int, str]]], hosts: np.ndarray, repeated: tuple[np.ndarray, np.ndarray]
+) -> list[str]:
+    """The main texts of pages, given the sorted numbers of what repeats outside of articles
+    and within them."""
     stream = _Stream(pages)
-    numbers = stream.numbers()
-    starts = stream.starts(numbers)
-    flags = np.zeros((2, len(starts)), dtype=bool)
-    page = stream.page[starts]
-    bounds = np.searchsorted(page, np.arange(len(pages) + 1))
-    for k, known in enumerate(repeated):
-        own = slice(bounds[k], bounds[k + 1])
-        if len(known[0]) and own.start < own.stop:
-            for f in (0, 1):
-                flags[f, own] = np.isin(numbers[starts[own]], known[f])
+    starts, keys = stream.keys(hosts)
+    flags = [_among(keys, known) for known in repeated]
     in_article = stream.zone[stream.block] == ARTICLE
     covered = np.zeros(len(stream.tokens), dtype=bool)
     for f in (0, 1):
@@ -366,51 +366,48 @@ def _chosen(pages: list[list[tuple[int, str]]], repeated: list[np.ndarray]) -> l
     return texts
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 def _extracted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (id, url, host, [repeated,] html): ``(id, url, text)``."""
-    none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64))
     for batch, pages in _in_pieces(batches):
-        if sent is not None:
-            repeated = [sent.value.get(h, none) for h in batch.column(2).to_pylist()]
-        else:
-            repeated = [_numbers_of(r) if r else none for r in batch.column(3).to_pylist()]
-        texts = pa.array(_chosen(pages, repeated), type=pa.string())
+        hosts = _host_numbers(batch.column(2))
+        known = sent.value if sent is not None else _known(batch.column(3))
+        texts = pa.array(_chosen(pages, hosts, known), type=pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["id", "url", "text"])
 
 
-def _numbers_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    numbers = np.array([r["number"] for r in rows], dtype=np.int64).view(np.uint64)
-    strict = np.array([r["in_articles"] for r in rows], dtype=bool)
-    return np.sort(numbers), np.sort(numbers[strict])
-
-
-_COUNTED = ["host", "number", "bits", "n", "front", "front2", "back", "back2"]
+def _known(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of some rows' lists of ``(number, in_articles)``, each once."""
+    entries = lists.flatten()
+    numbers = entries.field(0).to_numpy().view(np.uint64)
+    strict = entries.field(1).to_numpy(zero_copy_only=False)
+    return np.unique(numbers), np.unique(numbers[strict])
 
 
 def repeated_substrings(
     rows: DataFrame, least_pages: int, least_in_articles: int | None = None
 ) -> DataFrame:
-    """``(host, number, in_articles)`` of what at least so many different pages (host,
-    html) of a host have in the same place.
+    """``(number, in_articles)`` of what at least so many different pages (host, html) of a
+    host have in the same place.
 
     Pages are told apart by one of 64 bits of their text's number, so copies of a page
     are one page, and now and then two that differ count as one.
     """
-    kinds = "host string, number long, bits long, " + ", ".join(f"{c} long" for c in _COUNTED[3:])
-    sums = rows.select("host", "html").mapInArrow(_substrings, kinds).groupBy("host", "number").agg(
-        F.bit_or("bits").alias("bits"), *(F.sum(c).alias(c) for c in _COUNTED[3:])
-    )
+    counted = rows.select("host", "html").mapInArrow(_substrings, "number long, bits long")
+    pages = F.bit_count(F.bit_or("bits")).alias("pages")
+    often = counted.groupBy("number").agg(pages).where(F.col("pages") >= least_pages)
+    in_articles = F.lit(False) if least_in_articles is None else F.col("pages") >= least_in_articles
+    return often.select("number", in_articles.alias("in_articles"))
 
-    def variance(of: str) -> Column:
-        mean = F.col(of) / F.col("n")
-        return F.col(f"{of}2") / F.col("n") - mean * mean
 
-    pages = F.bit_count("bits")
-    same = F.least(variance("front"), variance("back")) <= SAME_PLACE
-    in_articles = F.lit(False) if least_in_articles is None else pages >= least_in_articles
-    return sums.where(same & (pages >= least_pages)).select(
-        "host", "number", in_articles.alias("in_articles")
-    )
+@F.arrow_udf(T.LongType())
+def _host_part(hosts: pa.Array) -> pa.Array:
+    return pa.array((_host_numbers(hosts) >> np.uint64(64 - HOST_BITS)).view(np.int64))
 
 
 def main_texts(
@@ -448,13 +445,16 @@ def main_texts(
     sent = None
     if repeated.count() <= SENT_ROWS:
         held = repeated.toPandas()
-        sent = rows.sparkSession.sparkContext.broadcast(
-            {h: _numbers_of(own.to_dict("records")) for h, own in held.groupby("host")}
-        )
+        numbers = held["number"].to_numpy(dtype=np.int64).view(np.uint64)
+        strict = numbers[held["in_articles"].to_numpy(dtype=bool)]
+        sent = rows.sparkSession.sparkContext.broadcast((np.sort(numbers), np.sort(strict)))
     else:
-        entry = F.struct("number", "in_articles")
-        by_host = repeated.groupBy("host").agg(F.collect_list(entry).alias("repeated"))
-        rows = rows.join(by_host, "host", "left").select("id", "url", "host", "repeated", "html")
+        # a host's numbers share their first bits, and so are found by them
+        part = F.shiftrightunsigned("number", 64 - HOST_BITS).alias("part")
+        parts = repeated.groupBy(part).agg(F.collect_list(F.struct("number", "in_articles")).alias("repeated"))
+        parts = parts.withColumnRenamed("part", "_part")
+        rows = rows.withColumn("_part", _host_part("host")).join(parts, "_part", "left")
+        rows = rows.select("id", "url", "host", "repeated", "html")
     id_type = rows.schema["id"].dataType.simpleString()
     texts = rows.mapInArrow(lambda it: _extracted(sent, it), f"id {id_type}, url string, text string")
     return texts.select(

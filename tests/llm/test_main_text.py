@@ -126,7 +126,8 @@ def test_classes_and_zones_do_not_empty_pages(page):
     own = "The page's own words, rather many of them, so that all else is little beside them."
     blocks = page_blocks(page.format(own))
     assert [t for _, t in blocks if t not in ("A teaser", "little")] == [own]
-    assert _chosen([blocks], [(np.empty(0, np.uint64),) * 2]) == [own]
+    none = np.empty(0, np.uint64)
+    assert _chosen([blocks], np.zeros(1, np.uint64), (none, none)) == [own]
 
 
 def test_pages_with_text_beside_a_card(spark):
@@ -177,29 +178,26 @@ def test_other_ways_give_the_same(spark, monkeypatch):
 
 def brute(rows, least=3):
     """Every window of every page of a host, one by one, where the library would look."""
-    pages = {}
+    pages, places = {}, {}
+
+    def windows(stream, blocks):
+        for start in stream.starts(stream.numbers()):
+            block = stream.block[start]
+            behind = len(blocks) - 1 - block
+            place = ("front", block) if block <= behind else ("back", behind)
+            yield start, (tuple(stream.tokens[start : start + LONG]), place)
+
     for k, url, html in rows:
         blocks = [t for _, t in page_blocks(html)]
-        host = url.split("/")[2]
-        pages[k] = (host, blocks, main_text._Stream([[(0, t) for t in blocks]]))
-    places = {}
-    for k, (host, _, stream) in pages.items():
-        numbers = stream.numbers()
-        seen = set()
-        for start in stream.starts(numbers):
-            window = tuple(stream.tokens[start : start + LONG])
-            if window not in seen:
-                seen.add(window)
-                block = stream.block[start]
-                content = int(stream.contents()[0]) >> 58
-                places.setdefault((host, window), []).append((stream.front[block], stream.back[block], content))
+        pages[k] = (url.split("/")[2], blocks, main_text._Stream([[(0, t) for t in blocks]]))
+        host, blocks, stream = pages[k]
+        for _, window in windows(stream, blocks):
+            places.setdefault((host, window), set()).add(int(stream.contents()[0]) >> 58)
     out = {}
     for k, (host, blocks, stream) in pages.items():
         covered = [False] * len(stream.tokens)
-        for start in stream.starts(stream.numbers()):
-            where = places[host, tuple(stream.tokens[start : start + LONG])]
-            spread = min(np.var([w[0] for w in where]), np.var([w[1] for w in where]))
-            if len({w[2] for w in where}) >= least and spread <= main_text.SAME_PLACE:
+        for start, window in windows(stream, blocks):
+            if len(places[host, window]) >= least:
                 covered[start : start + LONG] = [True] * LONG
         kept = []
         for b, text in enumerate(blocks):
