@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.operators.models import Model, total, totals
+from siftrank.operators.models import LEADING_POSITIONS, Model, total, totals
 from siftrank.session import shuffle_partitions
 
 _DOCUMENT = ["doc_id", "split", "row", "dl"]
@@ -25,6 +25,46 @@ def topic_positions(weighted: DataFrame) -> DataFrame:
     ).select("qid", "pos", *_TOPIC, "avg_dl", "t.*")
 
 
+def _met(placed: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Every term position at which a document and a topic meet."""
+    terms = placed.selectExpr(*_DOCUMENT, "explode_outer(tf) AS (term, tf)").filter("term IS NOT NULL")
+    return terms.join(F.broadcast(topic_positions(weighted)), "term")
+
+
+def _met_in_all(placed: DataFrame, weighted: DataFrame) -> DataFrame:
+    """:func:`_met` for the documents that may hold the term of every position of a topic.
+
+    A document is tried for a topic if it holds the topic's rarest term, and its counts
+    are looked up there and then: positions are listed only if none is missing. Topics
+    that share an id count as one, which is met if as many positions match as one of
+    them has: then one of the rarest is among them, however many can be spared.
+    """
+    positions = topic_positions(weighted)
+    figures = [c for c in positions.columns if c not in ("qid", "df", "term")]
+    position = F.struct("df", (-F.length("term")).alias("shortness"), "term", *figures)
+    topics = (
+        positions.groupBy("qid")
+        .agg(F.sort_array(F.collect_list(position)).alias("rarest"), F.min("n_terms").alias("least"))
+        .selectExpr("qid", "rarest", "size(rarest) - least AS spare")
+        .selectExpr("*", "array_distinct(transform(slice(rarest, 1, spare + 1), p -> p.term)) AS keys")
+    )
+    keys = topics.select(F.col("qid").alias("of"), F.explode("keys").alias("key"))
+    missing = "size(filter(rarest, p -> NOT coalesce(map_contains_key(counts, p.term), false)))"
+    tried = (
+        placed.selectExpr(*_DOCUMENT, "tf AS counts", "explode_outer(map_keys(tf)) AS key")
+        .filter("key IS NOT NULL")
+        .join(F.broadcast(keys), "key")
+        .join(F.broadcast(topics), F.col("of").eqNullSafe(F.col("qid")))
+        # a topic of several keys is tried by the first that the document holds
+        .filter(f"get(filter(keys, k -> map_contains_key(counts, k)), 0) = key AND {missing} <= spare")
+    )
+    return (
+        tried.selectExpr(*_DOCUMENT, "qid", "counts", "explode(rarest) AS p")
+        .selectExpr(*_DOCUMENT, "qid", "p.*", "try_element_at(counts, p.term) AS tf")
+        .filter("tf IS NOT NULL")
+    )
+
+
 def _pairs(
     hits: DataFrame, weighted: DataFrame, models: list[Model], longest: int
 ) -> DataFrame:
@@ -34,15 +74,12 @@ def _pairs(
             "spark_partition_id() AS split", "monotonically_increasing_id() AS row",
         )
         .repartition(shuffle_partitions(hits.sparkSession), "doc_id", "split")
-        .selectExpr(*_DOCUMENT, "explode_outer(tf) AS (term, tf)")
-        .filter("term IS NOT NULL")
+        .select(*_DOCUMENT, "tf")
     )
-    weights = (
-        placed.join(F.broadcast(topic_positions(weighted)), "term")
-        .selectExpr(
-            *_DOCUMENT, "qid", "pos", *_TOPIC,
-            *[f"{m.weight} AS weight_{n}" for n, m in enumerate(models)],
-        )
+    met = _met_in_all if all(m.conjunctive for m in models) else _met
+    weights = met(placed, weighted).selectExpr(
+        *_DOCUMENT, "qid", "pos", *_TOPIC,
+        *[f"{m.weight} AS weight_{n}" for n, m in enumerate(models)],
     )
     aggregates = [
         aggregate.alias(f"total_{n}_{i}")
@@ -65,6 +102,9 @@ def score_documents(
     only pairs that share one come into being; the models are such that no
     other pair could score.
 
+    Conjunctive models by themselves never see the pairs that lack a term. Where
+    topics are so long that products list factors, they are scored by themselves.
+
     Hits are shuffled once, before they multiply: a row per document, with its
     counts of query terms but without its text. The documents' matches with
     all topics are then made and added up in the same task. Rows are told
@@ -72,6 +112,10 @@ def score_documents(
     a task that has to run again sends the same rows to the same places, and
     rows that share an id are still spread.
     """
+    strict = [m for m in models if m.conjunctive]
+    if longest > LEADING_POSITIONS and 0 < len(strict) < len(models):
+        others = [m for m in models if not m.conjunctive]
+        return union([score_documents(hits, weighted, part, longest) for part in (strict, others)])
     pairs = _pairs(hits, weighted, models, longest)
     if all(m.conjunctive for m in models):
         pairs = pairs.filter("n_matched = n_terms")

@@ -320,3 +320,65 @@ def test_only_hits_are_shuffled(spark, docs):
     assert text.count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_conjunctive_models_do_not_aggregate_what_they_drop(spark, many):
+    """Frequent words are in nearly all documents, the rare one is in few."""
+    docs = many.selectExpr("doc_id", "if(doc_id LIKE 'd100%', concat(text, ' rare'), text) AS text")
+    words = [f"w{n}" for n in range(11)]
+    asked = topics(spark, "1:" + " ".join(words * 4 + ["rare"]) + "\n2:rare")
+    weighted = topic_slices(term_statistics(docs, asked))[0].topics
+    hits = written(document_hits(docs, [*words, "rare"]), "hits")
+    for models in ([unsmoothed_lm()], BASELINES):
+        scored = score_documents(hits, weighted, models, 45).where("model = 'LMno'")
+        found = scored.groupBy("qid").count().collect()
+        texts = {r.doc_id: brute.tokens(r.text) for r in docs.collect()}
+        holders = [d for d, found_in in texts.items() if "rare" in found_in]
+        assert {r.qid: r["count"] for r in found}["2"] == len(holders) < 20
+    plan = score_documents(hits, weighted, [unsmoothed_lm()], 45)
+    plan.collect()
+    nodes, joined = [plan._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+            continue
+        if node.nodeName() == "ObjectHashAggregate" and "doc_id" in node.toString().split("\n")[0]:
+            joined.append(node)
+        children = node.children()
+        nodes += [children.apply(n) for n in range(children.size())]
+    rows_out = [n.metrics().apply("numOutputRows").value() for n in joined]
+    assert rows_out and max(rows_out) <= 2 * len(holders)
+
+
+def test_topics_that_share_an_id_count_as_one(spark):
+    """Retrieved is what matches as many positions as the longest of those that match has."""
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(7)]
+    docs = [(f"d{n}", " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 4, 8])))) for n in range(80)]
+    asked = [(q, rng.choices([*words, "unseen"], k=rng.choice([1, 2, 3, 4]))) for q in [None, None, "1", "1", "2", "3", "3", "3"]]
+    frame = spark.createDataFrame(docs, "doc_id string, text string")
+    topic_frame = spark.createDataFrame(asked, "qid string, terms array<string>")
+    hits = document_hits(frame, words)
+    weighted = topic_frame.select(
+        "qid",
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("qtf"), F.length(t).alias("df"), F.lit(1).alias("cf"))).alias("terms"),
+        F.lit(80).alias("n_docs"), F.lit(500).alias("coll_len"),
+    )
+    expected = []
+    for qid in {q for q, _ in asked}:
+        positions = [(n, t, len(terms)) for q, terms in asked if q == qid for n, t in enumerate(terms)]
+        for doc_id, text in docs:
+            found = brute.tokens(text)
+            met = [p for p in positions if p[1] in found]
+            if met and len(met) == max(p[2] for p in met):
+                product = 1.0
+                for n in sorted({p[0] for p in met}):
+                    product *= max(found.count(t) / len(found) for at, t, _ in met if at == n)
+                expected.append((str(qid), doc_id, product * len(found)))
+    scored = score_documents(hits, weighted, [unsmoothed_lm()], 4).collect()
+    assert sorted((str(r.qid), r.doc_id, r.score) for r in scored) == sorted(expected)
+    assert len(expected) > 20
