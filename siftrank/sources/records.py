@@ -210,18 +210,28 @@ class Unzipped(io.RawIOBase):
         return 0
 
 
-def open_stretch(path: str, start: int, end: int):
-    """Buffered stream of a stretch of a file on any file system, unpacked if it is gzip.
+def open_file(path: str):
+    """A file on any file system that can be read from any place."""
+    file_system, inner = files.file_system(path)
+    return file_system.open_input_file(inner)
+
+
+def stretch(opened, path: str, start: int, end: int):
+    """Buffered stream of a stretch of an opened file, unpacked if it is gzip.
 
     One that is not packed can be moved about in.
     """
-    file_system, inner = files.file_system(path)
-    raw = Stretch(file_system.open_input_file(inner), start, end)
+    raw = Stretch(opened, start, end)
     if path.endswith("gz"):
         return io.BufferedReader(Unzipped(raw), 1 << 20)
     return io.BufferedReader(raw, 1 << 16)
 
 
+def open_stretch(path: str, start: int, end: int):
+    """:func:`stretch` of a file that is opened for it alone."""
+    return stretch(open_file(path), path, start, end)
+
+
 class Placed:
     """A stream that knows how many bytes were taken from it."""
 

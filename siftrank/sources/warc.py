@@ -10,6 +10,7 @@ in memory is one batch of records.
 import json
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -161,16 +162,19 @@ def archive_report(spark: SparkSession, path: str, record_type: str = "") -> Dat
 
 
 def _read(record_type: str, payload: bool, batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for row in batch.to_pylist():
-            with records.open_stretch(row["path"], row["start"], row["end"]) as stream:
-                found = records.records(stream, record_type, payload)
-                yield from _batches(found, row["path"], row["before"])
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for path, pieces in groupby(rows, lambda row: row["path"]):
+        with records.open_file(path) as opened:
+            for row in pieces:
+                with records.stretch(opened, path, row["start"], row["end"]) as stream:
+                    found = records.records(stream, record_type, payload)
+                    yield from _batches(found, path, row["before"])
 
 
 def _dealt(pieces: DataFrame, n_pieces: int, share: int) -> DataFrame:
     """``pieces`` with the number of the task that reads them, ``share`` bytes each."""
-    cost = F.col("end") - F.col("start") + OPEN_BYTES
+    # a task opens a file once, however many of its pieces it reads
+    cost = F.col("end") - F.col("start") + F.when(F.col("start") == 0, OPEN_BYTES).otherwise(0)
     earlier = [Window.unboundedPreceding, -1]
     if n_pieces <= ORDERED_ROWS:
         order = Window.partitionBy(F.lit(0)).orderBy("path", "start").rowsBetween(*earlier)
@@ -194,11 +198,12 @@ def read_warc(
     """Records of a web archive; ``path`` may be a file, a folder or a glob.
 
     A task reads files and pieces of files of about ``piece_bytes``, or fewer where
-    there are cores to spare. Files longer than that are searched first, unless there
-    are so many others that a file is no more than a quarter of a core's share; a
-    compressed one can be read in pieces if it has members. ``record_no`` counts a
-    file's records of the type, read in pieces or not. Without ``payload`` the
-    ``content`` is null and is not kept, nor, in archives that are not compressed, read.
+    there are cores to spare; short pieces share tasks worth ``OPEN_BYTES``. Files longer
+    than ``piece_bytes`` are searched first, unless there are so many others that a file
+    is no more than a quarter of a core's share; a compressed one can be read in pieces
+    if it has members. ``record_no`` counts a file's records of the type, read in pieces
+    or not. Without ``payload`` the ``content`` is null and is not kept, nor, in archives
+    that are not compressed, read.
     """
     _by_value(spark)
     cores = spark.sparkContext.defaultParallelism
@@ -209,16 +214,17 @@ def read_warc(
     whole = listed.filter(~long).select(
         "path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(0).cast("long").alias("before")
     )
-    n_pieces, size = n_files, total
+    n_pieces = n_files
     pieces = whole
     if not listed.filter(long).isEmpty():
         found = written(archive_pieces(spark, listed.filter(long), record_type, piece_bytes), "pieces")
         pieces = whole.unionByName(found.select(*whole.columns))
         n_pieces = n_files + found.count()
-    cost = size + n_pieces * OPEN_BYTES
-    share = max(1, min(piece_bytes + OPEN_BYTES, max(OPEN_BYTES, cost // cores)))
+    cost = total + n_files * OPEN_BYTES
+    share = max(OPEN_BYTES, min(piece_bytes, cost // cores))
     n_tasks = max(1, min(n_pieces, -(-cost // share)))
     dealt = _dealt(pieces, n_pieces, share).repartitionByRange(n_tasks, "task")
+    dealt = dealt.sortWithinPartitions("path", "start")
     return dealt.select("path", "start", "end", "before").mapInArrow(
         lambda it: _read(record_type, payload, it), SCHEMA
     )

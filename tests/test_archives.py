@@ -161,3 +161,19 @@ def test_many_small_files_and_a_few_large_ones(spark, tmp_path, monkeypatch):
         assert len(ids) == len(set(ids)) == expected
     listed = archive_files(spark, str(tmp_path))
     assert listed.count() == 1503
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_short_pieces_share_tasks(spark, tmp_path, packed):
+    """Tasks are for bytes: a piece that follows another in its file is no file to open."""
+    data = whole_records(7, 600)
+    for name in ("a", "b"):
+        path = tmp_path / f"{name}.warc{'.gz' * packed}"
+        path.write_bytes(b"".join(gzip.compress(d, 0) for d in data) if packed else b"".join(data))
+    found = archive_pieces(spark, archive_files(spark, str(tmp_path)), piece_bytes=2000)
+    assert found.count() > 300
+    cut = read_warc(spark, str(tmp_path), piece_bytes=2000)
+    assert cut.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    for path in sorted(tmp_path.iterdir()):
+        one = read_warc(spark, str(path), piece_bytes=1 << 40)
+        assert rows(cut.where(F.col("path").endswith(path.name))) == rows(one)
